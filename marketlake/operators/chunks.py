@@ -9,7 +9,7 @@ over a whole series of ticks. Two shapes cover every ordered operator:
 * unbounded look-back (row numbers, running sums, last value ever): each chunk
   is reduced to one row by a map-side-combined aggregate, the small chunk table is
   scanned in order, and what a chunk inherits is joined back (`row_index`,
-  `carry_sums`, and the as-of join).
+  `running_columns`, and the as-of join).
 """
 
 from __future__ import annotations
@@ -77,33 +77,28 @@ def row_index(
 
 
 def carry_sums(
-    rows: DataFrame, keys: list[str], sums: dict[str, Column], include_own: bool = False
+    rows: DataFrame, keys: list[str], sums: dict[str, Column]
 ) -> DataFrame:
     """Per chunk, the sum of each expression over the key's earlier chunks.
 
     `rows` must already carry `_chunk`. The result has one row per (keys, chunk).
     """
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(
-        Window.unboundedPreceding, 0 if include_own else -1
-    )
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     per_chunk = rows.groupBy(*keys, CHUNK).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     return per_chunk.select(
         *keys, CHUNK, *[F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(n) for n in sums]
     )
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], t: str, length: int, value: Column, name: str, *order: Column | str
+def running_columns(
+    df: DataFrame, keys: list[str], t: str, length: int, sums: dict[str, Column], *order: Column | str
 ) -> DataFrame:
-    """Running total of `value` per key in the given order."""
-    rows = df.withColumn(CHUNK, chunk_of(t, length)).withColumn("_v", value)
-    carried = carry_sums(rows, keys, {"_before": F.col("_v")})
-    inside = F.sum("_v").over(
-        chunk_window(keys, *(order or (t,))).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        rows.withColumn("_inside", F.coalesce(inside, F.lit(0.0)))
-        .join(carried, [*keys, CHUNK])
-        .withColumn(name, F.col("_inside") + F.col("_before"))
-        .drop("_v", "_inside", "_before", CHUNK)
+    """Add running totals per key in the given order, one column per expression."""
+    values = {f"_v_{n}": e for n, e in sums.items()}
+    rows = df.withColumn(CHUNK, chunk_of(t, length)).withColumns(values)
+    carried = carry_sums(rows, keys, {f"_c_{n}": F.col(f"_v_{n}") for n in sums})
+    w = chunk_window(keys, *(order or (t,))).rowsBetween(Window.unboundedPreceding, 0)
+    inside = {f"_v_{n}": F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0.0)) for n in sums}
+    return rows.withColumns(inside).join(carried, [*keys, CHUNK]).select(
+        *df.columns, *[(F.col(f"_v_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums]
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketlake.functions.pricing import bps, implied_forecast, probability_leg, spot_leg
 from marketlake.functions.times import MICROS, bucket
-from marketlake.operators.chunks import chunk_window, core_only, running_sum, with_halo
+from marketlake.operators.chunks import chunk_window, core_only, running_columns, with_halo
 from marketlake.schemas import DEFAULT_SIGMA_LOG, STATS_DDL
 
 STAT_KEYS = ("source", "ident", "asset", "series", "market_outcome", "price_bucket")
@@ -350,12 +350,5 @@ def cumulative_volume_delta(
     """Running signed volume: seller-initiated trades (buyer is maker) count negative."""
     qty = F.col("payload.q").try_cast("double")
     signed = F.when(F.col("payload.m"), -qty).otherwise(qty)
-    return running_sum(trades, list(keys), t, length, signed, "cvd", *(order or (t,)))
+    return running_columns(trades, list(keys), t, length, {"cvd": signed}, *(order or (t,)))
 
-
-__all__ = [
-    "windowed_stats", "sliding_stats", "forecast_stats", "event_mix", "throughput_summary",
-    "rolling_rate", "message_rates", "latency_summary", "feature_summary", "split_summary",
-    "coverage_report", "latest_values", "last_n", "latest_stats", "union_streams",
-    "cumulative_volume_delta",
-]

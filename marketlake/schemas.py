@@ -6,8 +6,6 @@ once, as DDL text, and used by every parser.
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 # Union of the flat payload fields of all feeds; prices arrive as text.
 PAYLOAD_DDL = (
     "p STRING, q STRING, m BOOLEAN, T BIGINT, "
@@ -53,9 +51,6 @@ FORECAST_TEXT_DDL = (
     "asset STRING, ts STRING, ts_unix STRING, btc_mid STRING, poly_prob STRING"
 )
 
-TICK_SCHEMA = StructType.fromDDL(TICK_DDL)
-ENVELOPE_SCHEMA = StructType.fromDDL(ENVELOPE_DDL)
-
 # Topics the feeds publish to, and the two the engine publishes.
 TOPIC_PREDICTION = "polymarket.events"
 TOPIC_TRADES = "binance.trades"

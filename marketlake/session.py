@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every query of this package relies on.
@@ -21,6 +23,8 @@ SQL_CONF = {
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
+    # executors need no copy of this package: its Python functions travel with the job
+    cloudpickle.register_pickle_by_value(sys.modules["marketlake"])
     for key, value in SQL_CONF.items():
         spark.conf.set(key, value)
     return spark
