@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from marketlake.operators.chunks import CHUNK, chunk_window, core_only, running_columns, with_halo
 from marketlake.schemas import EXOG, TARGET
@@ -31,7 +32,7 @@ from marketlake.schemas import EXOG, TARGET
 MAX_LAG = 3
 LONG_AR = 20
 INDEX_CHUNK = 65_536
-MIN_TRAIN = 10
+DOUBLES = ArrayType(DoubleType())
 
 PARAMS_DDL = (
     "series STRING, status STRING, n_train BIGINT, p INT, q INT, aic DOUBLE, sigma_log DOUBLE, "
@@ -87,7 +88,7 @@ def exog_gram(split: DataFrame, exog: tuple[str, ...] = EXOG, target: str = TARG
 
 
 def _beta_udf(k: int):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(DOUBLES)
     def beta(g: pd.Series) -> pd.Series:
         def one(flat):
             m = _square(flat, k + 1)
@@ -149,7 +150,7 @@ def autocovariances(u_rows: DataFrame, lags: int = LONG_AR, chunk: int = INDEX_C
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def _long_ar(acov: pd.Series, n: pd.Series) -> pd.Series:
     """Yule–Walker coefficients of an autoregression of order min(20, n / 10), zero padded."""
 
@@ -447,7 +448,7 @@ def innovations(
 def _forecast_weights(steps: int):
     """Weights of the newest u and e values in the forecast `steps` ahead, from φ and θ."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(DOUBLES)
     def weights(phi: pd.Series, theta: pd.Series) -> pd.Series:
         def one(phi_, theta_):
             phi_, theta_ = np.asarray(phi_, float), np.asarray(theta_, float)
@@ -551,7 +552,7 @@ def walk_forward_refit(
         "series", "idx", "split", "y", F.array(*z[:-1]).alias("z")
     )
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def predict(g: pd.Series, x: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
         def one(flat, row, p_, q_):
             m = _square(flat, k + 2 * lag + 1)

@@ -177,10 +177,15 @@ def live_features(
     keys = list(keys)
     sigma = sigma_log if isinstance(sigma_log, Column) else F.lit(float(sigma_log))
     history = _with_history(bar_features(bars, grains, tuple(keys)), keys, grains)
-    at = points.withColumn("t", F.col("sec"))
     seen = asof_join(
-        at, history, keys, "t", ["x_prob", "x_change", "x_vol", "contiguous", "hist"], None, grains.chunk
-    ).drop("t", "_right_t")
+        points.withColumn("_at", F.col("sec")),
+        history.withColumnRenamed("t", "_at"),
+        keys,
+        "_at",
+        ["x_prob", "x_change", "x_vol", "contiguous", "hist"],
+        None,
+        grains.chunk,
+    )
     exact = F.coalesce(F.col("contiguous"), F.lit(False))
     if strict:
         seen = seen.where(exact)
