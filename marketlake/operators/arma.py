@@ -445,7 +445,7 @@ def innovations(
     return rows.drop("v", CHUNK).join(e, ["series", "idx"])
 
 
-def _forecast_weights(steps: int):
+def forecast_weights(steps: int):
     """Weights of the newest u and e values in the forecast `steps` ahead, from φ and θ."""
 
     @F.pandas_udf(DOUBLES)
@@ -470,7 +470,7 @@ def with_states(
 ) -> DataFrame:
     """Rows with `xb`, `u`, `e` and the `steps`-ahead forecast weights of their series."""
     usable = params.where(F.col("status") == "ok").select("series", "beta", "phi", "theta")
-    weighted = usable.withColumn("_w", _forecast_weights(steps)("phi", "theta"))
+    weighted = usable.withColumn("_w", forecast_weights(steps)("phi", "theta"))
     return innovations(
         residuals(rows, weighted, exog, target), chunk, moving_average=moving_average
     )

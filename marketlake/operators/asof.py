@@ -102,12 +102,15 @@ def realized_label(
 ) -> DataFrame:
     """The return realised at each bar: log(mid / mid exactly `horizon` steps ago).
 
-    NULL unless the origin bar lies exactly that far back; 0 for unusable prices.
+    NULL unless the bar `horizon` bars back lies exactly that many steps back, that is, unless
+    no bar between is missing; 0 for unusable prices.
     """
     back = horizon * step
     rows = with_halo(bars, on, max(chunk or step * 4096, back), before=back)
-    w = chunk_window(by, on).rangeBetween(-back, -back)
-    rows = rows.withColumn("origin_mid", F.first(mid).over(w))
+    w = chunk_window(by, on)
+    unbroken = F.count("*").over(w.rangeBetween(-back, 0)) == horizon + 1
+    origin = F.first(mid).over(w.rangeBetween(-back, -back))
+    rows = rows.withColumn("origin_mid", F.when(unbroken, origin))
     positive = (F.col("origin_mid") > 0) & (F.col(mid) > 0)
     label = F.when(
         F.col("origin_mid").isNotNull(),

@@ -13,13 +13,18 @@ from marketlake.operators.chunks import chunk_window, core_only, row_index, with
 from marketlake.operators.features import live_features
 from marketlake.operators.resample import Grains
 from marketlake.schemas import EXOG, TARGET
+from marketlake.session import materialize
 
 MODEL_NAME = "sarimax"
 X = {"x_prob": "poly_p_up", "x_change": "poly_p_up_change_5m", "x_vol": "btc_volatility_5m"}
 
 
 def observed_states(
-    bars: DataFrame, params: DataFrame, grains: Grains = Grains(), chunk: int = INDEX_CHUNK
+    bars: DataFrame,
+    params: DataFrame,
+    grains: Grains = Grains(),
+    chunk: int = INDEX_CHUNK,
+    strict: bool = False,
 ) -> DataFrame:
     """Error-process forecast known at each bar, from the newest realised u and e values.
 
@@ -28,7 +33,7 @@ def observed_states(
     A bar's label is realised `horizon` bars later, with the features the scorer had at the
     bar. The state at bar T therefore rests on labels up to T − horizon.
     """
-    features = live_features(bars.withColumn("sec", F.col("t")), bars, F.col("sigma_log"), grains)
+    features = live_features(bars.withColumn("sec", F.col("t")), bars, F.col("sigma_log"), grains, strict)
     features = features.select("series", F.col("t").alias("origin_t"), *X)
     realized = realized_label(
         bars, ["series"], "t", "btc_mid", grains.minute, grains.horizon, grains.chunk
@@ -88,12 +93,16 @@ def score_batch(
     strict: bool = False,
     chunk: int = INDEX_CHUNK,
 ) -> DataFrame:
-    """Score every point: live features, error-process state as of then, output fields."""
+    """Score every point: live features, error-process state as of then, output fields.
+
+    Bars (one row per series and minute) are materialised: four steps read them.
+    """
+    bars = materialize(bars)
     sigmas = params.where(F.col("status") == "ok").select("series", "beta", "sigma_log")
     with_sigma = points.join(sigmas, "series")
     features = live_features(with_sigma, bars, F.col("sigma_log"), grains, strict)
     bars_sigma = bars.join(sigmas.drop("beta"), "series")
-    states = observed_states(bars_sigma, params, grains, chunk)
+    states = observed_states(bars_sigma, params, grains, chunk, strict)
     stated = asof_join(
         features.withColumn("t", F.col("sec")), states, ["series"], "t", ["ahead"], None, grains.chunk
     )

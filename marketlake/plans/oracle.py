@@ -313,8 +313,9 @@ SCORED = (
     + _live("bar_pts", "q.sigma_log", "barlive")
     + """,
 labels5 AS (
-  SELECT c.series, c.t, o.t AS origin_t, ln(c.mid / o.mid) AS y
-  FROM bars c JOIN bars o ON c.series = o.series AND o.t = c.t - 18000
+  SELECT series, t, t - 18000 AS origin_t, y FROM (
+    SELECT series, t, lag(t, 5) OVER w AS o, ln(mid / lag(mid, 5) OVER w) AS y
+    FROM bars WINDOW w AS (PARTITION BY series ORDER BY t)) WHERE o = t - 18000
 ),
 known AS (
   SELECT l.series, l.t, l.y - (b1*x1 + b2*x2 + b3*x3) AS u
@@ -462,14 +463,15 @@ FROM (SELECT *, mid * exp((prob * 2 - 1) * 0.0005) - mid AS drift FROM filled) G
 SELECT series, t, round(y * 10000, 4) AS label_bps, round(vol * 10000, 4) AS vol_bps FROM training""")
 
     # aggregations
-    out["windowed_stats"] = _sql("", f"""
+    windowed_body = f"""
 SELECT make_timestamp(us // 3600000000 * 3600000000) AS window_start,
        make_timestamp(us // 3600000000 * 3600000000 + 3600000000) AS window_end, {STATS_COLUMNS}
-FROM ticks GROUP BY us // 3600000000, {STATS_KEYS}""")
-    out["sliding_stats"] = _sql("", f"""
+FROM ticks GROUP BY us // 3600000000, {STATS_KEYS}"""
+    sliding_body = f"""
 SELECT make_timestamp(w) AS window_start, make_timestamp(w + 7200000000) AS window_end, {STATS_COLUMNS}
 FROM (SELECT *, unnest([us // 3600000000 * 3600000000, us // 3600000000 * 3600000000 - 3600000000]) AS w FROM ticks)
-GROUP BY w, {STATS_KEYS}""")
+GROUP BY w, {STATS_KEYS}"""
+    out["windowed_stats"], out["sliding_stats"] = _sql("", windowed_body), _sql("", sliding_body)
     out["forecast_stats"] = _sql(POINTS, """
 SELECT asset, CAST(sec AS DOUBLE) AS ts, round(mid, 6) AS btc_mid, round(prob, 6) AS poly_prob,
        round((prob * 2 - 1) * 0.0005, 6) AS log_return,
@@ -580,8 +582,10 @@ SELECT b.series, b.t, coalesce(a.t, f.t) AS anchor_t, round(CASE WHEN a.t IS NOT
 FROM bars b ASOF LEFT JOIN bars a ON b.series = a.series AND b.t - 18000 >= a.t
 JOIN firsts f ON b.series = f.series""")
     out["realized_label"] = _sql(BARS, """
-SELECT c.series, c.t, o.t AS origin_t, round(ln(c.mid / o.mid), 6) AS realized
-FROM bars c LEFT JOIN bars o ON c.series = o.series AND o.t = c.t - 18000""")
+SELECT series, t, CASE WHEN o = t - 18000 THEN o END AS origin_t,
+       CASE WHEN o = t - 18000 THEN round(y, 6) END AS realized
+FROM (SELECT series, t, lag(t, 5) OVER w AS o, ln(mid / lag(mid, 5) OVER w) AS y
+      FROM bars WINDOW w AS (PARTITION BY series ORDER BY t))""")
     out["union_streams"] = _sql(POINTS, """
 SELECT asset, sec, round(mid, 6) AS btc_mid, round(mid * exp((prob * 2 - 1) * 0.0005), 6) AS forecast, CAST(NULL AS BIGINT) AS n FROM points
 UNION ALL
@@ -593,13 +597,14 @@ SELECT asset, us // 3600000000 * 3600, NULL, NULL, count(*) FROM ticks GROUP BY
     out["baseline_comparison"] = _sql(AR1, METRICS.format(by="series", rows=three))
 
     # stream-shaped operators
-    out["carry_forward"] = _sql(FILLED, """
+    filled_body = """
 SELECT asset, sec, round(mid, 6) AS btc_mid, round(prob, 6) AS poly_prob,
        round((prob * 2 - 1) * 0.0005, 6) AS log_return,
        round(mid * exp((prob * 2 - 1) * 0.0005) - mid, 6) AS drift,
        round(mid * exp((prob * 2 - 1) * 0.0005), 6) AS forecast,
        round(mid * 0.0005, 6) AS sigma, 0.0005::DOUBLE AS sigma_log
-FROM filled""")
+FROM filled"""
+    out["carry_forward"] = _sql(FILLED, filled_body)
     out["minute_bars"] = _sql(BARS, "SELECT series, t, round(mid, 6) AS btc_mid, round(prob, 6) AS poly_p_up FROM bars")
     out["bar_features"] = _sql(BAR_FEATURES, """
 SELECT series, t, contiguous, CASE WHEN contiguous THEN round(prob, 6) END AS x_prob,
@@ -620,6 +625,18 @@ SELECT series, {_iso("sec")} AS ts, CAST(sec AS DOUBLE) AS ts_unix, {_iso("sec +
        round({_phi("(lr / sigma_log)")}, 6) AS sarimax_prob_up, round(sigma_log, 6) AS sigma_log
 FROM scored""")
 
+    # streams: what the watermark has closed by the end of the input
+    closed = """,
+wm AS (SELECT max(us) // 1000 * 1000 - {delay} AS w FROM ticks)"""
+    out["stream_windowed_stats"] = _sql(closed.format(delay=7200000000), f"""
+SELECT * FROM ({windowed_body}) WHERE epoch_us(window_end) <= (SELECT w FROM wm)""")
+    out["stream_sliding_stats"] = _sql(closed.format(delay=7200000000), f"""
+SELECT * FROM ({sliding_body}) WHERE epoch_us(window_end) <= (SELECT w FROM wm)""")
+    out["stream_forecast"] = _sql(FILLED + closed.format(delay=3600000000), f"""
+{filled_body} WHERE (sec + 600) * 1000000 <= (SELECT w FROM wm)""")
+    out["stream_ticks"] = out["compact_ticks"]
+    out["score_stream"] = out["score_batch"]
+
     # modelling
     entries = ("s11", "s12", "s13", "y1", "s22", "s23", "y2", "s33", "y3", "yy")
     out["exog_gram"] = _sql(AR1, " UNION ALL ".join(

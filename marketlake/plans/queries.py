@@ -30,6 +30,7 @@ from marketlake.session import configure, materialize, work_dir
 from marketlake.sources import catalogue, envelope, forecasts, frames, models, ticks as archive
 from marketlake.sources import shared_tables as bind
 from marketlake.sources.shared_tables import SLOW
+from marketlake.streaming import pipeline, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,7 +93,7 @@ def _score_points(spark, sf_dir):
 
 
 def _bars(spark, sf_dir):
-    return features.minute_bars(_score_points(spark, sf_dir), SLOW)
+    return materialize(features.minute_bars(_score_points(spark, sf_dir), SLOW))
 
 
 def _training(spark, sf_dir):
@@ -663,6 +664,10 @@ def score_batch(spark, sf_dir):
     points = materialize(_score_points(spark, sf_dir))
     params = _ar1(materialize(_split(spark, sf_dir)))
     out = score.score_batch(points, features.minute_bars(points, SLOW), params, SLOW, chunk=200)
+    return _score_columns(out)
+
+
+def _score_columns(out):
     return out.withColumn("target_horizon_s", F.col("target_horizon_s").cast("bigint")).withColumns(
         r6(
             "sarimax_input_btc_mid", "sarimax_poly_prob", "log_return_pred", "sarimax_prob_up", "sigma_log"
@@ -800,3 +805,76 @@ def cumulative_volume_delta(spark, sf_dir):
     out = stats.cumulative_volume_delta(trades, "t_us", 86_400_000_000, order=("t_us", "event_id"))
     return out.select("event_id", "symbol", F.round("cvd", 4).alias("cvd"))
 
+
+# --- streams over the events table, drained and read back -----------------------------
+
+
+def _stream_ticks(spark, sf_dir):
+    messages = bind.bind_messages(bind.stream_events(spark, sf_dir))
+    return normalize_ticks(envelope.parse_envelope(messages))
+
+
+def _drained(spark, rows: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all available input into a table and read that table."""
+    base = work_dir(spark, name)
+    sink = {"format": "parquet", "path": f"{base}/out"}
+    pipeline.drain([pipeline.run_stream(rows, name, f"{base}/checkpoint", sink, trigger=pipeline.DRAIN)])
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+
+
+@query
+def stream_windowed_stats(spark, sf_dir):
+    """Windows the watermark (2 hours) has closed by the end of the input."""
+    out = stats.windowed_stats(_stream_ticks(spark, sf_dir), "1 hour", "2 hours")
+    return _drained(spark, out, "stats").withColumns(r6(*STAT_FLOATS))
+
+
+@query
+def stream_sliding_stats(spark, sf_dir):
+    out = stats.sliding_stats(_stream_ticks(spark, sf_dir), "2 hours", "1 hour", "2 hours")
+    return _drained(spark, out, "sliding").withColumns(r6(*STAT_FLOATS))
+
+
+@query
+def stream_forecast(spark, sf_dir):
+    """Ten-minute forecast points of the closed windows, carried forward by keyed state."""
+    base = work_dir(spark, "forecast")
+    config = pipeline.PipelineConfig(
+        output=base, checkpoint=f"{base}/checkpoint", forecast_grain="10 minutes", forecast_watermark="1 hour",
+        sigma_log=SIGMA, prob_stale=PROB_STALE, spot_stale=SPOT_STALE,
+    )
+    ticks = _stream_ticks(spark, sf_dir)
+    pipeline.drain([pipeline.sink_forecast_points(ticks, config, pipeline.DRAIN)])
+    return _drained(spark, pipeline.live_forecast(spark, config), "carried").withColumns(
+        r6("btc_mid", "poly_prob", "log_return", "drift", "forecast", "sigma")
+    )
+
+
+@query
+def stream_ticks(spark, sf_dir):
+    """Streaming archive sink, read back."""
+    base = work_dir(spark, "archive")
+    pipeline.drain(
+        [
+            pipeline.sink_ticks(
+                _stream_ticks(spark, sf_dir), f"{base}/ticks", f"{base}/checkpoint", pipeline.DRAIN, 1
+            )
+        ]
+    )
+    return archive.read_ticks(spark, f"{base}/ticks").groupBy("source", "date").agg(
+        F.count("*").alias("n"),
+        F.countDistinct("hour").alias("hours"),
+        F.round(F.max("price"), 6).alias("price_max"),
+    )
+
+
+@query
+def score_stream(spark, sf_dir):
+    """Forecast messages through the live scorer; the same result as the batch scorer."""
+    base = work_dir(spark, "scoring")
+    points = _filled(spark, sf_dir)
+    forecasts.forecast_messages(points).write.json(f"{base}/forecast")
+    params = _ar1(materialize(_split(spark, sf_dir)))
+    messages = spark.readStream.schema("key STRING, value STRING").json(f"{base}/forecast")
+    scored = state.score_stream(forecasts.read_forecast_points(messages), params, SLOW)
+    return _score_columns(_drained(spark, scored, "score"))

@@ -60,8 +60,17 @@ def write_ticks(ticks: DataFrame, root: str, mode: str = "append") -> None:
 
     The rebalance hint lets adaptive execution split a partition that holds most of the rows
     and merge the small ones, so neither a hot hour nor a quiet one decides the file size.
+    A small archive is bound by its number of files, so it still gets a task per core.
     """
-    ticks.hint("rebalance", *TICK_PARTITIONS).write.mode(mode).partitionBy(*TICK_PARTITIONS).parquet(root)
+    conf, key = ticks.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = conf.get(key, None)
+    conf.set(key, "16KB")
+    try:
+        ticks.hint("rebalance", *TICK_PARTITIONS).write.mode(mode).partitionBy(
+            *TICK_PARTITIONS
+        ).parquet(root)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 def compact_ticks(
