@@ -10,7 +10,8 @@ fitted with the two-stage least-squares estimator of Hannan & Rissanen (1982):
 
 Every stage is one map-side-combined aggregate over all series; only matrices of order
 ≤ 20 are solved in Python, one row per series. All (p, q) orders share one Gram matrix of
-the maximal design, so the whole AIC grid costs no further pass over the data.
+the maximal design, so the whole AIC grid costs no further pass over the data. The one-row-
+per-series results between stages are materialised, so no stage repeats an earlier pass.
 
 Rows carry a 0-based `idx` per series. Lags are windows over chunks of `idx` with a halo,
 so a long series is spread over tasks.
@@ -28,6 +29,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from marketlake.operators.chunks import CHUNK, chunk_window, core_only, running_columns, with_halo
 from marketlake.schemas import EXOG, TARGET
+from marketlake.session import materialize
 
 MAX_LAG = 3
 LONG_AR = 20
@@ -179,8 +181,10 @@ def lag_gram(
 
     With `step`, only rows whose lags are unbroken in time enter.
     """
-    ar = autocovariances(u_rows, long_ar, chunk).select(
-        "series", F.col("n").alias("_n"), _long_ar("acov", "n").alias("_ar")
+    ar = materialize(
+        autocovariances(u_rows, long_ar, chunk).select(
+            "series", F.col("n").alias("_n"), _long_ar("acov", "n").alias("_ar")
+        )
     )
     reach = long_ar + max_lag
     columns = ["series", "idx", "u", *(["t"] if step else [])]
@@ -276,7 +280,7 @@ def fit_arx(
 
     Series without enough rows appear with status `insufficient` and no coefficients.
     """
-    stage1 = fit_exog(split, exog, target)
+    stage1 = materialize(fit_exog(split, exog, target))
     if grid is None:
         p_max, q_max = order or (max_p, max_q)
         u_rows = residuals(

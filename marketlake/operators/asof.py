@@ -28,8 +28,7 @@ def asof_join(
     """
     payload = F.struct(F.col(on).alias("t"), *values)
     lefts = left.withColumn("_side", F.lit(1))
-    # several right rows at one time: keep one, repeatably
-    rights = right.where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.max(payload).alias("_r"))
+    rights = right.where(F.col(on).isNotNull()).select(*by, on, payload.alias("_r"))
     lefts = lefts.withColumn("_r", F.lit(None).cast(rights.schema["_r"].dataType))
     if tolerance is not None:
         rights = with_halo(rights, on, chunk, before=tolerance).drop("_core")
@@ -37,8 +36,9 @@ def asof_join(
         rights = rights.withColumn(CHUNK, chunk_of(on, chunk))
     lefts = lefts.withColumn(CHUNK, chunk_of(on, chunk))
     both = lefts.unionByName(rights.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    # several right rows at one time: the greatest wins, so the result is repeatable
     newest = F.last("_r", ignorenulls=True).over(
-        chunk_window(by, on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        chunk_window(by, on, "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
     )
     out = both.withColumn("_m", newest).where(F.col("_side") == 1)
     if tolerance is not None:

@@ -95,14 +95,15 @@ def score_batch(
 ) -> DataFrame:
     """Score every point: live features, error-process state as of then, output fields.
 
-    Bars (one row per series and minute) are materialised: four steps read them.
+    Bars and states (one row per series and minute) are materialised: bars feed four steps,
+    and the states' own chain of windows is long.
     """
     bars = materialize(bars)
     sigmas = params.where(F.col("status") == "ok").select("series", "beta", "sigma_log")
     with_sigma = points.join(sigmas, "series")
     features = live_features(with_sigma, bars, F.col("sigma_log"), grains, strict)
     bars_sigma = bars.join(sigmas.drop("beta"), "series")
-    states = observed_states(bars_sigma, params, grains, chunk, strict)
+    states = materialize(observed_states(bars_sigma, params, grains, chunk, strict))
     stated = asof_join(
         features.withColumn("t", F.col("sec")), states, ["series"], "t", ["ahead"], None, grains.chunk
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marketlake.functions.pricing import bps, implied_forecast, probability_leg, spot_leg
 from marketlake.functions.times import MICROS, bucket
 from marketlake.operators.chunks import chunk_window, core_only, running_columns, with_halo
+from marketlake.operators.quantiles import with_percentiles
 from marketlake.schemas import DEFAULT_SIGMA_LOG, STATS_DDL
 
 STAT_KEYS = ("source", "ident", "asset", "series", "market_outcome", "price_bucket")
@@ -178,33 +179,15 @@ def message_rates(envelopes: DataFrame, interval_s: int = 60, window_s: float =
 
 
 def latency_summary(rows: DataFrame, value: Column | str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Count, mean, interpolated p50 / p95 / p99, max and throughput of microsecond latencies.
-
-    Percentiles come from a map of value counts (values at microsecond resolution repeat),
-    which combines on the map side.
-    """
+    """Count, mean, interpolated p50 / p95 / p99, max and throughput of microsecond latencies."""
     v = F.col(value) if isinstance(value, str) else value
-    q = F.percentile("_v", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return (
-        rows.select(*by, v.alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*by)
-        .agg(
-            F.count("*").alias("n"),
-            F.avg("_v").alias("mean_us"),
-            q.alias("_q"),
-            F.max("_v").alias("max_us"),
-        )
-        .select(
-            *by,
-            "n",
-            "mean_us",
-            F.col("_q")[0].alias("p50_us"),
-            F.col("_q")[1].alias("p95_us"),
-            F.col("_q")[2].alias("p99_us"),
-            "max_us",
-            F.try_divide(F.lit(1e6), "mean_us").alias("throughput"),
-        )
+    values = rows.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
+    summary = values.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg("_v").alias("mean_us"), F.max("_v").alias("max_us")
+    )
+    fractions = {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99}
+    return with_percentiles(summary, values, by, "_v", fractions).select(
+        *by, "n", "mean_us", *fractions, "max_us", F.try_divide(F.lit(1e6), "mean_us").alias("throughput")
     )
 
 
@@ -226,24 +209,17 @@ def feature_summary(
             )
         ).alias("_e"),
     ).select(*by, "_e.feature", "_e.v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (
-        stacked.groupBy(*by, "feature")
-        .agg(
-            F.count("v").alias("n"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"),
-            q.alias("_q"),
-            F.max("v").alias("max"),
-        )
-        .select(
-            *by, "feature", "n", "mean", "std", "min",
-            F.col("_q")[0].alias("p25"),
-            F.col("_q")[1].alias("p50"),
-            F.col("_q")[2].alias("p75"),
-            "max",
-        )
+    groups = (*by, "feature")
+    summary = stacked.groupBy(*groups).agg(
+        F.count("v").alias("n"),
+        F.avg("v").alias("mean"),
+        F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+    )
+    fractions = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    return with_percentiles(summary, stacked, groups, "v", fractions).select(
+        *groups, "n", "mean", "std", "min", *fractions, "max"
     )
 
 

@@ -82,3 +82,13 @@ def materialize(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives in a few pieces, such as one small file.
+
+    A no-op once the input has at least a quarter as many splits as there are cores, so a
+    large scan is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 4 > cores else df.repartition(cores)

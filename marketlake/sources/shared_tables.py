@@ -30,6 +30,7 @@ from marketlake.schemas import (
     SPOT_SOURCE,
     TOPIC_PREDICTION,
 )
+from marketlake.session import spread
 from marketlake.sources.envelope import to_envelope
 from marketlake.sources.frames import route_topic
 
@@ -50,7 +51,7 @@ SLOW = Grains(
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(EVENTS_DDL).parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.schema(EVENTS_DDL).parquet(f"{sf_dir}/events.parquet"))
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,3 +180,23 @@ def test_kafka_is_asked_for_what_the_pipeline_needs(spark):
         tick_source(spark, "kafka", "nowhere:9092")
     with pytest.raises(ValueError):
         tick_source(spark, "carrier pigeon", "x")
+
+
+def test_run_pipeline_starts_all_queries(spark, tmp_path):
+    """All queries run side by side; the second forecast hop may start before the first has written."""
+    land(tmp_path / "in", "a.json", messages(0, 120))
+    config = PipelineConfig(
+        output=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"), salts=1,
+        trigger={"processingTime": "500 milliseconds"},
+    )
+    queries = pipeline.run_pipeline(tick_source(spark, "files", str(tmp_path / "in")), config)
+    try:
+        assert [q.name for q in queries] == ["ticks", "stats", "forecast_points", "forecast"]
+        for q in queries:
+            q.processAllAvailable()
+        assert all(q.exception() is None for q in queries)
+    finally:
+        for q in queries:
+            q.stop()
+    assert read_ticks(spark, f"{config.output}/ticks").count() == len(messages(0, 120))
+    assert published(spark, config, TOPIC_FORECAST).count() > 0

@@ -152,6 +152,24 @@ def test_training_table_against_pandas(spark):
     assert np.allclose(got[list(want.columns)], want, atol=1e-12)
 
 
+def test_percentiles_from_brackets(spark):
+    """A coarse sketch forces brackets, one group holds most rows, one has a single value."""
+    from marketlake.operators.quantiles import exact_percentiles
+
+    rng = np.random.default_rng(3)
+    groups = {"hot": rng.lognormal(0, 3, 6000), "few": rng.normal(size=37), "one": np.array([4.0]),
+              "ties": np.repeat([1.0, 2.0, 3.0], 400), None: rng.normal(size=501)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame([*rows, ("few", None)], "g string, v double")
+    want = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99, "top": 1.0}
+    got = {r["g"]: r for r in exact_percentiles(df, ("g",), "v", want, accuracy=100).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert np.allclose([got[g][n] for n in want], np.quantile(vs, list(want.values())))
+    (whole,) = exact_percentiles(df, (), "v", want, accuracy=100).collect()
+    assert np.allclose(list(whole), np.quantile([v for _, v in rows], list(want.values())))
+
+
 def test_throttle_is_one_per_second(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 1.0), ("a", 2, 5.0)], "k string, sec bigint, v double")
     assert sorted((r["sec"], r["v"]) for r in features.throttle(df, ["k"], "sec").collect()) == [(1, 1.0), (2, 5.0)]
