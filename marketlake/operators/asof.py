@@ -28,7 +28,8 @@ def asof_join(
     """
     payload = F.struct(F.col(on).alias("t"), *values)
     lefts = left.withColumn("_side", F.lit(1))
-    rights = right.where(F.col(on).isNotNull()).select(*by, on, payload.alias("_r"))
+    # as in any equi-join, a NULL key matches nothing; such left rows stay, unmatched
+    rights = right.dropna(subset=[*by, on]).select(*by, on, payload.alias("_r"))
     lefts = lefts.withColumn("_r", F.lit(None).cast(rights.schema["_r"].dataType))
     if tolerance is not None:
         rights = with_halo(rights, on, chunk, before=tolerance).drop("_core")

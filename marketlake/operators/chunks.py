@@ -10,6 +10,8 @@ over a whole series of ticks. Two shapes cover every ordered operator:
   is reduced to one row by a map-side-combined aggregate, the small chunk table is
   scanned in order, and what a chunk inherits is joined back (`row_index`,
   `running_columns`, and the as-of join).
+
+Keys and the order column must not be NULL.
 """
 
 from __future__ import annotations

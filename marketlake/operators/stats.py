@@ -285,13 +285,17 @@ def last_n(
         .agg(F.count("*").alias("_n"))
         .withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
         .where(F.col("_newer") < n)
-        .select(*by, "_slot")
+        .select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_slot").alias("_s"))
     )
+    # rows whose key is NULL form a group like any other
+    same = F.col("_slot") == F.col("_s")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     rank = F.row_number().over(
         Window.partitionBy(*by).orderBy(F.col("_t").desc(), *[F.col(c).desc() for c in tiebreak])
     )
     return (
-        slotted.join(needed, [*by, "_slot"], "left_semi")
+        slotted.join(needed, same, "left_semi")
         .withColumn("rn", rank)
         .where(F.col("rn") <= n)
         .drop("_t", "_slot")
