@@ -194,5 +194,6 @@ def test_tick_reductions_are_hash_aggregates(spark, sf):
     for df in (resample.minute_cells(ticks), resample.last_per_bucket(ticks), stats.forecast_stats(ticks)):
         plan = plan_of(df)
         assert "HashAggregate" in plan and "SortAggregate" not in plan
-        assert plan.count("Exchange") == 1
+        # one shuffle by key; the small test file is also dealt out to the cores
+        assert plan.count("Exchange hashpartitioning") == 1
     assert "ReadSchema: struct<ts:timestamp_ntz" in plan_of(resample.minute_cells(ticks))
