@@ -166,7 +166,8 @@ def bind_messages(events: DataFrame) -> DataFrame:
         "event_id",
         "topic",
         F.coalesce("symbol", "asset_id").alias("key"),
-        text.cast("binary").alias("value"),
+        # never NULL, and said so: the parser's NULL check then needs no second rendering
+        F.coalesce(text, F.lit("")).cast("binary").alias("value"),
     )
 
 
