@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from marketlake.llm import decontam, exact_dedup, mixing, ngram_join, quality
+from marketlake.llm import (
+    chat,
+    decontam,
+    exact_dedup,
+    html_text,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    secrets,
+    toxicity,
+)
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_ngram_jaccard_join": ngram_join.query,
     "op4_poisson_mixing": mixing.query,
     "op5_quality_classifier": quality.query,
     "op6_benchmark_decontamination": decontam.query,
+    "op7_pii": pii.query,
+    "op8_html_extraction": html_text.query,
+    "op9_chat_formatting": chat.query,
+    "op10_secret_scan": secrets.query,
 }
 
 ORACLE_SQL = {
