@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.session import configure, materialize
+from marketlake.session import configure, materialize, work_dir
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A lookup table of so many rows or fewer is sent to every executor; a longer one is joined.
@@ -43,4 +43,47 @@ def lookup(df: DataFrame, entries: DataFrame, key: str, row_id: str = "doc_id")
     return mine.join(salted, [key, "_salt"], "left").drop("_salt")
 
 
-__all__ = ["ascii_lower", "lookup", "materialize", "table", "whole_text"]
+def bitmap(hashes: DataFrame, longs: int) -> DataFrame:
+    """One row, bits: longs numbers of 64 bits with the bit of every hash h set; its size is fixed."""
+    slot = f"pmod(h, {longs * 64}L)"
+    used = hashes.selectExpr(f"cast({slot} div 64 AS long) AS id", f"shiftleft(1L, cast({slot} % 64 AS int)) AS bit")
+    used = used.groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    cell = F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return (
+        hashes.sparkSession.range(longs)
+        .join(used, "id", "left")
+        .agg(F.array_sort(F.collect_list(cell)).alias("all"))
+        .select(F.expr("transform(all, x -> x.bits)").alias("bits"))
+    )
+
+
+def in_bitmap(bits: Column, longs: int, h: Column) -> Column:
+    """Whether the bit of h is set; true for every hash put in, rarely for another."""
+    slot = F.pmod(h, F.lit(longs * 64))
+    word = F.get(bits, F.floor(slot / 64).cast("int"))
+    return F.call_function("getbit", word, (slot % 64).cast("int")) == 1
+
+
+class Scratch:
+    """Compressed tables in the shared folder that an operator needs for a while.
+
+    drop() deletes them; whatever is returned must not read them by then.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.append(work_dir(self.spark, "scratch"))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
+__all__ = ["Scratch", "ascii_lower", "bitmap", "in_bitmap", "lookup", "materialize", "table", "whole_text"]

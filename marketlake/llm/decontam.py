@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import ascii_lower, materialize, table, whole_text
+from marketlake.llm.common import ascii_lower, bitmap, in_bitmap, materialize, table, whole_text
 
 WINDOW = 10
 SHINGLE = 3
@@ -69,39 +69,20 @@ def shingles_of(windows: DataFrame) -> DataFrame:
     )
 
 
-def bitmap_of(shingles: DataFrame) -> DataFrame:
-    """One row, bits: array of LONGS longs with the bit of every shingle set."""
-    spark = shingles.sparkSession
-    slot = f"pmod(h, {LONGS * 64}L)"
-    used = shingles.selectExpr(f"cast({slot} div 64 AS long) AS id", f"shiftleft(1L, cast({slot} % 64 AS int)) AS bit")
-    used = used.groupBy("id").agg(F.bit_or("bit").alias("bits"))
-    return (
-        spark.range(LONGS)
-        .join(used, "id", "left")
-        .agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all"))
-        .select(F.expr("transform(all, x -> x.bits)").alias("bits"))
-    )
-
-
 def places(docs: DataFrame, shingles: DataFrame, sizes: list[int], reach: int) -> DataFrame:
     """(doc_id, at, h, left, around, n_words) of every benchmark shingle in the documents.
 
     around: the words from left before the place to reach after it.
     """
-    bits = bitmap_of(shingles).scalar()
+    bits = bitmap(shingles.select("h"), LONGS).scalar()
     hashes = F.expr(
         "array(" + ", ".join(f"CASE WHEN at + {k} <= size(w) THEN {shingle_hash('w', 'at', k)} END" for k in sizes) + ")"
     ) if len(sizes) > 1 else F.expr(f"CASE WHEN at + {sizes[0]} <= size(w) THEN {shingle_hash('w', 'at', sizes[0])} END")
 
-    def marked(h: Column) -> Column:
-        slot = F.pmod(h, F.lit(LONGS * 64))
-        word = F.get(bits, F.floor(slot / 64).cast("int"))
-        return F.call_function("getbit", word, (slot % 64).cast("int")) == 1
-
     words = docs.select("doc_id", words_of(whole_text()).alias("w")).where("size(w) > 0")
     each = words.select("doc_id", "w", F.posexplode("w").alias("at", "word")).drop("word")
     each = each.select("doc_id", "w", "at", (F.explode(hashes) if len(sizes) > 1 else hashes).alias("h"))
-    found = each.where(F.col("h").isNotNull() & marked(F.col("h")))
+    found = each.where(F.col("h").isNotNull() & in_bitmap(bits, LONGS, F.col("h")))
     return found.select(
         "doc_id",
         "at",

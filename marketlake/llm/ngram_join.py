@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from marketlake.llm.common import materialize, table, whole_text
+from marketlake.llm.common import Scratch, bitmap, in_bitmap, materialize, table, whole_text
 from marketlake.llm.graph import components
 
 #: Counters of the rarity table, and how many travel as one row.
@@ -45,6 +45,8 @@ CHUNK = 1 << 14
 #: Lists of shingles more frequent than this are dealt over several tasks.
 HOT = 20_000
 SUBSET = 2
+#: Bits of the bitmap of wanted documents, as longs of 64.
+LONGS = 1 << 15
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPIN = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -237,7 +239,10 @@ def shared_lists(entries: DataFrame) -> DataFrame:
     return (
         rows.join(lists.where("low <> high OR salt > 0"), ["key", "salt"])
         .dropDuplicates(["key", "salt", "set_id"])
-        .select("key", "salt", "set_id", "n", "pos", "lead")
+        .selectExpr(
+            "key", "salt", "set_id", "n", "pos", "lead.set_id AS lead_id", "lead.n AS lead_n", "lead.pos AS lead_pos",
+            "lead.full AS lead_full",
+        )
     )
 
 
@@ -275,73 +280,90 @@ def as_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, described: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs of sets that connect every component, and the label of each linked set."""
-    counts = rarity(described)
-    of_docs = described.where("chunk < 0")
-    sizes = [
-        (r["n"], r["sets"])
-        for r in of_docs.where("n BETWEEN 1 AND 128").groupBy("n").agg(F.count_distinct("set_id").alias("sets")).collect()
-    ]
-    limit = boundary(sizes, counts, percent)
-    lists = materialize(shared_lists(list_entries(docs, counts, limit, width, percent)))
+def sets_of(pairs: DataFrame, docs: DataFrame, of_docs: DataFrame, width: int) -> DataFrame:
+    """(set_id, shingles) of the sets in pairs, from one document of each.
 
-    # whole sets of the documents that share a list with another one within the length bound
-    leaders = lists.select("key", "salt", "lead").distinct()
-    in_lists = lists.select("set_id").distinct()
-    shown = of_docs.join(in_lists, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    A bitmap of fixed size drops nearly all other documents before their texts are shuffled.
+    """
 
     def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch["text"]]
             yield pd.DataFrame({"set_id": [set_name(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
-    sets = materialize(
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    ids = of_docs.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    ids = materialize(ids.select("doc_id").distinct())
+    bits = bitmap(ids.select(F.xxhash64("doc_id").alias("h")), LONGS).scalar()
+    return (
         docs.select("doc_id", whole_text().alias("text"))
-        .join(shown, "doc_id", "left_semi")
+        .where(in_bitmap(bits, LONGS, F.xxhash64("doc_id")))
+        .join(ids, "doc_id", "left_semi")
         .mapInPandas(as_sets, "set_id long, shingles binary")
         .dropDuplicates(["set_id"])
     )
 
-    # leaders first: against the members of their list, and of a dealt list against each other
-    star = lists.selectExpr("set_id", "named_struct('n', n, 'pos', pos) AS x", "lead", "lead.set_id AS lead_id")
-    star = as_pairs(star.where(near(percent, "x", "lead")), "set_id", "lead_id")
+
+def linked_sets(docs: DataFrame, described: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, label) of every set that links with another one; label is the least set of its component."""
+    counts = rarity(described)
+    of_docs = described.where("chunk < 0").select("doc_id", "n", "set_id")
+    sizes = [
+        (r["n"], r["sets"])
+        for r in of_docs.where("n BETWEEN 1 AND 128").groupBy("n").agg(F.count_distinct("set_id").alias("sets")).collect()
+    ]
+    limit = boundary(sizes, counts, percent)
+    scratch = Scratch(docs.sparkSession)
+    lists = scratch.keep(shared_lists(list_entries(docs, counts, limit, width, percent)))
+    leaders = lists.select("key", "salt", "lead_id", "lead_n", "lead_pos", "lead_full").distinct()
+    # lists that were dealt over several tasks have a leader each, and one of them leads all
     dealt = leaders.where("salt > 0").select("key").distinct()
-    tops = leaders.join(dealt, "key").groupBy("key").agg(F.max("lead").alias("top"))
-    across = leaders.join(tops, "key").selectExpr("lead", "top", "lead.set_id AS lead_id", "top.set_id AS top_id")
-    star = star.unionByName(as_pairs(across.where(near(percent, "lead", "top")), "lead_id", "top_id")).distinct()
-    edges = materialize(verified(star, sets, percent))
+    tops = leaders.join(dealt, "key").groupBy("key").agg(
+        F.max(F.struct("lead_full", "lead_id", F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos"))).alias("top")
+    )
+
+    # leaders first: against the members of their list, and of a dealt list against the first of them
+    entry, lead = "named_struct('n', n, 'pos', pos) AS x", "named_struct('n', lead_n, 'pos', lead_pos) AS y"
+    star = lists.selectExpr("set_id AS one", "lead_id AS two", entry, lead)
+    across = leaders.join(tops, "key").selectExpr("lead_id AS one", "top.lead_id AS two", lead.replace("AS y", "AS x"), "top AS y")
+    star = star.where(near(percent, "x", "y")).select("one", "two").unionByName(
+        across.where(near(percent, "x", "y")).select("one", "two")
+    )
+    star = materialize(as_pairs(star, "one", "two"))
+    edges = materialize(verified(star, scratch.keep(sets_of(star, docs, of_docs, width)), percent))
     labels = materialize(components(edges))
 
     # then whoever is not in the component of the leader of its list, against all of the list
-    named = labels.select(F.col("node").alias("set_id"), "label")
-    rows = lists.join(named, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    of_lead = tops.selectExpr("key", "top.set_id AS top_id").unionByName(
-        leaders.join(dealt, "key", "left_anti").selectExpr("key", "lead.set_id AS top_id")
+    of_lead = tops.selectExpr("key", "top.lead_id AS top_id").unionByName(
+        leaders.join(dealt, "key", "left_anti").selectExpr("key", "lead_id AS top_id")
     )
     of_lead = of_lead.join(labels.selectExpr("node AS top_id", "label AS top_label"), "top_id", "left").selectExpr(
         "key", "coalesce(top_label, top_id) AS top_label"
     )
-    rows = materialize(rows.join(of_lead, "key").select("key", "set_id", "n", "pos", "label", "top_label"))
+    rows = (
+        lists.select("key", "set_id", "n", "pos")
+        .join(labels.selectExpr("node AS set_id", "label"), "set_id", "left")
+        .withColumn("label", F.coalesce("label", "set_id"))
+        .join(of_lead, "key")
+    )
+    open_lists = rows.groupBy("key").agg(F.max(F.col("label") != F.col("top_label")).alias("open")).where("open").select("key")
+    rows = scratch.keep(rows.join(open_lists, "key", "left_semi"))
     rest = rows.where("label <> top_label").alias("r")
     other = rows.alias("o")
-    pairs = rest.join(
-        other,
-        F.expr(
-            "r.key = o.key AND r.label <> o.label AND (o.label = o.top_label OR r.set_id < o.set_id) AND "
-            + near(percent, "r", "o")
-        ),
-    ).selectExpr("r.set_id AS one", "o.set_id AS two")
-    more = verified(as_pairs(pairs, "one", "two").join(star, ["a", "b"], "left_anti"), sets, percent)
-    edges = materialize(edges.unionByName(more))
-    return edges, components(edges)
+    meet = "r.key = o.key AND r.label <> o.label AND (o.label = o.top_label OR r.set_id < o.set_id) AND "
+    pairs = rest.join(other, F.expr(meet + near(percent, "r", "o"))).selectExpr("r.set_id AS one", "o.set_id AS two")
+    pairs = materialize(as_pairs(pairs, "one", "two").join(star, ["a", "b"], "left_anti"))
+    more = verified(pairs, scratch.keep(sets_of(pairs, docs, of_docs, width)), percent)
+    found = materialize(components(edges.unionByName(more)))
+    scratch.drop()
+    return found
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     described = materialize(describe(docs, width))
     of_docs = described.where("chunk < 0").select("doc_id", "n", "set_id")
-    _, labels = links(docs, described, width, percent)
+    labels = linked_sets(docs, described, width, percent)
     first = of_docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     named = first.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "label", F.coalesce("label", "set_id")
