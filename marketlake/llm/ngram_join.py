@@ -17,7 +17,9 @@ Work per list is not the square of its length. Sets that are identical count as
 set of a list (the one with the fewest rare shingles, which is next to the original of a group of
 near copies) is compared with the others first; links give components. Then only members outside
 the component of that leader are compared with the rest, under the length and positional bounds,
-until no candidate across components is left. Every candidate is verified on its whole sets.
+until no candidate across components is left. Candidates first pass a bound from bitmaps: each set
+has PARITY bits, each flipped once per shingle that hashes to it, and two bitmaps differ in no more
+bits than the sets differ in shingles. What passes is verified on its whole sets.
 
 Edge cases: NULL or empty texts have the empty set and link with nothing, also not with each
 other. Texts with fewer words than a shingle have one shingle, the whole sequence. Repeated rows
@@ -47,6 +49,8 @@ HOT = 20_000
 SUBSET = 2
 #: Bits of the bitmap of wanted documents, as longs of 64.
 LONGS = 1 << 15
+#: Bits of a set's parity bitmap.
+PARITY = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPIN = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -74,13 +78,19 @@ def set_name(s: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(s.tobytes(), len(s))).astype(np.int64)) if len(s) else 0
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The set's parity bitmap as longs."""
+    bits = np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def needed(n: np.ndarray | int, percent: int):
     """Least overlap that a set of n shingles needs with a set of any size."""
     return -(-percent * n // 100)
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (doc_id, n, set_id), and the counts of all shingles in chunks."""
+    """One row per document (doc_id, n, set_id, parity), and the counts of all shingles in chunks."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(WIDTH, np.int64)
@@ -94,6 +104,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                     "doc_id": batch["doc_id"],
                     "n": [len(s) for s in sets],
                     "set_id": [set_name(s) for s in sets],
+                    "parity": [parity(s) for s in sets],
                     "chunk": -1,
                     "counts": None,
                 }
@@ -105,13 +116,14 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                     "doc_id": None,
                     "n": 0,
                     "set_id": 0,
+                    "parity": None,
                     "chunk": [c // CHUNK for c in chunks],
                     "counts": [zlib.compress(counts[c : c + CHUNK].astype("<u4").tobytes(), 1) for c in chunks],
                 }
             )
 
     return docs.select("doc_id", whole_text().alias("text")).mapInPandas(
-        scan, "doc_id long, n int, set_id long, chunk int, counts binary"
+        scan, "doc_id long, n int, set_id long, parity array<long>, chunk int, counts binary"
     )
 
 
@@ -274,6 +286,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
+def bounded(pairs: DataFrame, of_sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity bitmaps allow enough overlap.
+
+    Sets of sizes n and m that differ in d shingles overlap in (n + m - d) / 2.
+    """
+    one = of_sets.selectExpr("set_id AS a", "n AS n1", "parity AS p1")
+    two = of_sets.selectExpr("set_id AS b", "n AS n2", "parity AS p2")
+    differ = "aggregate(zip_with(p1, p2, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    enough = f"(200 + 2 * {percent}) * ({differ}) <= 2 * (100 - {percent}) * (n1 + n2)"
+    return pairs.join(one, "a").join(two, "b").where(enough).select("a", "b")
+
+
 def as_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return (
         df.select(F.expr(f"least({a}, {b}) AS a"), F.expr(f"greatest({a}, {b}) AS b")).where("a <> b").distinct()
@@ -300,14 +324,14 @@ def sets_of(pairs: DataFrame, docs: DataFrame, of_docs: DataFrame, width: int) -
         .where(in_bitmap(bits, LONGS, F.xxhash64("doc_id")))
         .join(ids, "doc_id", "left_semi")
         .mapInPandas(as_sets, "set_id long, shingles binary")
-        .dropDuplicates(["set_id"])
     )
 
 
 def linked_sets(docs: DataFrame, described: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, label) of every set that links with another one; label is the least set of its component."""
     counts = rarity(described)
-    of_docs = described.where("chunk < 0").select("doc_id", "n", "set_id")
+    of_docs = described.where("chunk < 0").select("doc_id", "n", "set_id", "parity")
+    of_sets = materialize(of_docs.groupBy("set_id").agg(F.first("n").alias("n"), F.first("parity").alias("parity")))
     sizes = [
         (r["n"], r["sets"])
         for r in of_docs.where("n BETWEEN 1 AND 128").groupBy("n").agg(F.count_distinct("set_id").alias("sets")).collect()
@@ -329,8 +353,9 @@ def linked_sets(docs: DataFrame, described: DataFrame, width: int, percent: int)
     star = star.where(near(percent, "x", "y")).select("one", "two").unionByName(
         across.where(near(percent, "x", "y")).select("one", "two")
     )
-    star = materialize(as_pairs(star, "one", "two"))
-    edges = materialize(verified(star, scratch.keep(sets_of(star, docs, of_docs, width)), percent))
+    star = as_pairs(star, "one", "two")
+    close = materialize(bounded(star, of_sets, percent))
+    edges = materialize(verified(close, scratch.keep(sets_of(close, docs, of_docs, width)), percent))
     labels = materialize(components(edges))
 
     # then whoever is not in the component of the leader of its list, against all of the list
@@ -352,7 +377,8 @@ def linked_sets(docs: DataFrame, described: DataFrame, width: int, percent: int)
     other = rows.alias("o")
     meet = "r.key = o.key AND r.label <> o.label AND (o.label = o.top_label OR r.set_id < o.set_id) AND "
     pairs = rest.join(other, F.expr(meet + near(percent, "r", "o"))).selectExpr("r.set_id AS one", "o.set_id AS two")
-    pairs = materialize(as_pairs(pairs, "one", "two").join(star, ["a", "b"], "left_anti"))
+    pairs = bounded(as_pairs(pairs, "one", "two"), of_sets, percent)
+    pairs = materialize(pairs.join(close, ["a", "b"], "left_anti"))
     more = verified(pairs, scratch.keep(sets_of(pairs, docs, of_docs, width)), percent)
     found = materialize(components(edges.unionByName(more)))
     scratch.drop()
