@@ -31,7 +31,7 @@ from marketlake.operators.chunks import CHUNK, chunk_window, core_only, running_
 from marketlake.schemas import EXOG, TARGET
 from marketlake.session import materialize
 
-MAX_LAG = 3
+DEFAULT_ORDER = 3
 LONG_AR = 20
 INDEX_CHUNK = 65_536
 DOUBLES = ArrayType(DoubleType())
@@ -154,7 +154,10 @@ def autocovariances(u_rows: DataFrame, lags: int = LONG_AR, chunk: int = INDEX_C
 
 @F.pandas_udf(DOUBLES)
 def _long_ar(acov: pd.Series, n: pd.Series) -> pd.Series:
-    """Yule–Walker coefficients of an autoregression of order min(20, n / 10), zero padded."""
+    """Yule–Walker coefficients of an autoregression of order min(20, n / 10), zero padded.
+
+    NULL if its equations are singular: such a series has no proxies of e and is not fitted.
+    """
 
     def one(r, n_rows):
         r = np.asarray(r, dtype=float)
@@ -163,24 +166,39 @@ def _long_ar(acov: pd.Series, n: pd.Series) -> pd.Series:
         if m < 1 or not r[0] > 0:
             return out
         index = np.abs(np.subtract.outer(np.arange(m), np.arange(m)))
-        coef = _solve(r[index], r[1 : m + 1])
-        out[:m] = np.nan_to_num(coef)
-        return out
+        out[:m] = _solve(r[index], r[1 : m + 1])
+        return out if np.isfinite(out).all() else None
 
     return pd.Series([one(r, k) for r, k in zip(acov, n)])
 
 
+def longest(params: DataFrame) -> tuple[int, int]:
+    """The greatest autoregressive and moving-average order among the fitted series."""
+    sizes = [F.max(F.size(c)).alias(c) for c in ("phi", "theta")]
+    row = params.where(F.col("status") == "ok").agg(*sizes).first()
+    return row["phi"] or 0, row["theta"] or 0
+
+
 def lag_gram(
     u_rows: DataFrame,
-    max_lag: int = MAX_LAG,
+    max_lag: int = DEFAULT_ORDER,
     long_ar: int = LONG_AR,
     chunk: int = INDEX_CHUNK,
     step: int | None = None,
+    moving_average: bool = True,
 ) -> DataFrame:
     """Per series: the Gram matrix of (u lags, e-proxy lags, u) on their common sample.
 
-    With `step`, only rows whose lags are unbroken in time enter.
+    With `step`, only rows whose lags are unbroken in time enter. Without `moving_average` there
+    are no e lags, and the pass for their proxies is left out.
     """
+    u_names = [f"u{k}" for k in range(1, max_lag + 1)]
+    if not moving_average:
+        rows = with_halo(
+            u_rows.select("series", "idx", "u", *(["t"] if step else [])), "idx", max(chunk, max_lag), before=max_lag
+        )
+        rows = _mask_gaps(_lags(rows, "u", max_lag, "u"), u_names, step)
+        return _gram_rows(rows, [*u_names, "u"])
     ar = materialize(
         autocovariances(u_rows, long_ar, chunk).select(
             "series", F.col("n").alias("_n"), _long_ar("acov", "n").alias("_ar")
@@ -196,12 +214,14 @@ def lag_gram(
     for k in range(1, long_ar + 1):
         proxy = proxy - F.coalesce(F.col("_ar")[k - 1] * F.col(f"u{k}"), F.lit(0.0))
     order = F.least(F.lit(long_ar), F.floor(F.col("_n") / 10))
-    rows = rows.withColumn("_e", F.when(F.col("idx") >= order, proxy))
+    rows = rows.withColumn("_e", F.when((F.col("idx") >= order) & F.col("_ar").isNotNull(), proxy))
     rows = _lags(rows, "_e", max_lag, "e")
-    u_names = [f"u{k}" for k in range(1, max_lag + 1)]
     e_names = [f"e{k}" for k in range(1, max_lag + 1)]
     rows = _mask_gaps(rows, u_names + e_names, step)
-    design = [*u_names, *e_names, "u"]
+    return _gram_rows(rows, [*u_names, *e_names, "u"])
+
+
+def _gram_rows(rows: DataFrame, design: list[str]) -> DataFrame:
     return (
         core_only(rows)
         .dropna(subset=design)
@@ -212,11 +232,12 @@ def lag_gram(
 
 def order_grid(
     u_rows: DataFrame,
-    max_p: int = MAX_LAG,
-    max_q: int = MAX_LAG,
+    max_p: int = DEFAULT_ORDER,
+    max_q: int = DEFAULT_ORDER,
     n_exog: int = len(EXOG),
     chunk: int = INDEX_CHUNK,
     step: int | None = None,
+    long_ar: int = LONG_AR,
 ) -> DataFrame:
     """AIC, φ and θ of every order p ≤ max_p, q ≤ max_q but (0, 0), for every series.
 
@@ -224,12 +245,13 @@ def order_grid(
     design is singular gets a NULL AIC and is never selected.
     """
     max_lag = max(max_p, max_q)
+    size = max_lag + 1 + (max_lag if max_q else 0)
 
     def solve_orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for series, n, flat in zip(batch["series"], batch["n"], batch["gram"]):
-                g = _square(flat, 2 * max_lag + 1)
+                g = _square(flat, size)
                 for p in range(max_p + 1):
                     for q in range(max_q + 1):
                         if p == q == 0:
@@ -253,7 +275,8 @@ def order_grid(
                         )
             yield pd.DataFrame(out, columns=[c.split()[0] for c in GRID_DDL.split(", ")])
 
-    return lag_gram(u_rows, max_lag, chunk=chunk, step=step).mapInPandas(solve_orders, GRID_DDL)
+    grams = lag_gram(u_rows, max_lag, long_ar, chunk, step, max_q > 0)
+    return grams.mapInPandas(solve_orders, GRID_DDL)
 
 
 def select_order(grid: DataFrame) -> DataFrame:
@@ -268,15 +291,15 @@ def select_order(grid: DataFrame) -> DataFrame:
 def fit_arx(
     split: DataFrame,
     order: tuple[int, int] | None = None,
-    max_p: int = MAX_LAG,
-    max_q: int = MAX_LAG,
+    max_p: int = DEFAULT_ORDER,
+    max_q: int = DEFAULT_ORDER,
     exog: tuple[str, ...] = EXOG,
     target: str = TARGET,
     chunk: int = INDEX_CHUNK,
     step: int | None = None,
     grid: DataFrame | None = None,
 ) -> DataFrame:
-    """Parameters of every series: best order by AIC, or the given one.
+    """Parameters of every series: best order by AIC, or the given one. Materialised.
 
     Series without enough rows appear with status `insufficient` and no coefficients.
     """
@@ -294,7 +317,7 @@ def fit_arx(
     fitted = everyone.join(stage1, "series", "left").join(best, "series", "left")
     ok = F.col("aic").isNotNull() & F.forall("beta", lambda b: ~F.isnan(b))
     ok = F.coalesce(ok, F.lit(False))
-    return fitted.select(
+    return materialize(fitted.select(
         "series",
         F.when(ok, "ok").otherwise("insufficient").alias("status"),
         F.coalesce("n_train", F.lit(0)).cast("bigint").alias("n_train"),
@@ -305,20 +328,26 @@ def fit_arx(
         *[F.when(ok, F.col(c)).alias(c) for c in ("beta", "phi", "theta")],
         F.array(*[F.lit(c) for c in exog]).alias("exog"),
         F.lit(target).alias("target"),
-    )
+    ))
 
 
 def coef_table(
     split: DataFrame, params: DataFrame, exog: tuple[str, ...] = EXOG, target: str = TARGET,
-    chunk: int = INDEX_CHUNK,
+    chunk: int = INDEX_CHUNK, orders: tuple[int, int] | None = None, step: int | None = None,
 ) -> DataFrame:
-    """Coefficients with standard error and z value, from the same Gram matrices."""
+    """Coefficients with standard error and z value, from the same Gram matrices.
+
+    `orders` and `step` are those of the fit (greatest p and q of the grid), which decide its
+    sample; by default the greatest orders among the fitted series.
+    """
+    max_p, max_q = orders or longest(params)
+    lag = max(max_p, max_q)
     fitted = params.where(F.col("status") == "ok")
     stage1 = exog_gram(split, exog, target).select("series", "n_train", F.col("gram").alias("g1"))
     u_rows = residuals(
         split.where(F.col("split") == "train"), fitted.select("series", "beta"), exog, target
     )
-    stage2 = lag_gram(u_rows, MAX_LAG, chunk=chunk).select(
+    stage2 = lag_gram(u_rows, lag, chunk=chunk, step=step, moving_average=max_q > 0).select(
         "series", F.col("n").alias("n2"), F.col("gram").alias("g2")
     )
     k = len(exog)
@@ -345,7 +374,7 @@ def coef_table(
                 p, q = int(r.p), int(r.q)
                 w = np.concatenate([np.asarray(r.phi, float), np.asarray(r.theta, float)])
                 labels = [f"ar.L{i + 1}" for i in range(p)] + [f"ma.L{i + 1}" for i in range(q)]
-                pick = [*range(p), *range(MAX_LAG, MAX_LAG + q)]
+                pick = [*range(p), *range(lag, lag + q)]
                 out += table(r.series, r.n2, r.g2, labels, w, pick)
             yield pd.DataFrame(out, columns=["series", "term", "coef", "std_err", "z"])
 
@@ -362,36 +391,57 @@ def coef_table(
 
 
 def _recursion(v: np.ndarray, theta: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """e_t = v_t − Σ θ_j·e_{t−j}, with `state` = (e_{−1}, e_{−2}, …)."""
-    q = len(theta)
-    padded = np.concatenate([state[:q][::-1], np.zeros(len(v))])
+    """e_t = v_t − Σ θ_j·e_{t−j}, with `state` = (e_{−1}, e_{−2}, …).
+
+    The recursion is linear: stretches of about √n values run side by side from zero, then each
+    is corrected by the response to the values before it.
+    """
+    q, n = len(theta), len(v)
+    if not q or not n:
+        return np.array(v, float)
+    length = max(int(np.sqrt(n)), q)
+    count = -(-n // length)
+    e = np.zeros((count, q + length))
+    values = np.zeros(count * length)
+    values[:n] = v
+    values = values.reshape(count, length)
+    response = np.zeros((q, q + length))
+    response[:, :q] = np.eye(q)
     coef = theta[::-1]
-    for i, value in enumerate(v):
-        padded[q + i] = value - coef @ padded[i : i + q]
-    return padded[q:]
+    for i in range(length):
+        e[:, q + i] = values[:, i] - e[:, i : i + q] @ coef
+        response[:, q + i] = -(response[:, i : i + q] @ coef)
+    before = np.asarray(state, float)[:q][::-1]
+    for j in range(count):
+        e[j, q:] += before @ response[:, q:]
+        before = e[j, -q:]
+    return e[:, q:].reshape(-1)[:n]
 
 
-def innovations(
-    u_rows: DataFrame, chunk: int = INDEX_CHUNK, max_lag: int = MAX_LAG, moving_average: bool = True
-) -> DataFrame:
+def innovations(u_rows: DataFrame, chunk: int = INDEX_CHUNK, orders: tuple[int, int] = (0, 0)) -> DataFrame:
     """Add the one-step innovations `e` of each row, given joined columns phi and theta.
 
-    The moving-average recursion is sequential, but linear: over a chunk, the state it ends
-    with is A^n·(state it starts with) + (what it ends with when started from zero). So each
-    chunk runs from zero on its own, the chunk summaries are composed in order (one short
-    row per chunk), and each chunk is then run from its true start. Exact, and no series
-    is held by one task. Values before the first row count as zero.
+    `orders`: the greatest lengths of phi and theta. Series without θ need no recursion. For the
+    others, the recursion is sequential, but linear: over a chunk, the state it ends with is
+    A^n·(state it starts with) + (what it ends with when started from zero). So each chunk runs
+    from zero on its own, the chunk summaries are composed in order (one short row per chunk), and
+    each chunk is then run from its true start. Exact, and no series is held by one task. Values
+    before the first row count as zero.
     """
-    rows = with_halo(u_rows, "idx", max(chunk, max_lag), before=max_lag)
+    max_p, max_q = orders
+    rows = with_halo(u_rows, "idx", max(chunk, max_p), before=max_p)
     w = chunk_window(["series"], "idx")
     v = F.col("u")
-    for k in range(1, max_lag + 1):
+    for k in range(1, max_p + 1):
         v = v - F.coalesce(F.get("phi", F.lit(k - 1)) * F.lag("u", k).over(w), F.lit(0.0))
     rows = rows.withColumn("v", v).where("_core").drop("_core")
-    if not moving_average:
+    if not max_q:
         return rows.withColumnRenamed("v", "e").drop(CHUNK)
 
-    slim = rows.select("series", CHUNK, "idx", "v", "theta")
+    direct = rows.where(F.size("theta") == 0).withColumn("e", F.col("v")).drop("v", CHUNK)
+    moving = rows.where(F.size("theta") > 0)
+    slim = moving.select("series", CHUNK, "idx", "v", "theta")
+    out_schema = direct.schema
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
@@ -413,50 +463,39 @@ def innovations(
         theta = np.asarray(pdf["theta"].iloc[0], float)
         q = len(theta)
         step = np.zeros((q, q))
-        if q:
-            step[0] = -theta
-            step[1:, :-1] = np.eye(q - 1)
+        step[0] = -theta
+        step[1:, :-1] = np.eye(q - 1)
         state, starts = np.zeros(q), []
         for n, end in zip(pdf["n"], pdf["end"]):
             starts.append(state)
             state = np.linalg.matrix_power(step, int(n)) @ state + np.asarray(end, float)
-        return pd.DataFrame({"series": pdf["series"], CHUNK: pdf[CHUNK], "start": starts})
+        return pd.DataFrame({"series": pdf["series"], CHUNK: pdf[CHUNK], "_start": starts})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         theta = np.asarray(pdf["theta"].iloc[0], float)
-        start = np.asarray(pdf["start"].iloc[0], float)
-        return pd.DataFrame(
-            {
-                "series": pdf["series"],
-                "idx": pdf["idx"],
-                "e": _recursion(pdf["v"].to_numpy(), theta, start),
-            }
-        )
+        start = np.asarray(pdf["_start"].iloc[0], float)
+        return pdf.assign(e=_recursion(pdf["v"].to_numpy(), theta, start))[out_schema.names]
 
     ends = slim.groupBy("series", CHUNK).applyInPandas(
         summary, f"series string, {CHUNK} bigint, n bigint, theta array<double>, end array<double>"
     )
     # a row per chunk: 65,536 input rows make one
     starts = ends.groupBy("series").applyInPandas(
-        compose, f"series string, {CHUNK} bigint, start array<double>"
+        compose, f"series string, {CHUNK} bigint, _start array<double>"
     )
-    e = (
-        slim.join(starts, ["series", CHUNK])
-        .groupBy("series", CHUNK)
-        .applyInPandas(run, "series string, idx bigint, e double")
-    )
-    return rows.drop("v", CHUNK).join(e, ["series", "idx"])
+    run_out = moving.join(starts, ["series", CHUNK]).groupBy("series", CHUNK).applyInPandas(run, out_schema)
+    return direct.unionByName(run_out)
 
 
-def forecast_weights(steps: int):
-    """Weights of the newest u and e values in the forecast `steps` ahead, from φ and θ."""
+def forecast_weights(steps: int, lag: int):
+    """Weights of the newest `lag` u and e values in the forecast `steps` ahead, from φ and θ."""
 
     @F.pandas_udf(DOUBLES)
     def weights(phi: pd.Series, theta: pd.Series) -> pd.Series:
         def one(phi_, theta_):
             phi_, theta_ = np.asarray(phi_, float), np.asarray(theta_, float)
-            p, q, lag = len(phi_), len(theta_), MAX_LAG
+            p, q = len(phi_), len(theta_)
             m = np.zeros((2 * lag, 2 * lag))
             m[0, :p], m[0, lag : lag + q] = phi_, theta_
             m[1:lag, : lag - 1] += np.eye(lag - 1)
@@ -470,14 +509,14 @@ def forecast_weights(steps: int):
 
 def with_states(
     rows: DataFrame, params: DataFrame, exog: tuple[str, ...] = EXOG, target: str = TARGET,
-    chunk: int = INDEX_CHUNK, steps: int = 1, moving_average: bool = True,
-) -> DataFrame:
-    """Rows with `xb`, `u`, `e` and the `steps`-ahead forecast weights of their series."""
+    chunk: int = INDEX_CHUNK, steps: int = 1,
+) -> tuple[DataFrame, int]:
+    """Rows with `xb`, `u`, `e` and the forecast weights `_w` of their series; the number of lags in `_w`."""
+    orders = longest(params)
+    lag = max(*orders, 1)
     usable = params.where(F.col("status") == "ok").select("series", "beta", "phi", "theta")
-    weighted = usable.withColumn("_w", forecast_weights(steps)("phi", "theta"))
-    return innovations(
-        residuals(rows, weighted, exog, target), chunk, moving_average=moving_average
-    )
+    weighted = usable.withColumn("_w", forecast_weights(steps, lag)("phi", "theta"))
+    return innovations(residuals(rows, weighted, exog, target), chunk, orders), lag
 
 
 def walk_forward(
@@ -487,7 +526,6 @@ def walk_forward(
     exog: tuple[str, ...] = EXOG,
     target: str = TARGET,
     chunk: int = INDEX_CHUNK,
-    moving_average: bool = True,
 ) -> DataFrame:
     """Predictions of every row with frozen parameters: series, idx, split, y, pred.
 
@@ -497,12 +535,12 @@ def walk_forward(
     """
     back = max(delay, 1)
     slim = split.select("series", "idx", "split", *exog, target)
-    rows = with_states(slim, params, exog, target, chunk, back, moving_average)
-    rows = with_halo(rows, "idx", max(chunk, back + MAX_LAG), before=back + MAX_LAG)
+    rows, lag = with_states(slim, params, exog, target, chunk, back)
+    rows = with_halo(rows, "idx", max(chunk, back + lag), before=back + lag)
     w = chunk_window(["series"], "idx")
     pred = F.col("xb")
-    for k in range(MAX_LAG):
-        for name, offset in (("u", 0), ("e", MAX_LAG)):
+    for k in range(lag):
+        for name, offset in (("u", 0), ("e", lag)):
             past = F.lag(name, back + k).over(w)
             pred = pred + F.coalesce(F.col("_w")[offset + k] * past, F.lit(0.0))
     out = core_only(rows.withColumn("_p", pred))
@@ -524,18 +562,19 @@ def walk_forward_refit(
     target: str = TARGET,
     chunk: int = INDEX_CHUNK,
 ) -> DataFrame:
-    """Holdout predictions with all coefficients re-estimated on the expanding window.
+    """Holdout predictions with the regression re-estimated on the expanding window.
 
     Each holdout row solves the regression of y on (X, known u lags, known e lags) over all
-    rows whose label is known by then. The Gram matrix of that window is a running sum, so
-    a refit costs one small solve instead of a pass over the history.
+    rows whose label is known by then. The lagged u and e are those of the given parameters;
+    only the weights of X and of the lags are estimated anew. The Gram matrix of that window is
+    a running sum, so a refit costs one small solve instead of a pass over the history.
     """
     back = max(delay, 1)
-    k, lag = len(exog), MAX_LAG
+    k = len(exog)
     slim = split.select("series", "idx", "split", *exog, target)
     orders = params.where(F.col("status") == "ok").select("series", "p", "q")
-    states = with_states(slim, params, exog, target, chunk, back)
-    rows = with_halo(states, "idx", max(chunk, back + lag), before=back + lag)
+    states, lag = with_states(slim, params, exog, target, chunk, back)
+    rows = with_halo(materialize(states), "idx", max(chunk, back + lag), before=back + lag)
     w = chunk_window(["series"], "idx")
     past = {
         f"{name}{j + 1}": F.coalesce(F.lag(name, back + j).over(w), F.lit(0.0))
@@ -549,8 +588,14 @@ def walk_forward_refit(
     pairs = {
         f"g{i}_{j}": F.col(z[i]) * F.col(z[j]) for i in range(len(z)) for j in range(i, len(z))
     }
-    running = running_columns(design, ["series"], "idx", chunk, pairs).select(
-        "series", (F.col("idx") + back).alias("idx"), F.array(*pairs).alias("gram")
+    design = materialize(design)
+    first = design.where(F.col("split") == "holdout").groupBy("series").agg(F.min("idx").alias("_first"))
+    running = (
+        running_columns(design, ["series"], "idx", chunk, pairs)
+        .withColumn("idx", F.col("idx") + back)
+        .join(first, "series")
+        .where(F.col("idx") >= F.col("_first"))
+        .select("series", "idx", F.array(*pairs).alias("gram"))
     )
     target_rows = design.where(F.col("split") == "holdout").select(
         "series", "idx", "split", "y", F.array(*z[:-1]).alias("z")

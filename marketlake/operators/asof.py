@@ -32,6 +32,8 @@ def asof_join(
     rights = right.dropna(subset=[*by, on]).select(*by, on, payload.alias("_r"))
     lefts = lefts.withColumn("_r", F.lit(None).cast(rights.schema["_r"].dataType))
     if tolerance is not None:
+        # a shorter chunk would copy each right row into every chunk it reaches over
+        chunk = max(chunk, tolerance)
         rights = with_halo(rights, on, chunk, before=tolerance).drop("_core")
     else:
         rights = rights.withColumn(CHUNK, chunk_of(on, chunk))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,20 +49,70 @@ def carry_forward(
     )
 
 
-def throttle(rows: DataFrame, keys: list[str], t: str, interval: int = 1) -> DataFrame:
-    """At most one row per key and `interval`-second slot: the first, in time order.
+def throttle(rows: DataFrame, keys: list[str], t: str, interval: int = 1, chunk: int = 86_400) -> DataFrame:
+    """Rows whose time lies at least `interval` seconds after the last one kept, per key.
 
-    Times are whole seconds, so with the one-second default this is exactly "emit when at
-    least one second has passed since the last emission".
+    Times are whole seconds; of several rows in one second the first in column order counts.
+    Whether a row is kept depends on all before it, but what a chunk of time does to that chain
+    depends only on where the chain enters it. So each chunk is reduced to a table from each
+    possible first row to the last one kept, these tables (at most `interval` + 1 entries) are
+    followed in order, and each chunk is then walked from its true first row.
     """
-    slot = align_down(t, interval)
     columns = [c for c in rows.columns if c not in keys and c != t]
-    first = F.min(F.struct(F.col(t).alias("t"), *columns)).alias("_f")
-    return (
-        rows.groupBy(*keys, slot.alias("_slot"))
-        .agg(first)
-        .select(*keys, F.col("_f.t").alias(t), *[F.col(f"_f.{c}").alias(c) for c in columns])
+    of_second = (
+        rows.groupBy(*keys, t)
+        .agg(F.min(F.struct(*columns)).alias("_f"))
+        .select(*keys, t, *[F.col(f"_f.{c}").alias(c) for c in columns])
     )
+    if interval <= 1:
+        return of_second
+    length = max(chunk, interval)
+    # one text for the whole key: NULLs are values like others
+    keyed = of_second.withColumn("_k", F.to_json(F.struct(*keys))).withColumn("_t", F.col(t).cast("long"))
+    times = keyed.select("_k", "_t", F.floor(F.col("_t") / length).alias("_c"))
+    return keyed.join(_kept_times(times, interval, length), ["_k", "_t"], "left_semi").drop("_k", "_t")
+
+
+def _kept_times(times: DataFrame, interval: int, length: int) -> DataFrame:
+    """(_k, _t) of the rows that `throttle` keeps, from distinct (_k, _t) with their chunk _c."""
+
+    def follow(t: np.ndarray) -> np.ndarray:
+        """Position of the next row kept after each one."""
+        return np.searchsorted(t, t + interval)
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["_t"].to_numpy())
+        step = follow(t)
+        last = t.copy()
+        for i in range(len(t) - 1, -1, -1):
+            if step[i] < len(t):
+                last[i] = last[step[i]]
+        # the chain enters among the rows of the first interval, or at the first one after it
+        n = int(np.searchsorted(t, pdf["_c"].iloc[0] * length + interval)) + 1
+        return pdf.iloc[:1][["_k", "_c"]].assign(starts=[t[:n]], ends=[last[:n]])
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_c")
+        last, out = None, []
+        for starts, ends in zip(pdf["starts"], pdf["ends"]):
+            i = 0 if last is None else int(np.searchsorted(starts, last + interval))
+            out.append(int(starts[i]) if i < len(starts) else None)
+            last = int(ends[i]) if i < len(starts) else last
+        return pdf[["_k", "_c"]].assign(_first=pd.array(out, dtype="Int64"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["_t"].to_numpy())
+        step, kept = follow(t), []
+        i = int(np.searchsorted(t, pdf["_first"].iloc[0]))
+        while i < len(t):
+            kept.append(t[i])
+            i = step[i]
+        return pd.DataFrame({"_k": pdf["_k"].iloc[0], "_t": kept})
+
+    tables = times.groupBy("_k", "_c").applyInPandas(reduce, "_k string, _c long, starts array<long>, ends array<long>")
+    # a row per key and chunk from here on
+    entries = tables.groupBy("_k").applyInPandas(enter, "_k string, _c long, _first long").where("_first IS NOT NULL")
+    return times.join(entries, ["_k", "_c"]).groupBy("_k", "_c").applyInPandas(walk, "_k string, _t long")
 
 
 def minute_bars(points: DataFrame, grains: Grains = Grains(), keys: tuple[str, ...] = ("series",)) -> DataFrame:

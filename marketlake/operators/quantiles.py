@@ -31,6 +31,7 @@ def exact_percentiles(
         F.max("v").alias("_max"),
         F.percentile_approx("v", probes, accuracy).alias("_s"),
     )
+    # where the margin is less than a position (the sketch then holds all values), all are in the bracket
     few = F.col("n") <= accuracy
     brackets = sketch.select(
         "_g",

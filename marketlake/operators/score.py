@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlake.functions.pricing import prob_up
 from marketlake.functions.times import iso_millis, to_timestamp
-from marketlake.operators.arma import INDEX_CHUNK, MAX_LAG, with_states
+from marketlake.operators.arma import INDEX_CHUNK, with_states
 from marketlake.operators.asof import asof_join, realized_label
 from marketlake.operators.chunks import chunk_window, core_only, row_index, with_halo
 from marketlake.operators.features import live_features
@@ -42,15 +42,15 @@ def observed_states(
         "series", "t", F.col("realized").alias(TARGET), *[F.col(k).alias(v) for k, v in X.items()]
     )
     rows = row_index(observed, ["series"], "t", grains.chunk)
-    states = with_states(rows, params, EXOG, TARGET, chunk, grains.horizon)
-    halo = with_halo(states, "idx", max(chunk, MAX_LAG), before=MAX_LAG)
+    states, lag = with_states(rows, params, EXOG, TARGET, chunk, grains.horizon)
+    halo = with_halo(states, "idx", max(chunk, lag), before=lag)
     w = chunk_window(["series"], "idx")
     past = {
-        f"{n}_{k}": F.coalesce(F.lag(n, k).over(w), F.lit(0.0)) for n in ("u", "e") for k in range(MAX_LAG)
+        f"{n}_{k}": F.coalesce(F.lag(n, k).over(w), F.lit(0.0)) for n in ("u", "e") for k in range(lag)
     }
     ahead = F.lit(0.0)
-    for k in range(MAX_LAG):
-        ahead = ahead + F.col("_w")[k] * F.col(f"u_{k}") + F.col("_w")[MAX_LAG + k] * F.col(f"e_{k}")
+    for k in range(lag):
+        ahead = ahead + F.col("_w")[k] * F.col(f"u_{k}") + F.col("_w")[lag + k] * F.col(f"e_{k}")
     return core_only(halo.withColumns(past)).select("series", "t", ahead.alias("ahead"))
 
 

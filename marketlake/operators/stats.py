@@ -165,16 +165,18 @@ def message_rates(envelopes: DataFrame, interval_s: int = 60, window_s: float =
         F.min("t_us").alias("_first"),
         F.max("t_us").alias("_last"),
     )
-    # one row per topic and interval from here on
-    whole = Window.partitionBy("topic")
-    elapsed = (F.max("_last").over(whole) - F.min("_first").over(whole)) / float(MICROS)
-    return per_interval.select(
+    # one row per topic, joined back to its intervals
+    elapsed = (F.max("_last") - F.min("_first")) / float(MICROS)
+    whole = per_interval.groupBy(F.col("topic").alias("_topic")).agg(
+        F.try_divide(F.sum("n").cast("double"), elapsed).alias("avg_rate")
+    )
+    return per_interval.join(whole, F.col("topic").eqNullSafe(F.col("_topic"))).select(
         "topic",
         "interval_start",
         "n",
         (F.col("n") / float(interval_s)).alias("interval_rate"),
         "peak_rate",
-        F.try_divide(F.sum("n").over(whole).cast("double"), elapsed).alias("avg_rate"),
+        "avg_rate",
     )
 
 
@@ -232,8 +234,11 @@ def split_summary(split: DataFrame, target: str, by: tuple[str, ...] = ("series"
     )
 
 
-def coverage_report(ticks: DataFrame, grain: int = 1, slug_suffix: str = "-updown-5m-") -> DataFrame:
-    """Per asset: rows, time span and number of seconds with each leg.
+def coverage_report(
+    ticks: DataFrame, grain: int = 1, slug_suffix: str = "-updown-5m-", training: DataFrame | None = None
+) -> DataFrame:
+    """Per asset: rows, time span and number of seconds with each leg; with the training table
+    (one row per `series` and minute) also how many rows of it survived.
 
     Ticks are first reduced to one row per (asset, second), so counting distinct seconds
     needs no distinct aggregate over ticks.
@@ -246,13 +251,19 @@ def coverage_report(ticks: DataFrame, grain: int = 1, slug_suffix: str = "-updow
         F.max(spot.cast("int")).alias("_spot"),
         F.max(prob.cast("int")).alias("_prob"),
     )
-    return seconds.groupBy("asset").agg(
+    report = seconds.groupBy("asset").agg(
         F.sum("n").alias("n_rows"),
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
         F.sum(F.coalesce("_spot", F.lit(0))).cast("bigint").alias("spot_seconds"),
         F.sum(F.coalesce("_prob", F.lit(0))).cast("bigint").alias("prob_seconds"),
     )
+    if training is None:
+        return report
+    rows = training.groupBy(F.col("series").alias("_asset")).agg(F.count("*").alias("_n"))
+    return report.join(rows, F.col("asset").eqNullSafe(F.col("_asset")), "left").select(
+        *report.columns, F.coalesce("_n", F.lit(0)).alias("surviving_rows")
+    )
 
 
 def latest_values(rows: DataFrame, t: str, fields: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:

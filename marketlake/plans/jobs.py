@@ -28,7 +28,8 @@ def build_dataset(spark: SparkSession, archive: str, output: str, grains: Grains
     """Write the training table; returns the coverage report of the archive."""
     rows = ticks.read_ticks(spark, archive)
     build_training_table(rows, grains).write.mode("overwrite").parquet(output)
-    return stats.coverage_report(rows, grains.second, grains.slug_suffix)
+    surviving = spark.read.parquet(output)
+    return stats.coverage_report(rows, grains.second, grains.slug_suffix, surviving)
 
 
 def train(
@@ -48,7 +49,7 @@ def train(
     grid = materialize(arma.order_grid(u_rows, max_p, max_q, step=step))
     params = materialize(arma.fit_arx(split, grid=grid))
     models.save_model(params, output, grid)
-    arma.coef_table(split, params).write.mode("overwrite").parquet(f"{output}/coefficients")
+    arma.coef_table(split, params, orders=(max_p, max_q), step=step).write.mode("overwrite").parquet(f"{output}/coefficients")
     predictions = materialize(arma.walk_forward(split, params, delay))
     predictions.write.mode("overwrite").parquet(f"{output}/predictions")
     sigmas = metrics.sigma_by_series(split)
@@ -61,13 +62,16 @@ def train(
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
     params = models.load_model(spark, args.model)
     if args.source == "kafka":
-        messages = ticks.tick_source(spark, "kafka", args.location, [TOPIC_FORECAST])
+        messages = ticks.tick_source(
+            spark, "kafka", args.location, [TOPIC_FORECAST], {"maxOffsetsPerTrigger": str(args.max_per_trigger)}
+        )
     else:
-        messages = spark.readStream.schema("key STRING, value STRING").option(
-            "recursiveFileLookup", "true"
+        messages = spark.readStream.schema("key STRING, value STRING").options(
+            recursiveFileLookup="true", maxFilesPerTrigger=args.max_per_trigger
         ).json(args.location)
     scored = state.score_stream(
-        forecasts.read_forecast_points(messages), params, Grains(), args.strict_history, args.emit_interval
+        forecasts.read_forecast_points(messages), params, Grains(), args.strict_history, args.emit_interval,
+        lateness=args.lateness,
     )
     config = pipeline.PipelineConfig(
         args.output, args.checkpoint, args.source, args.location if args.source == "kafka" else None
@@ -81,19 +85,19 @@ def probe(spark: SparkSession, archive: str, target: float = 4000.0) -> tuple[Da
     return stats.throughput_summary(rows, target), stats.event_mix(rows)
 
 
-def _sigma(spark: SparkSession, args: argparse.Namespace) -> float:
-    if args.sigma_log is not None:
-        if not 0 < args.sigma_log <= models.MAX_SIGMA_LOG:
-            raise SystemExit(f"--sigma-log {args.sigma_log} is no 5-minute log-return deviation")
-        return args.sigma_log
+def _sigmas(spark: SparkSession, args: argparse.Namespace) -> tuple[float, DataFrame | None]:
+    """The default σ and, with a model, the σ of every series it has."""
+    default = DEFAULT_SIGMA_LOG if args.sigma_log is None else args.sigma_log
+    if not 0 < default <= models.MAX_SIGMA_LOG:
+        raise SystemExit(f"--sigma-log {args.sigma_log} is no 5-minute log-return deviation")
     if not args.model:
-        return DEFAULT_SIGMA_LOG
-    one = models.load_model(spark, args.model).where(F.col("series") == args.sigma_series)
-    row = one.select("sigma_log").first()
-    return row["sigma_log"] if row and row["sigma_log"] else DEFAULT_SIGMA_LOG
+        return default, None
+    params = models.load_model(spark, args.model)
+    return default, models.sigma_lookup(params.select("series"), params.select("series", "sigma_log"), default=default)
 
 
 def stream(spark: SparkSession, args: argparse.Namespace) -> None:
+    default, sigmas = _sigmas(spark, args)
     config = pipeline.PipelineConfig(
         output=args.output,
         checkpoint=args.checkpoint,
@@ -103,11 +107,15 @@ def stream(spark: SparkSession, args: argparse.Namespace) -> None:
         watermark=args.watermark,
         forecast_watermark=args.forecast_watermark,
         slug_suffix=args.slug_suffix,
-        sigma_log=_sigma(spark, args),
+        sigma_log=default,
+        sigmas=sigmas,
         prob_stale=args.prob_stale,
+        lateness=args.lateness,
         console=args.console,
     )
-    pipeline.run_pipeline(ticks.tick_source(spark, args.source, args.location), config)
+    bound = "maxOffsetsPerTrigger" if args.source == "kafka" else "maxFilesPerTrigger"
+    source = ticks.tick_source(spark, args.source, args.location, options={bound: str(args.max_per_trigger)})
+    pipeline.run_pipeline(source, config)
     pipeline.await_any(spark)
 
 
@@ -130,7 +138,8 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--slug-suffix", default="-updown-5m-")
     s.add_argument("--prob-stale", type=int, default=1800)
     s.add_argument("--sigma-log", type=float)
-    s.add_argument("--sigma-series", default="BTC")
+    s.add_argument("--lateness", default=state.LATENESS)
+    s.add_argument("--max-per-trigger", type=int, default=1_000_000, help="offsets or files in one micro-batch")
     s.add_argument("--model")
     s.add_argument("--console", action="store_true")
 
@@ -149,6 +158,8 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--strict-history", action="store_true")
     c.add_argument("--emit-interval", type=int, default=1)
     c.add_argument("--single-partition", action="store_true")
+    c.add_argument("--lateness", default=state.LATENESS)
+    c.add_argument("--max-per-trigger", type=int, default=100_000, help="offsets or files in one micro-batch")
 
     p = job("probe", "archive")
     p.add_argument("--target", type=float, default=4000.0)

@@ -260,7 +260,7 @@ us_rows AS (
 us_lag AS (SELECT *, lag(u) OVER (PARTITION BY series ORDER BY idx) AS u1 FROM us_rows),
 phis AS (
   SELECT series, sum(u * u1) / sum(u1 * u1) AS phi FROM us_lag
-  WHERE split = 'train' AND idx >= least(20, n // 10) + 1 GROUP BY series
+  WHERE split = 'train' AND idx >= 1 GROUP BY series
 ),
 params AS (
   SELECT b.series, b.n, b1, b2, b3, phi, sigma_log
@@ -275,6 +275,59 @@ walk AS (
 )"""
 
 
+def _minor(m: list[list[str]]) -> str:
+    """Determinant of a square matrix of SQL terms, along its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    terms = [f"{'-' if j % 2 else '+'}{m[0][j]}*{_minor([r[:j] + r[j + 1:] for r in m[1:]])}" for j in range(len(m))]
+    return f"({''.join(terms)})"
+
+
+# a long autoregression of order 1: r1 / r0
+PROXIES = AR1 + """,
+u_train AS (SELECT series, idx, u, u1 FROM us_lag WHERE split = 'train'),
+ar AS (SELECT series, sum(u * coalesce(u1, 0)) / sum(u * u) AS a, count(*) AS n FROM u_train GROUP BY series),
+es AS (
+  SELECT series, idx, u, u1, lag(e) OVER (PARTITION BY series ORDER BY idx) AS e1 FROM (
+    SELECT t.*, CASE WHEN idx >= least(1, n // 10) THEN u - coalesce(CASE WHEN n >= 10 THEN a ELSE 0 END * u1, 0) END AS e
+    FROM u_train t JOIN ar USING (series))
+),
+g AS (
+  SELECT series, count(*) AS n, sum(u1*u1) AS uu, sum(u1*e1) AS ue, sum(e1*e1) AS ee,
+         sum(u1*u) AS uy, sum(e1*u) AS ey, sum(u*u) AS yy
+  FROM es WHERE u1 IS NOT NULL AND e1 IS NOT NULL GROUP BY series
+),
+rss AS (
+  SELECT series, n, 0 AS p, 1 AS q, yy - ey * ey / ee AS rss FROM g
+  UNION ALL SELECT series, n, 1, 0, yy - uy * uy / uu FROM g
+  UNION ALL SELECT series, n, 1, 1, yy - ((uy*ee - ey*ue) * uy + (ey*uu - uy*ue) * ey) / (uu*ee - ue*ue) FROM g
+),
+aics AS (
+  SELECT series, p, q, n, CASE WHEN rss > 0 AND n > p + q + 4 THEN n * ln(rss / n) + 2 * (p + q + 4) END AS aic,
+         CASE WHEN rss > 0 AND n > p + q + 4 THEN rss / n END AS sigma2
+  FROM rss
+)"""
+
+
+def _refit() -> str:
+    z = ("prob", "change", "vol", "u1", "y")
+    sums = ", ".join(
+        f"sum({z[i]}*{z[j]}) OVER before AS g{i}{j}" for i in range(5) for j in range(i, 5)
+    )
+    g = [[f"g{min(i, j)}{max(i, j)}" for j in range(5)] for i in range(4)]
+    full = [r[:4] for r in g]
+    solved = [[[*r[:k], r_[4], *r[k + 1:]] for r, r_ in zip(full, g)] for k in range(4)]
+    pred = " + ".join(f"{z[k]} * {_minor(solved[k])}" for k in range(4))
+    return AR1 + f""",
+known AS (SELECT series, idx, split, y, prob, change, vol, coalesce(u1, 0) AS u1 FROM us_lag JOIN phis USING (series)),
+grams AS (
+  SELECT *, {sums} FROM known
+  WINDOW before AS (PARTITION BY series ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT series, idx, split, round(y, 8) AS y, round(({pred}) / {_minor(full)}, 8) AS pred
+FROM grams WHERE split = 'holdout'"""
+
+
 def _phi(z: str) -> str:
     """P(N(0,1) < z) by the polynomial 7.1.26 of Abramowitz & Stegun."""
     x = f"(abs({z}) / sqrt(2.0))"
@@ -386,7 +439,7 @@ SELECT r.event_id, r.type, r.asset_id, t.slug, t.outcome FROM book_rows r LEFT J
     for name, cond in (("top_markets", "true"), ("top_markets_keyword", "(question ILIKE '%eth%' OR slug ILIKE '%eth%')")):
         out[name] = _sql(CATALOGUE, f"""
 SELECT slug, round(volume, 6) AS volume
-FROM (SELECT * FROM catalogue ORDER BY volume DESC, slug LIMIT 200)
+FROM catalogue
 WHERE pos % 13 <> 0 AND {cond} ORDER BY volume DESC, slug LIMIT 20""")
     out["resolve_rolling_market"] = _sql(RESOLVED, "SELECT r.asset, r.at, r.slug, r.is_live FROM resolved r")
     out["missing_markets"] = _sql(RESOLVED, """
@@ -612,11 +665,15 @@ SELECT series, t, contiguous, CASE WHEN contiguous THEN round(prob, 6) END AS x_
 FROM bar_v""")
     out["live_features"] = _sql(BAR_FEATURES + _live("pts", "0.0005::DOUBLE", "live"), """
 SELECT series, sec, feature_mode, round(x1, 6) AS x_prob, round(x2, 6) AS x_change, round(x3, 6) AS x_vol FROM live""")
-    out["throttle"] = _sql("", """
-SELECT series, sec, round(price, 6) AS price
-FROM (SELECT series, us // 1000000 AS sec, price,
-             row_number() OVER (PARTITION BY series, us // 3600000000 ORDER BY us // 1000000, price) AS rn FROM ticks)
-WHERE rn = 1""")
+    out["throttle"] = "WITH RECURSIVE " + EVENTS + """,
+seconds AS MATERIALIZED (
+  SELECT series, us // 1000000 AS sec, min(price) AS price FROM ticks WHERE series IS NOT NULL GROUP BY ALL),
+kept(series, sec) AS (
+  SELECT series, min(sec) FROM seconds GROUP BY series
+  UNION ALL
+  SELECT k.series, min(s.sec) FROM kept k JOIN seconds s ON s.series = k.series AND s.sec >= k.sec + 3600
+  GROUP BY k.series, k.sec)
+SELECT series, sec, round(price, 6) AS price FROM kept JOIN seconds USING (series, sec)"""
     out["score_batch"] = _sql(SCORED, f"""
 SELECT series, {_iso("sec")} AS ts, CAST(sec AS DOUBLE) AS ts_unix, {_iso("sec + 18000")} AS target_ts,
        18000::BIGINT AS target_horizon_s, 'sarimax' AS model, feature_mode,
@@ -634,6 +691,16 @@ SELECT * FROM ({windowed_body}) WHERE epoch_us(window_end) <= (SELECT w FROM wm)
 SELECT * FROM ({sliding_body}) WHERE epoch_us(window_end) <= (SELECT w FROM wm)""")
     out["stream_forecast"] = _sql(FILLED + closed.format(delay=3600000000), f"""
 {filled_body} WHERE (sec + 600) * 1000000 <= (SELECT w FROM wm)""")
+    own_sigma = "CASE asset WHEN 'BTC' THEN 0.0004::DOUBLE WHEN 'ETH' THEN 0.0007::DOUBLE ELSE 0.0005::DOUBLE END"
+    own_body = filled_body.replace("0.0005::DOUBLE", "0.0005").replace("0.0005", own_sigma)
+    out["stream_forecast_sigmas"] = _sql(FILLED + closed.format(delay=3600000000), f"""
+{own_body} WHERE (sec + 600) * 1000000 <= (SELECT w FROM wm)""")
+    out["stream_stats_topic"] = out["stream_windowed_stats"]
+    out["stream_late_rows"] = out["stream_windowed_stats"]
+    out["stream_update_mode"] = out["windowed_stats"]
+    out["stream_ordered_output"] = _sql(closed.format(delay=7200000000), f"""
+SELECT 1::BIGINT AS n_files, count(*) AS n_rows, true AS in_order
+FROM ({windowed_body}) WHERE epoch_us(window_end) <= (SELECT w FROM wm)""")
     out["stream_ticks"] = out["compact_ticks"]
     out["score_stream"] = out["score_batch"]
 
@@ -651,8 +718,35 @@ SELECT e.series, {status}, round(b1, 6) AS beta1, round(b2, 6) AS beta2, round(b
 SELECT e.series, {status}, round(b1, 6) AS beta1, round(sigma_log, 6) AS sigma_log,
        'poly_p_up,poly_p_up_change_5m,btc_volatility_5m' AS exog, 'log_return_5m' AS target FROM {everyone}""")
     out["walk_forward"] = _sql(AR1, """
-SELECT series, idx, split, round(y, 6) AS y, round(pred5, 6) AS pred FROM walk""")
-    out["in_sample_fit"] = _sql(AR1, "SELECT series, idx, round(pred0, 6) AS fitted FROM walk WHERE split = 'train'")
+SELECT series, idx, split, round(y, 10) AS y, round(pred5, 10) AS pred FROM walk""")
+    out["order_grid"] = _sql(PROXIES, "SELECT series, p, q, n, round(aic, 4) AS aic, round(sigma2, 10) AS sigma2 FROM aics")
+    out["select_order"] = _sql(PROXIES, """
+SELECT e.series, CASE WHEN b.aic IS NOT NULL THEN 'ok' ELSE 'insufficient' END AS status,
+       coalesce(m.n, 0) AS n_train, b.p, b.q, round(b.aic, 4) AS aic
+FROM (SELECT DISTINCT series FROM split) e LEFT JOIN gram m USING (series)
+LEFT JOIN (SELECT * FROM aics WHERE aic IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY series ORDER BY aic, p, q) = 1) b USING (series)""")
+    out["walk_forward_arma"] = "WITH RECURSIVE " + EVENTS + AR1 + """,
+known AS MATERIALIZED (SELECT s.* FROM us_lag s JOIN phis USING (series)),
+es(series, idx, u, e) AS (
+  SELECT series, idx, u, u FROM known WHERE idx = 0
+  UNION ALL
+  SELECT k.series, k.idx, k.u, k.u - 0.5 * es.u - 0.3 * es.e FROM es JOIN known k ON k.series = es.series AND k.idx = es.idx + 1)
+SELECT k.series, k.idx, split, round(y, 10) AS y, round(xb + coalesce(0.5 * es.u + 0.3 * es.e, 0), 10) AS pred
+FROM known k LEFT JOIN es ON es.series = k.series AND es.idx = k.idx - 1"""
+    out["walk_forward_refit"] = _sql(_refit(), "")
+    terms = (("poly_p_up", "b1", ("s22", "s23", "s23", "s33")), ("poly_p_up_change_5m", "b2", ("s11", "s13", "s13", "s33")),
+             ("btc_volatility_5m", "b3", ("s11", "s12", "s12", "s22")))
+    one = "SELECT series, '{t}' AS term, round({c}, 6) AS coef, round({e}, 6) AS std_err, round({c} / {e}, 6) AS z FROM {f}"
+    out["coef_table"] = _sql(AR1 + """,
+lagged AS (
+  SELECT series, count(*) AS n, sum(u1 * u1) AS uu, sum(u1 * u) AS uy, sum(u * u) AS yy
+  FROM us_lag WHERE split = 'train' AND u1 IS NOT NULL GROUP BY series)""", " UNION ALL ".join([
+        one.format(t=t, c=b, f="gram JOIN betas USING (series) JOIN phis USING (series)", e=(
+            f"sqrt((yy - b1*y1 - b2*y2 - b3*y3) / (gram.n - 3) * ({m[0]}*{m[3]} - {m[1]}*{m[2]}) / {_det(*_A)})"))
+        for t, b, m in terms
+    ] + [one.format(t="ar.L1", c="uy / uu", e="sqrt((yy - uy * uy / uu) / (n - 1) / uu)", f="lagged JOIN phis USING (series)")]))
+    out["in_sample_fit"] = _sql(AR1, "SELECT series, idx, round(pred0, 10) AS fitted FROM walk WHERE split = 'train'")
 
     # documented only
     out["calibration"] = _sql(PROBS, """

@@ -7,10 +7,12 @@ six digits, since two engines add in different orders.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from marketlake.functions.pricing import (
     DRIFT_BANDS,
@@ -25,7 +27,7 @@ from marketlake.functions.pricing import (
 from marketlake.functions.times import bucket, rolling_slug, slug_end, slug_start
 from marketlake.operators import arma, asof, features, metrics, resample, score, stats
 from marketlake.operators.normalize import normalize_ticks
-from marketlake.schemas import EXOG, TARGET
+from marketlake.schemas import EXOG, TARGET, TOPIC_STATS
 from marketlake.session import configure, materialize, work_dir
 from marketlake.sources import catalogue, envelope, forecasts, frames, models, ticks as archive
 from marketlake.sources import shared_tables as bind
@@ -52,9 +54,22 @@ def query(fn: Query) -> Query:
     return run
 
 
+def rounded(digits: int, *names: str):
+    return {n: F.round(F.col(n), digits) for n in names}
+
+
 def r6(*names: str):
     """Round the named double columns to six digits."""
-    return {n: F.round(F.col(n), 6) for n in names}
+    return rounded(6, *names)
+
+
+def r8(*names: str):
+    return rounded(8, *names)
+
+
+def r10(*names: str):
+    """Returns are near 5e-4: six digits would compare two or three of them."""
+    return rounded(10, *names)
 
 
 # --- inputs ---------------------------------------------------------------------------
@@ -614,7 +629,7 @@ def union_streams(spark, sf_dir):
 @query
 def baseline_comparison(spark, sf_dir):
     split = materialize(_split(spark, sf_dir))
-    model = arma.walk_forward(split, _ar1(split), delay=5, chunk=200, moving_average=False)
+    model = arma.walk_forward(split, _ar1(split), delay=5, chunk=200)
     return metrics.baseline_comparison(split, model, metrics.sigma_by_series(split)).withColumns(
         r6("rmse", "mae", "dir_acc")
     )
@@ -698,19 +713,22 @@ def fit_arx(spark, sf_dir):
     )
 
 
+def _train_errors(split):
+    return arma.residuals(split.where(F.col("split") == "train"), arma.fit_exog(split).select("series", "beta"))
+
+
 @query
 def order_grid(spark, sf_dir):
-    split = materialize(_split(spark, sf_dir))
-    u = arma.residuals(split.where(F.col("split") == "train"), arma.fit_exog(split).select("series", "beta"))
-    return arma.order_grid(u, chunk=200).select(
-        "series", "p", "q", "n", F.round("aic", 4).alias("aic"), F.round("sigma2", 6).alias("sigma2")
-    )
+    """Orders up to (1, 1), with a long autoregression of order 1; larger orders are tested in pytest."""
+    grid = arma.order_grid(_train_errors(materialize(_split(spark, sf_dir))), 1, 1, chunk=200, long_ar=1)
+    return grid.select("series", "p", "q", "n", F.round("aic", 4).alias("aic"), F.round("sigma2", 10).alias("sigma2"))
 
 
 @query
 def select_order(spark, sf_dir):
     split = materialize(_split(spark, sf_dir))
-    return arma.fit_arx(split, chunk=200).select(
+    grid = arma.order_grid(_train_errors(split), 1, 1, chunk=200, long_ar=1)
+    return arma.fit_arx(split, chunk=200, grid=grid).select(
         "series", "status", "n_train", "p", "q", F.round("aic", 4).alias("aic")
     )
 
@@ -719,39 +737,42 @@ def select_order(spark, sf_dir):
 def walk_forward(spark, sf_dir):
     """AR(1), parameters frozen, labels known five rows later."""
     split = materialize(_split(spark, sf_dir))
-    out = arma.walk_forward(split, _ar1(split), delay=5, chunk=200, moving_average=False)
-    return out.withColumns(r6("y", "pred"))
+    out = arma.walk_forward(split, _ar1(split), delay=5, chunk=200)
+    return out.withColumns(r10("y", "pred"))
 
 
 @query
 def in_sample_fit(spark, sf_dir):
     split = materialize(_split(spark, sf_dir))
-    out = arma.walk_forward(split, _ar1(split), delay=0, chunk=200, moving_average=False)
+    out = arma.walk_forward(split, _ar1(split), delay=0, chunk=200)
     return out.where(F.col("split") == "train").select(
-        "series", "idx", F.round("pred", 6).alias("fitted")
+        "series", "idx", F.round("pred", 10).alias("fitted")
     )
 
 
 @query
 def walk_forward_arma(spark, sf_dir):
-    """Selected order, moving-average part included."""
+    """ARMA(1, 1) errors with given φ and θ around the fitted regression."""
     split = materialize(_split(spark, sf_dir))
-    params = materialize(arma.fit_arx(split, chunk=200))
-    return arma.walk_forward(split, params, delay=0, chunk=200).withColumns(r6("y", "pred"))
+    given = _ar1(split).withColumns(
+        {"q": F.lit(1), "phi": F.when(F.col("status") == "ok", F.array(F.lit(0.5))),
+         "theta": F.when(F.col("status") == "ok", F.array(F.lit(0.3)))}
+    )
+    return arma.walk_forward(split, given, delay=0, chunk=200).withColumns(r10("y", "pred"))
 
 
 @query
 def walk_forward_refit(spark, sf_dir):
+    """AR(1) errors, re-estimated at every holdout row."""
     split = materialize(_split(spark, sf_dir))
-    params = materialize(arma.fit_arx(split, chunk=200))
-    return arma.walk_forward_refit(split, params, delay=0, chunk=200).withColumns(r6("y", "pred"))
+    return arma.walk_forward_refit(split, _ar1(split), delay=0, chunk=200).withColumns(r8("y", "pred"))
 
 
 @query
 def coef_table(spark, sf_dir):
+    """AR(1): coefficients of the regression and of the error process."""
     split = materialize(_split(spark, sf_dir))
-    params = materialize(arma.fit_arx(split, chunk=200))
-    return arma.coef_table(split, params, chunk=200).withColumns(r6("coef", "std_err", "z"))
+    return arma.coef_table(split, _ar1(split), chunk=200, orders=(1, 0)).withColumns(r6("coef", "std_err", "z"))
 
 
 @query
@@ -770,7 +791,7 @@ def model_round_trip(spark, sf_dir):
 def _probabilities(spark, sf_dir):
     split = materialize(_split(spark, sf_dir))
     params = _ar1(split)
-    pred = arma.walk_forward(split, params, delay=5, chunk=200, moving_average=False)
+    pred = arma.walk_forward(split, params, delay=5, chunk=200)
     rows = split.where(F.col("split") == "holdout").select("series", "idx", "poly_p_up", TARGET)
     scored = rows.join(pred.select("series", "idx", "pred"), ["series", "idx"]).join(
         params.select("series", "sigma_log"), "series"
@@ -878,3 +899,113 @@ def score_stream(spark, sf_dir):
     messages = spark.readStream.schema("key STRING, value STRING").json(f"{base}/forecast")
     scored = state.score_stream(forecasts.read_forecast_points(messages), params, SLOW)
     return _score_columns(_drained(spark, scored, "score"))
+
+
+@query
+def stream_stats_topic(spark, sf_dir):
+    """Statistics through their JSON topic, read back and typed."""
+    base = work_dir(spark, "topic")
+    out = stats.windowed_stats(_stream_ticks(spark, sf_dir), "1 hour", "2 hours")
+    sent = pipeline.stats_messages(out)
+    pipeline.drain(
+        [pipeline.sink_messages(sent, "stats", TOPIC_STATS, f"{base}/checkpoint", "files", base, pipeline.DRAIN)]
+    )
+    messages = spark.read.schema("key STRING, value STRING").json(f"{base}/{TOPIC_STATS}")
+    typed = messages.select(F.from_json("value", out.schema.simpleString()).alias("s")).select("s.*")
+    return typed.withColumns(r6(*STAT_FLOATS))
+
+
+@query
+def stream_ordered_output(spark, sf_dir):
+    """Statistics published as one ordered partition: files written, rows, and whether all are in order."""
+    base = work_dir(spark, "ordered")
+    out = stats.windowed_stats(_stream_ticks(spark, sf_dir), "1 hour", "2 hours")
+    sent = pipeline.stats_messages(out).withColumn("ts", F.get_json_object("value", "$.window_start"))
+    pipeline.drain(
+        [
+            pipeline.sink_messages(
+                sent, "ordered", TOPIC_STATS, f"{base}/checkpoint", "files", base, pipeline.DRAIN,
+                order_by="ts", single_partition=True,
+            )
+        ]
+    )
+    files = spark.read.option("recursiveFileLookup", "true").text(f"{base}/{TOPIC_STATS}", wholetext=True)
+    lines = F.filter(F.split("value", "\n"), lambda x: x != "")
+    starts = F.transform(lines, lambda x: F.get_json_object(F.get_json_object(x, "$.value"), "$.window_start"))
+    return files.select(starts.alias("t")).where(F.size("t") > 0).agg(
+        F.count("*").alias("n_files"),
+        F.sum(F.size("t")).alias("n_rows"),
+        F.bool_and(F.col("t") == F.array_sort("t")).alias("in_order"),
+    )
+
+
+def _parts(spark, sf_dir, cuts) -> DataFrame:
+    """The events as a stream of several files in a given order, one per micro-batch."""
+    base = work_dir(spark, "parts")
+    events = spark.read.schema(bind.EVENTS_DDL).parquet(f"{sf_dir}/events.parquet")
+    for i, cut in enumerate(cuts(events)):
+        cut.coalesce(1).write.parquet(f"{base}/part={i}")
+        # the file source takes files by their time of writing
+        time.sleep(1.1)
+    stream = spark.readStream.schema(bind.EVENTS_DDL).option("maxFilesPerTrigger", 1)
+    return normalize_ticks(envelope.parse_envelope(bind.bind_messages(stream.parquet(f"{base}/*"))))
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Rows that come again after the watermark has passed them count once."""
+
+    def cuts(events):
+        last = F.lit(events.agg(F.max("ts")).first()[0])
+        newest = F.col("ts") >= last - F.expr("INTERVAL 6 HOURS")
+        # lateness is judged by the watermark of the batch before
+        return events.where(~newest), events.where(newest), events.where(F.col("ts") < last - F.expr("INTERVAL 24 HOURS"))
+
+    out = stats.windowed_stats(_parts(spark, sf_dir, cuts), "1 hour", "2 hours")
+    return _drained(spark, out, "late").withColumns(r6(*STAT_FLOATS))
+
+
+@query
+def stream_update_mode(spark, sf_dir):
+    """Statistics in update mode over three micro-batches; the newest row of each window and key."""
+    base = work_dir(spark, "update")
+
+    def cuts(events):
+        low, high = events.agg(F.min("ts"), F.max("ts")).first()
+        step = (high - low) / 3
+        edges = [low, low + step, low + 2 * step]
+        return [
+            events.where((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)) if b else F.col("ts") >= F.lit(a))
+            for a, b in zip(edges, [*edges[1:], None])
+        ]
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    out = stats.windowed_stats(_parts(spark, sf_dir, cuts), "1 hour", "2 hours")
+    pipeline.drain(
+        [pipeline.run_stream(out, "update", f"{base}/checkpoint", mode="update", trigger=pipeline.DRAIN, each_batch=land)]
+    )
+    rows = spark.read.schema(StructType([*out.schema.fields]).add("batch", IntegerType())).parquet(f"{base}/out")
+    keys = [c for c in out.columns if not c.startswith("price_m") and c not in ("price_avg", "price_var", "n")]
+    rest = [c for c in out.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(*keys, "s.*")
+    return newest.select(*out.columns).withColumns(r6(*STAT_FLOATS))
+
+
+SIGMAS = {"BTC": 0.0004, "ETH": 0.0007}
+
+
+@query
+def stream_forecast_sigmas(spark, sf_dir):
+    """As stream_forecast, with a σ of its own for two of the three series."""
+    base = work_dir(spark, "sigmas")
+    sigmas = spark.createDataFrame(list(SIGMAS.items()), "series STRING, sigma_log DOUBLE")
+    config = pipeline.PipelineConfig(
+        output=base, checkpoint=f"{base}/checkpoint", forecast_grain="10 minutes", forecast_watermark="1 hour",
+        sigma_log=SIGMA, sigmas=sigmas, prob_stale=PROB_STALE, spot_stale=SPOT_STALE,
+    )
+    pipeline.drain([pipeline.sink_forecast_points(_stream_ticks(spark, sf_dir), config, pipeline.DRAIN)])
+    return _drained(spark, pipeline.live_forecast(spark, config), "carried").withColumns(
+        r6("btc_mid", "poly_prob", "log_return", "drift", "forecast", "sigma")
+    )

@@ -18,6 +18,10 @@ SQL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # state of windows by token and price bucket outgrows a heap
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
@@ -70,6 +74,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def make_dir(spark: SparkSession, path: str) -> str:
+    """Create a folder, on whatever file system it lies; a stream can then start on it while it is empty."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage after a large reduction, in reliable shared storage.
 
@@ -83,12 +94,3 @@ def materialize(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that arrives in a few pieces, such as one small file.
-
-    A no-op once the input has at least a quarter as many splits as there are cores, so a
-    large scan is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 4 > cores else df.repartition(cores)

@@ -10,7 +10,6 @@ from marketlake.functions.times import rolling_slug, slug_end
 GRACE_SECONDS = 5.0
 DEFAULT_TOP = 20
 DEFAULT_TOP_ALL = 100
-CANDIDATES = 200
 
 
 def _text_array(c: str) -> Column:
@@ -49,28 +48,21 @@ def enrich_market(events: DataFrame, tokens: DataFrame) -> DataFrame:
     return events.join(lookup, "asset_id", "left")
 
 
-def top_markets(
-    catalogue: DataFrame,
-    n: int = DEFAULT_TOP,
-    keyword: str | None = None,
-    candidates: int = CANDIDATES,
-) -> DataFrame:
+def top_markets(catalogue: DataFrame, n: int | None = None, keyword: str | None = None) -> DataFrame:
     """The `n` largest active markets by volume that have tokens, keyword on question or slug.
 
-    As in the catalogue service, the keyword applies to the `candidates` largest markets.
+    `n` defaults to DEFAULT_TOP with a keyword and to DEFAULT_TOP_ALL for all markets.
     """
-    largest = catalogue
+    if n is None:
+        n = DEFAULT_TOP if keyword else DEFAULT_TOP_ALL
+    wanted = catalogue
     if "active" in catalogue.columns:
-        largest = largest.where("active")
-    by_volume = (F.col("volume").desc_nulls_last(), F.col("slug").asc())
-    largest = largest.orderBy(*by_volume).limit(candidates)
+        wanted = wanted.where("active")
     if keyword:
         k = keyword.lower()
-        largest = largest.where(
-            F.lower("question").contains(k) | F.lower("slug").contains(k)
-        )
+        wanted = wanted.where(F.lower("question").contains(k) | F.lower("slug").contains(k))
     has_tokens = F.coalesce(F.length("clobTokenIds"), F.lit(0)) > 0
-    return largest.where(has_tokens).orderBy(*by_volume).limit(n)
+    return wanted.where(has_tokens).orderBy(F.col("volume").desc_nulls_last(), F.col("slug").asc()).limit(n)
 
 
 def resolve_rolling_market(
@@ -112,8 +104,7 @@ def resolve_rolling_market(
 
 def missing_markets(resolved: DataFrame) -> DataFrame:
     """Requests for which neither window has a market."""
-    found = resolved.where(F.col("slug").isNotNull()).select("asset", "at")
-    return resolved.select("asset", "at").join(found, ["asset", "at"], "left_anti")
+    return resolved.where(F.col("slug").isNull()).select("asset", "at")
 
 
 def rediscovery_deadline(resolved: DataFrame, window_min: int = 5) -> DataFrame:

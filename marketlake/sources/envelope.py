@@ -13,12 +13,11 @@ ENVELOPE_COLUMNS = ("source", "type", "recv_ts", "symbol", "asset_id", "market",
 def parse_envelope(raw: DataFrame) -> DataFrame:
     """Message bytes to typed columns, with the topic kept.
 
-    The filter looks at `value`, not at the parsed struct: testing the struct would keep
-    a second, full-schema parse alive in the filter and stop JSON column pruning.
+    The text is parsed once: filters on parsed fields would be pushed through a plain
+    projection, each with a parse of its own, but not through an explode.
     """
-    parsed = raw.where(F.col("value").isNotNull()).select(
-        "topic", F.from_json(F.col("value").cast("string"), ENVELOPE_DDL).alias("env")
-    )
+    once = F.array(F.from_json(F.col("value").cast("string"), ENVELOPE_DDL))
+    parsed = raw.where(F.col("value").isNotNull()).select("topic", F.explode(once).alias("env"))
     return parsed.select("topic", *[F.col(f"env.{c}").alias(c) for c in ENVELOPE_COLUMNS])
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.schemas import INPUT_TOPICS, TICK_DDL, TICK_PARTITIONS
+from marketlake.session import configure
 
 MESSAGE_DDL = "topic STRING, key STRING, value STRING"
+COMPACT_SIZE = "256MB"
 
 
 def tick_source(
@@ -60,24 +62,25 @@ def write_ticks(ticks: DataFrame, root: str, mode: str = "append") -> None:
 
     The rebalance hint lets adaptive execution split a partition that holds most of the rows
     and merge the small ones, so neither a hot hour nor a quiet one decides the file size.
-    A small archive is bound by its number of files, so it still gets a task per core.
+    An overwrite replaces only the partitions that the rows belong to.
     """
-    conf, key = ticks.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.minPartitionSize"
-    before = conf.get(key, None)
-    conf.set(key, "16KB")
-    try:
-        ticks.hint("rebalance", *TICK_PARTITIONS).write.mode(mode).partitionBy(
-            *TICK_PARTITIONS
-        ).parquet(root)
-    finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+    ticks.hint("rebalance", *TICK_PARTITIONS).write.mode(mode).partitionBy(*TICK_PARTITIONS).option(
+        "partitionOverwriteMode", "dynamic"
+    ).parquet(root)
 
 
 def compact_ticks(
-    spark: SparkSession, root: str, target: str, dates: Iterable[str] | None = None
+    spark: SparkSession, root: str, target: str, dates: Iterable[str] | None = None, file_size: str = COMPACT_SIZE
 ) -> None:
-    """Rewrite an archive of many small files into `target`, optionally for some dates only."""
-    ticks = read_ticks(spark, root)
+    """Rewrite an archive of many small files into `target`, optionally for some dates only.
+
+    Runs in a session of its own, so that the file size it asks for touches no other query.
+    Dates compacted before stay; a date compacted again is replaced.
+    """
+    own = configure(spark.newSession())
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", file_size)
+    own.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    ticks = read_ticks(own, root)
     if dates is not None:
         ticks = ticks.where(F.col("date").isin(*dates))
     write_ticks(ticks, target, mode="overwrite")

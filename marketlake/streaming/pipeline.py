@@ -8,19 +8,22 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from marketlake.operators.normalize import normalize_ticks
 from marketlake.operators.stats import forecast_stats, windowed_stats
 from marketlake.schemas import (
     DEFAULT_SIGMA_LOG,
+    TICK_DDL,
     TICK_PARTITIONS,
     TOPIC_FORECAST,
     TOPIC_SCORED,
     TOPIC_STATS,
 )
+from marketlake.session import make_dir
 from marketlake.sources.envelope import parse_envelope
 from marketlake.sources.forecasts import forecast_messages
-from marketlake.streaming.state import carry_forward_stream
+from marketlake.streaming.state import LATENESS, carry_forward_stream
 
 DRAIN = {"availableNow": True}
 
@@ -134,10 +137,15 @@ class PipelineConfig:
     forecast_watermark: str = "10 seconds"
     slug_suffix: str = "-updown-5m-"
     sigma_log: float = DEFAULT_SIGMA_LOG
+    # (series, sigma_log) of fitted models; series without one use sigma_log
+    sigmas: DataFrame | None = None
     prob_stale: int = 1800
     spot_stale: int | None = None
+    lateness: str = LATENESS
     console: bool = False
     salts: int = 4
+    # bound of a micro-batch over the tables that the later hops read
+    files_per_trigger: int = 1000
     trigger: dict = field(default_factory=dict)
 
 
@@ -165,8 +173,37 @@ def sink_forecast_points(
 
 def live_forecast(spark: SparkSession, config: PipelineConfig) -> DataFrame:
     """Second hop: forecast points to carried-forward forecast rows (asset, sec, …)."""
-    points = spark.readStream.schema(POINTS_DDL).parquet(f"{config.output}/forecast_points")
-    return carry_forward_stream(points, config.sigma_log, config.prob_stale, config.spot_stale)
+    points = _hop(spark, config, POINTS_DDL, "forecast_points")
+    return carry_forward_stream(
+        points, config.sigma_log, config.prob_stale, config.spot_stale, lateness=config.lateness, sigmas=config.sigmas
+    )
+
+
+def archived_ticks(spark: SparkSession, config: PipelineConfig) -> DataFrame:
+    """The tick archive as a stream.
+
+    Folders appear after the stream has started, so their columns cannot be left to partition
+    discovery, which looks once: the source is read off the path, date and hour off the time.
+    """
+    stored = StructType([f for f in StructType.fromDDL(TICK_DDL) if f.name not in TICK_PARTITIONS])
+    rows = _hop(spark, config, stored, "ticks", recursiveFileLookup="true")
+    return rows.select(
+        "*",
+        F.regexp_extract("_metadata.file_path", "/source=([^/]*)/", 1).alias("source"),
+        F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.hour("ts").alias("hour"),
+    )
+
+
+def _hop(
+    spark: SparkSession, config: PipelineConfig, schema: str | StructType, table: str, **options: str
+) -> DataFrame:
+    """A table that an earlier query of the pipeline writes, as a stream of bounded batches."""
+    return (
+        spark.readStream.schema(schema)
+        .options(maxFilesPerTrigger=config.files_per_trigger, **options)
+        .parquet(make_dir(spark, f"{config.output}/{table}"))
+    )
 
 
 def stats_messages(stats: DataFrame) -> DataFrame:
@@ -176,11 +213,13 @@ def stats_messages(stats: DataFrame) -> DataFrame:
 def run_pipeline(raw: DataFrame, config: PipelineConfig) -> list[StreamingQuery]:
     """Start the tick archive, the statistics topic and the two forecast hops over one source.
 
-    The queries are independent: each keeps its own offsets, and one that fails or lags does
-    not hold back the others.
+    Only the archive query reads and parses messages. The statistics and the forecast read the
+    archived ticks as their stream, each with offsets of its own, so one that fails or lags
+    does not hold back the others.
     """
     ticks = normalize_ticks(parse_envelope(raw))
-    stats = windowed_stats(ticks, config.window, config.watermark)
+    archived = archived_ticks(raw.sparkSession, config)
+    stats = windowed_stats(archived, config.window, config.watermark)
     location = config.sink_location or config.output
     trigger = config.trigger or None
     queries = [
@@ -189,7 +228,7 @@ def run_pipeline(raw: DataFrame, config: PipelineConfig) -> list[StreamingQuery]
             stats_messages(stats), "stats", TOPIC_STATS, config.checkpoint, config.sink_kind,
             location, trigger,
         ),
-        sink_forecast_points(ticks, config, trigger),
+        sink_forecast_points(archived, config, trigger),
         sink_messages(
             forecast_messages(live_forecast(raw.sparkSession, config)).withColumn(
                 "ts", F.get_json_object("value", "$.ts")

@@ -1,13 +1,16 @@
 """Keyed state for streams: carry-forward and live scoring.
 
 State lives in the query's checkpoint, one small row per series, so a restart resumes where
-the stream stopped. Rows of a micro-batch are sorted by time within their series before they
-touch the state.
+the stream stopped. A micro-batch is worked on as arrays: the rows kept from earlier batches
+are put in front of it in time order, and fills, as-of look-ups, returns and label origins are
+searches in sorted arrays. What the next batch needs of the result is kept.
+
+The source bounds a micro-batch (files or offsets per trigger, see `tick_source` and
+`live_forecast`), and with it the rows of one series that are in memory at once.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketlake.functions.pricing import implied_forecast
-from marketlake.operators.arma import forecast_weights
+from marketlake.operators.arma import _recursion, forecast_weights, longest
 from marketlake.operators.features import EXACT_BARS, KEPT_BARS
 from marketlake.operators.resample import Grains
 from marketlake.operators.score import score_rows
@@ -25,6 +28,7 @@ from marketlake.schemas import DEFAULT_SIGMA_LOG
 
 DAY_MS = 86_400_000
 # Rows this much older than the newest are dropped, as a live scorer ignores older minutes.
+# Spark reports their number as numRowsDroppedByWatermark of the query's progress.
 LATENESS = "1 hour"
 
 
@@ -39,6 +43,25 @@ def _expire_after(state: GroupState, newest_s: float, idle_ms: int) -> None:
     state.setTimeoutTimestamp(max(int(newest_s * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
 
 
+def with_sigma(points: DataFrame, sigmas: DataFrame | None, key: str, default: float) -> DataFrame:
+    """Add sigma_log from a table (key, sigma_log); series it lacks get the default."""
+    if sigmas is None:
+        return points.withColumn("sigma_log", F.lit(float(default)))
+    known = sigmas.select(F.col(sigmas.columns[0]).alias(key), F.col("sigma_log").alias("_sigma"))
+    return (
+        points.join(known, key, "left")
+        .withColumn("sigma_log", F.coalesce("_sigma", F.lit(float(default))))
+        .drop("_sigma")
+    )
+
+
+def latest_known(t: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of a time-ordered leg, the last finite value at or before it and its time."""
+    at = np.maximum.accumulate(np.where(np.isfinite(value), np.arange(len(value)), -1))
+    none = at < 0
+    return np.where(none, np.nan, value[at]), np.where(none, -np.inf, t[at])
+
+
 def carry_forward_stream(
     points: DataFrame,
     sigma_log: float = DEFAULT_SIGMA_LOG,
@@ -46,48 +69,59 @@ def carry_forward_stream(
     spot_stale: int | None = None,
     idle_ms: int = DAY_MS,
     lateness: str = LATENESS,
+    sigmas: DataFrame | None = None,
 ) -> DataFrame:
     """Streaming form of `carry_forward` over (asset, ts, btc_mid, poly_prob).
 
-    The state is the last observed value of each leg with its time; a series whose
-    newest message lies `idle_ms` behind the stream is forgotten.
+    The state is the newest observed value of each leg with its time; a series whose
+    newest message lies `idle_ms` behind the stream is forgotten. σ comes from `sigmas`
+    (series, sigma_log) and is `sigma_log` for series it lacks.
     """
-    limits = (min(prob_stale, 30) if spot_stale is None else spot_stale, prob_stale)
+    limits = {"btc_mid": min(prob_stale, 30) if spot_stale is None else spot_stale, "poly_prob": prob_stale}
 
     def fill(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = list(state.get) if state.exists else [None, None, None, None]
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for t, *values in zip(rows["ts"], rows["btc_mid"], rows["poly_prob"]):
-            filled = []
-            for leg, value in enumerate(values):
-                if value is not None and math.isfinite(value):
-                    last[2 * leg], last[2 * leg + 1] = float(value), float(t)
-                    filled.append(float(value))
-                elif last[2 * leg] is not None and 0 <= t - last[2 * leg + 1] <= limits[leg]:
-                    filled.append(last[2 * leg])
-                else:
-                    filled.append(None)
-            out.append((key[0], int(t), *filled))
-        state.update(tuple(last))
-        _expire_after(state, float(rows["ts"].iloc[-1]), idle_ms)
-        yield pd.DataFrame(out, columns=["asset", "sec", "btc_mid", "poly_prob"])
+        kept = list(state.get) if state.exists else [None] * 4
+        new = pd.concat(list(batches))[["ts", "btc_mid", "poly_prob", "sigma_log"]]
+        seeds = pd.DataFrame(
+            {
+                "ts": kept[1::2],
+                "btc_mid": [kept[0], None],
+                "poly_prob": [None, kept[2]],
+                "sigma_log": None,
+            },
+            dtype=float,
+        ).dropna(subset=["ts"])
+        rows = pd.concat([seeds.assign(own=False), new.assign(own=True)]).sort_values("ts", kind="stable")
+        t = rows["ts"].to_numpy(float)
+        out, kept = rows[["ts", "sigma_log"]].copy(), []
+        for leg, limit in limits.items():
+            value, since = latest_known(t, rows[leg].to_numpy(float))
+            out[leg] = np.where(t - since <= limit, value, np.nan)
+            kept += [float(value[-1]), float(since[-1])] if np.isfinite(value[-1]) else [None, None]
+        state.update(tuple(kept))
+        _expire_after(state, float(t[-1]), idle_ms)
+        out = out[rows["own"].to_numpy(bool)]
+        legs = {leg: out[leg].astype(object).where(out[leg].notna(), None) for leg in limits}
+        yield pd.DataFrame(
+            {"asset": key[0], "sec": out["ts"].astype("int64"), **legs, "sigma_log": out["sigma_log"]}
+        )
 
+    rows = points.select("asset", "ts", "btc_mid", "poly_prob")
     filled = (
-        _on_event_time(points.select("asset", "ts", "btc_mid", "poly_prob"), "ts", lateness)
+        _on_event_time(with_sigma(rows, sigmas, "asset", sigma_log), "ts", lateness)
         .groupBy("asset")
         .applyInPandasWithState(
             fill,
-            "asset string, sec bigint, btc_mid double, poly_prob double",
+            "asset string, sec bigint, btc_mid double, poly_prob double, sigma_log double",
             "mid double, mid_ts double, prob double, prob_ts double",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
     )
-    derived = implied_forecast("btc_mid", "poly_prob", F.lit(float(sigma_log)))
+    derived = implied_forecast("btc_mid", "poly_prob", F.col("sigma_log"))
     return filled.select(
         "asset", "sec", "btc_mid", "poly_prob",
         *[derived[n].alias(n) for n in ("log_return", "drift", "forecast", "sigma", "sigma_log")],
@@ -97,7 +131,7 @@ def carry_forward_stream(
 SCORE_STATE_DDL = (
     "secs array<bigint>, mids array<double>, probs array<double>, last_minute bigint, "
     "bar_t array<bigint>, bar_mid array<double>, bar_prob array<double>, "
-    "wait_t array<bigint>, wait_x array<double>, u array<double>, e array<double>, last_emit bigint"
+    "u array<double>, e array<double>, last_emit bigint"
 )
 FEATURES_DDL = (
     "series string, sec bigint, btc_mid double, poly_p_up double, feature_mode string, "
@@ -105,29 +139,58 @@ FEATURES_DDL = (
 )
 
 
-def _live_vector(bars, now, sigma: float, g: Grains, strict: bool):
-    """(mode, [p_up, change, volatility]) from kept bars and the current snapshot, or None."""
-    recent = bars[-EXACT_BARS:]
-    if len(recent) == EXACT_BARS and recent[-1][0] - recent[0][0] == (EXACT_BARS - 1) * g.minute:
-        mids = np.array([b[1] for b in recent])
-        old, new = mids[: -g.steps], mids[g.steps :]
-        usable = (old > 0) & (new > 0)
-        rets = np.where(usable, np.log(np.where(usable, new / old, 1.0)), 0.0)[-g.steps :]
-        return "exact", [
-            recent[-1][2], recent[-1][2] - recent[-1 - g.steps][2], float(rets.std(ddof=1))
-        ]
+def _log_ratio(new: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log(new / old) and where both prices are usable; 0 elsewhere."""
+    with np.errstate(invalid="ignore"):
+        usable = (new > 0) & (old > 0)
+    return np.log(np.where(usable, new, 1.0) / np.where(usable, old, 1.0)), usable
+
+
+def feature_vectors(
+    bars: np.ndarray, known: np.ndarray, now: np.ndarray, sigma: float, g: Grains, strict: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each vector is exact, whether there is one, and the vectors (p_up, change, volatility).
+
+    bars: rows (t, mid, prob) in time order; known: how many of them each point may use, of
+    which the newest KEPT_BARS count; now: rows (t, mid, prob) of the points.
+    """
+    n, m = len(now), KEPT_BARS
+    padded = np.vstack([np.full((m, 3), np.nan), bars.reshape(-1, 3)])
+    # per point its newest bars, oldest first; NaN where there are fewer
+    t, mid, prob = np.moveaxis(padded[known[:, None] + np.arange(m)], 2, 0)
+
+    exact = t[:, -1] - t[:, -EXACT_BARS] == (EXACT_BARS - 1) * g.minute
+    returns, _ = _log_ratio(mid[:, -g.steps :], mid[:, -2 * g.steps : -g.steps])
+    x = np.column_stack([prob[:, -1], prob[:, -1] - prob[:, -1 - g.steps], returns.std(axis=1, ddof=1)])
     if strict:
-        return None
-    path = [b for b in bars if b[0] <= now[0]]
-    if not path or path[-1][0] < now[0]:
-        path.append(now)
-    old_enough = [b for b in path if b[0] <= now[0] - g.steps * g.minute]
-    anchor = (old_enough[-1] if old_enough else path[0])[2]
-    rets = [math.log(b[1] / a[1]) for a, b in zip(path, path[1:]) if a[1] > 0 and b[1] > 0][-5:]
-    vol = sigma
-    if len(rets) >= 2:
-        vol = max(float(np.std(rets, ddof=1)) * math.sqrt(5.0), sigma * 0.25)
-    return "warm", [now[2], now[2] - anchor, vol]
+        return exact, exact, x
+
+    # path to the current point: the bars, then the point itself unless it is the newest bar
+    at_bar = t[:, -1] == now[:, 0]
+    steps, usable = _log_ratio(
+        np.column_stack([mid[:, 1:], np.where(at_bar, np.nan, now[:, 1])]), mid
+    )
+    # the newest five usable one-step returns
+    usable &= np.cumsum(usable[:, ::-1], axis=1)[:, ::-1] <= 5
+    count = usable.sum(axis=1)
+    mean = np.where(usable, steps, 0.0).sum(axis=1) / np.maximum(count, 1)
+    var = np.where(usable, (steps - mean[:, None]) ** 2, 0.0).sum(axis=1) / np.maximum(count - 1, 1)
+    vol = np.where(count >= 2, np.maximum(np.sqrt(var * 5.0), sigma * 0.25), sigma)
+    # the newest bar old enough, else the oldest there is, else the point itself
+    old = t <= now[:, :1] - g.steps * g.minute
+    anchor = np.where(old.any(axis=1), m - 1 - np.argmax(old[:, ::-1], axis=1), m - np.minimum(known, m))
+    first = np.column_stack([prob, now[:, 2]])[np.arange(n), np.minimum(anchor, m)]
+    warm = np.column_stack([now[:, 2], now[:, 2] - first, vol])
+    return exact, np.ones(n, bool), np.where(exact[:, None], x, warm)
+
+
+def spaced(t: np.ndarray, last: int, interval: int) -> np.ndarray:
+    """Positions in sorted t at least `interval` after `last` and after each other."""
+    chosen, i = [], int(np.searchsorted(t, last + interval))
+    while i < len(t):
+        chosen.append(i)
+        i = int(np.searchsorted(t, t[i] + interval))
+    return np.array(chosen, int)
 
 
 def score_stream(
@@ -141,92 +204,96 @@ def score_stream(
 ) -> DataFrame:
     """Live scoring of (series, sec, btc_mid, poly_p_up) with fitted parameters.
 
-    Per series the state holds recent seconds, the last twelve bars, feature vectors waiting
-    for their label, and the newest u and e values of the error process. A label enters the
-    state once its bar lies `horizon` bars back, and forecasts reach from that last known
+    Per series the state holds recent points, enough bars to restate the features of any bar
+    whose label is still to come, and the newest u and e values of the error process. A label
+    enters once its bar lies `horizon` bars back, and forecasts reach from that last known
     label to the current bar. Emission is throttled and monotone in time.
     """
     g, horizon = grains, grains.horizon
+    lag = max(*longest(params), 1)
     usable = params.where(F.col("status") == "ok").select(
         "series", "beta", "phi", "theta", "sigma_log",
-        forecast_weights(horizon)("phi", "theta").alias("w"),
+        forecast_weights(horizon, lag)("phi", "theta").alias("w"),
     )
     keep_s = 2 * max(g.spot_stale, g.prob_stale)
-    wait_s = 60 * g.minute
+    keep_bars = KEPT_BARS + horizon + 1
 
     def score(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         if state.exists:
-            secs, mids, probs, last_minute, bt, bm, bp, wt, wx, u, e, last_emit = state.get
-            seen = dict(zip(secs, zip(mids, probs)))
-            bars = list(zip(bt, bm, bp))
-            wait = {t: list(wx[3 * i : 3 * i + 3]) for i, t in enumerate(wt)}
-            u, e = list(u), list(e)
+            secs, mids, probs, last_minute, bar_t, bar_mid, bar_prob, u, e, last_emit = state.get
         else:
-            seen, bars, wait, u, e, last_minute, last_emit = {}, [], {}, [0.0] * 3, [0.0] * 3, -1, -(2**60)
-        rows = pd.concat(list(batches)).sort_values("sec", kind="stable")
-        first = rows.iloc[0]
-        beta, weights = np.array(first["beta"]), np.array(first["w"])
-        # state rows hold plain numbers only
-        phi, theta = [float(v) for v in first["phi"]], [float(v) for v in first["theta"]]
-        sigma = float(first["sigma_log"])
-
-        def latest(at: int, stale: int, leg: int):
-            times = [s for s in seen if at - stale <= s <= at]
-            return seen[max(times)][leg] if times else None
-
-        def close_bar(at: int) -> None:
-            mid, prob = latest(at, g.spot_stale, 0), latest(at, g.prob_stale, 1)
-            if mid is None or prob is None:
-                return
-            bars.append((at, mid, prob))
-            del bars[:-KEPT_BARS]
-            if len(bars) > horizon:
-                origin = bars[-horizon - 1]
-                x = wait.pop(origin[0], None)
-                if x is not None and at - origin[0] == horizon * g.minute:
-                    ok = origin[1] > 0 and mid > 0
-                    error = (math.log(mid / origin[1]) if ok else 0.0) - float(beta @ np.array(x))
-                    ar = sum(c * v for c, v in zip(phi, u)) + sum(c * v for c, v in zip(theta, e))
-                    u.insert(0, error)
-                    e.insert(0, error - ar)
-                    del u[3:], e[3:]
-            vector = _live_vector(bars, bars[-1], sigma, g, strict)
-            if vector:
-                wait[at] = vector[1]
-            for old in [s for s in wait if s < at - wait_s]:
-                del wait[old]
-
-        out = []
-        for sec, mid, prob in zip(rows["sec"], rows["btc_mid"], rows["poly_p_up"]):
-            sec, mid, prob = int(sec), float(mid), float(prob)
-            seen[sec] = (mid, prob)
-            for old in [s for s in seen if s < sec - keep_s]:
-                del seen[old]
-            if sec // g.minute > last_minute:
-                last_minute = sec // g.minute
-                close_bar(last_minute * g.minute)
-            if sec - last_emit < max(emit_interval, 1):
-                continue
-            vector = _live_vector(bars, (sec, mid, prob), sigma, g, strict)
-            if vector is None:
-                continue
-            ahead = float(weights[:3] @ np.array(u) + weights[3:] @ np.array(e))
-            out.append((key[0], sec, mid, prob, vector[0], *vector[1], ahead))
-            last_emit = sec
-        kept = sorted(seen)
-        waiting = sorted(wait)
+            secs, mids, probs, bar_t, bar_mid, bar_prob = [[]] * 6
+            u, e, last_minute, last_emit = [0.0] * lag, [0.0] * lag, -1, -(2**60)
+        new = pd.concat(list(batches)).sort_values("sec", kind="stable")
+        first = new.iloc[0]
+        beta, weights, sigma = np.array(first["beta"]), np.array(first["w"]), float(first["sigma_log"])
+        phi, theta = np.array(first["phi"], float), np.array(first["theta"], float)
+        now = new[["sec", "btc_mid", "poly_p_up"]].to_numpy(float)
+        # one point per second, the last that arrived
+        seen = np.vstack([np.column_stack([secs, mids, probs]).reshape(-1, 3), now])
+        seen = seen[np.argsort(seen[:, 0], kind="stable")]
+        seen = seen[np.append(seen[1:, 0] != seen[:-1, 0], True)]
+
+        # bars close at the minutes that these points open, from the newest point before
+        opened = np.unique(now[:, 0] // g.minute)
+        close = opened[opened > last_minute] * g.minute
+        source = np.searchsorted(seen[:, 0], close, "right") - 1
+        fresh = (source >= 0) & (close - seen[source, 0] <= min(g.spot_stale, g.prob_stale))
+        old_bars = np.column_stack([bar_t, bar_mid, bar_prob]).reshape(-1, 3)
+        bars = np.vstack([old_bars, np.column_stack([close, seen[source, 1:]])[fresh]])
+
+        # labels of the new bars: return since the bar `horizon` bars and minutes back
+        end = np.arange(len(old_bars), len(bars))
+        end = end[end >= horizon]
+        end = end[bars[end, 0] - bars[end - horizon, 0] == horizon * g.minute]
+        origin = bars[end - horizon]
+        _, there, x = feature_vectors(bars, end - horizon + 1, origin, sigma, g, strict)
+        end, origin, x = end[there], origin[there], x[there]
+        realized, _ = _log_ratio(bars[end, 1], origin[:, 1])
+        errors = np.concatenate([np.array(u, float)[::-1], realized - x @ beta])
+        v = errors[lag:].copy()
+        for k, c in enumerate(phi):
+            v -= c * errors[lag - 1 - k : len(errors) - 1 - k]
+        shocks = np.concatenate([np.array(e, float)[::-1], _recursion(v, theta, np.array(e, float))])
+        # forecast after no, one, two, ... of the new labels
+        window = np.arange(len(end) + 1)[:, None] + np.arange(lag - 1, -1, -1)
+        ahead = errors[window] @ weights[:lag] + shocks[window] @ weights[lag:]
+
+        minute = now[:, 0] // g.minute * g.minute
+        known = np.searchsorted(bars[:, 0], np.maximum(minute, last_minute * g.minute), "right")
+        exact, there, x = feature_vectors(bars, known, now, sigma, g, strict)
+        of_label = np.searchsorted(bars[end, 0], np.maximum(minute, last_minute * g.minute), "right")
+        able = np.flatnonzero(there)
+        emit = able[spaced(now[able, 0], last_emit, max(emit_interval, 1))]
+
+        last_emit = int(now[emit[-1], 0]) if len(emit) else last_emit
+        last_minute = int(max(last_minute, opened[-1]))
+        seen = seen[seen[:, 0] >= now[-1, 0] - keep_s]
+        bars = bars[-keep_bars:]
         state.update(
             (
-                kept, [seen[s][0] for s in kept], [seen[s][1] for s in kept], last_minute,
-                [b[0] for b in bars], [b[1] for b in bars], [b[2] for b in bars],
-                waiting, [float(v) for t in waiting for v in wait[t]], u, e, last_emit,
+                seen[:, 0].astype(int).tolist(), seen[:, 1].tolist(), seen[:, 2].tolist(), last_minute,
+                bars[:, 0].astype(int).tolist(), bars[:, 1].tolist(), bars[:, 2].tolist(),
+                errors[::-1][:lag].tolist(), shocks[::-1][:lag].tolist(), last_emit,
             )
         )
-        _expire_after(state, int(rows["sec"].iloc[-1]), idle_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES_DDL.split(", ")])
+        _expire_after(state, float(now[-1, 0]), idle_ms)
+        yield pd.DataFrame(
+            {
+                "series": key[0],
+                "sec": now[emit, 0].astype(int),
+                "btc_mid": now[emit, 1],
+                "poly_p_up": now[emit, 2],
+                "feature_mode": np.where(exact[emit], "exact", "warm"),
+                "x_prob": x[emit, 0],
+                "x_change": x[emit, 1],
+                "x_vol": x[emit, 2],
+                "ahead": ahead[of_label[emit]],
+            }
+        )
 
     vectors = (
         _on_event_time(points, "sec", lateness)

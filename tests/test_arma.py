@@ -146,3 +146,29 @@ def test_order_grid_is_complete(split):
     grid = arma.order_grid(u, chunk=257).toPandas()
     assert (grid.groupby("series").size() == 15).all()
     assert not ((grid["p"] == 0) & (grid["q"] == 0)).any()
+
+
+@pytest.mark.parametrize("phi,theta", [([0.0, 0.0, 0.0, 0.0, 0.5], []), ([0.3], [0.2, -0.1, 0.1, 0.4])])
+def test_orders_beyond_the_default(spark, phi, theta):
+    """Every coefficient counts, however long the lags."""
+    x, y = simulate(5, 700, phi, theta)
+    pdf = pd.DataFrame(x, columns=EXOG).assign(log_return_5m=y, series="s", idx=np.arange(len(y)))
+    pdf["split"] = np.where(pdf["idx"] < 500, "train", "holdout")
+    split = spark.createDataFrame(pdf)
+    row = ("s", "ok", 500, len(phi), len(theta), 0.0, 0.01, BETA.tolist(), phi, theta, list(EXOG), "log_return_5m")
+    given = spark.createDataFrame([row], arma.PARAMS_DDL)
+    for delay in (0, 5):
+        got = arma.walk_forward(split, given, delay, chunk=97).toPandas().sort_values("idx")["pred"].to_numpy()
+        assert np.allclose(got, brute_force(x, y, BETA, phi, theta, max(delay, 1)), atol=1e-8)
+    terms = {r["term"] for r in arma.coef_table(split, given, chunk=97).collect()}
+    assert {f"ar.L{i + 1}" for i in range(len(phi))} | {f"ma.L{i + 1}" for i in range(len(theta))} <= terms
+
+
+def test_recursion_by_stretches():
+    rng = np.random.default_rng(4)
+    for n, theta in ((1, [0.5]), (2, [0.1, 0.2, 0.3]), (100, [0.9]), (1001, [0.4, -0.3, 0.2])):
+        v, state = rng.normal(size=n), rng.normal(size=len(theta))
+        e = list(state[::-1])
+        for value in v:
+            e.append(value - sum(c * e[-j - 1] for j, c in enumerate(theta)))
+        assert np.allclose(arma._recursion(v, np.array(theta), state), e[len(theta) :])

@@ -27,7 +27,7 @@ def test_implausible_sigma_is_refused(spark):
     import pytest
 
     with pytest.raises(SystemExit):
-        jobs._sigma(spark, argparse.Namespace(sigma_log=50.0, model=None))
+        jobs._sigmas(spark, argparse.Namespace(sigma_log=50.0, model=None))
 
 
 def test_read_schema_is_declared(spark, tmp_path):

@@ -157,3 +157,47 @@ def test_archive_skips_empty_files_and_prunes(spark, tmp_path):
     plan = rows.select("ts")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(source" in plan and "GreaterThan(price,0.0)" in plan
     assert "market_slug" not in plan.split("ReadSchema")[1]
+
+
+def test_compaction_replaces_only_its_dates(spark, tmp_path):
+    from marketlake.sources.ticks import compact_ticks, read_ticks, write_ticks
+
+    days = [f"2024-01-0{d}" for d in range(1, 5)]
+    rows = [(d, h, i) for d in days for h in range(2) for i in range(30)]
+    ticks = spark.createDataFrame(rows, "date string, hour int, i int").selectExpr(
+        "'aggTrade' AS type", "'btcusdt' AS ident", "'BTC' AS asset", "'BTCUSDT' AS series",
+        "timestamp(concat(date, ' 0', hour, ':00:', lpad(i, 2, '0'))) AS ts", "100.0D AS price", "100.0D AS price_bucket",
+        "CAST(NULL AS STRING) AS market_slug", "CAST(NULL AS STRING) AS market_outcome",
+        "'binance' AS source", "date", "hour",
+    )
+    for part in range(5):  # many small files
+        write_ticks(ticks.where(f"second(ts) % 5 = {part}"), str(tmp_path / "small"))
+    target = tmp_path / "compact"
+    compact_ticks(spark, str(tmp_path / "small"), str(target), days[:2])
+    compact_ticks(spark, str(tmp_path / "small"), str(target), days[2:])
+    compact_ticks(spark, str(tmp_path / "small"), str(target), days[2:3])
+    assert read_ticks(spark, str(target)).count() == len(rows)
+    files = lambda at: len(list(at.rglob("*.parquet")))
+    assert files(target) == 8 < files(tmp_path / "small")
+
+
+def test_top_markets_looks_at_all(spark):
+    from marketlake.sources.catalogue import top_markets
+
+    rows = [(f"big-{i}", "q", 1000.0 + i, "") for i in range(300)] + [(f"eth-{i}", "q", float(i), '["1"]') for i in range(250)]
+    df = spark.createDataFrame(rows, "slug string, question string, volume double, clobTokenIds string")
+    assert top_markets(df, 2, "ETH").first()["slug"] == "eth-249"
+    assert top_markets(df, 240).count() == 240
+    assert top_markets(df).count() == 100 and top_markets(df, keyword="eth").count() == 20
+
+
+def test_messages_are_parsed_once(spark):
+    from marketlake.operators.normalize import normalize_ticks
+    from marketlake.operators.stats import windowed_stats
+    from marketlake.sources.envelope import parse_envelope
+
+    raw = spark.createDataFrame([("t", "{}")], "topic string, value string").repartition(2)
+    ticks = normalize_ticks(parse_envelope(raw))
+    for df in (ticks, windowed_stats(ticks, "1 hour")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1, plan

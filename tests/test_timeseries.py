@@ -197,3 +197,29 @@ def test_tick_reductions_are_hash_aggregates(spark, sf):
         # one shuffle by key; the small test file is also dealt out to the cores
         assert plan.count("Exchange hashpartitioning") == 1
     assert "ReadSchema: struct<ts:timestamp_ntz" in plan_of(resample.minute_cells(ticks))
+
+
+def test_throttle_counts_from_the_last_row_kept(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(k, t) for k in ("a", "b", None) for t in sorted(rng.sample(range(4000), 600))]
+    df = spark.createDataFrame([(k, t, float(t)) for k, t in rows], "k string, sec long, v double")
+    for interval, chunk in ((7, 10), (60, 100), (500, 100)):
+        want, last = [], {}
+        for k, t in rows:
+            if k not in last or t - last[k] >= interval:
+                last[k] = t
+                want.append((k, t))
+        got = [(r["k"], r["sec"]) for r in features.throttle(df, ["k"], "sec", interval, chunk).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_asof_join_with_microseconds_copies_no_row_far(spark):
+    from marketlake.operators.asof import asof_join
+
+    second = 1_000_000
+    right = spark.createDataFrame([("k", i * 30 * second, i) for i in range(50)], "k string, t long, v int")
+    left = spark.createDataFrame([("k", i * 47 * second) for i in range(40)], "k string, t long")
+    joined = asof_join(left, right, ["k"], "t", ["v"], 60 * second)
+    assert {r["t"]: r["v"] for r in joined.collect()} == {i * 47 * second: min(i * 47 // 30, 49) if i * 47 - min(i * 47 // 30, 49) * 30 <= 60 else None for i in range(40)}
