@@ -58,11 +58,10 @@ def rates(docs: DataFrame, targets: DataFrame | None, alpha: float, total: float
         weighed = n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
     else:
         weighed = n.join(targets.select(name, F.col("weight").cast("double").alias("w")), "name", "left").fillna(0.0, "w")
-    sums = weighed.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    mean = F.lit(total) * F.col("all_n") * F.col("w") / F.col("all_w") / F.col("n")
+    all_n, all_w = weighed.agg(F.sum("n")).scalar(), weighed.agg(F.sum("w")).scalar()
+    mean = F.lit(total) * all_n * F.col("w") / all_w / F.col("n")
     return (
-        weighed.join(F.broadcast(sums))  # one row
-        .select("name", F.coalesce(mean, F.lit(0.0)).alias("mean"))
+        weighed.select("name", F.coalesce(mean, F.lit(0.0)).alias("mean"))
         .withColumn("parts", F.greatest(F.ceil(F.col("mean") / PART), F.lit(1)).cast("int"))
         .select("name", "parts", cumulative(F.col("mean") / F.col("parts")).alias("steps"))
     )
