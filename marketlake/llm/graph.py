@@ -38,13 +38,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    return (
-        both.join(_least(both), "u")
-        .where("v > u")
-        .select(F.col("v").alias("a"), F.col("m").alias("b"))
-        .where("a <> b")
-        .distinct()
-    )
+    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -379,10 +379,12 @@ def linked_sets(docs: DataFrame, described: DataFrame, width: int, percent: int)
     pairs = rest.join(other, F.expr(meet + near(percent, "r", "o"))).selectExpr("r.set_id AS one", "o.set_id AS two")
     pairs = bounded(as_pairs(pairs, "one", "two"), of_sets, percent)
     pairs = materialize(pairs.join(close, ["a", "b"], "left_anti"))
-    more = verified(pairs, scratch.keep(sets_of(pairs, docs, of_docs, width)), percent)
-    found = materialize(components(edges.unionByName(more)))
+    if not pairs.isEmpty():
+        more = verified(pairs, scratch.keep(sets_of(pairs, docs, of_docs, width)), percent)
+        # every component so far is a star by now
+        labels = materialize(components(labels.selectExpr("node AS a", "label AS b").unionByName(more)))
     scratch.drop()
-    return found
+    return labels
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
