@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlake.llm import decontam, exact_dedup, mixing, ngram_join, quality
-from marketlake.llm.common import table
+from marketlake.llm.common import delete, table
 from marketlake.session import work_dir
 
 
@@ -47,12 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each is written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """All stages; each is written as Parquet to the shared folder and read again.
+
+    A stage's table is deleted once the next one is written; the last one stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
         path = work_dir(spark, f"corpus-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    path = work_dir(spark, f"corpus-{STAGES[-1][0]}")
-    STAGES[-1][1](spark, docs, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return docs

@@ -64,6 +64,12 @@ def in_bitmap(bits: Column, longs: int, h: Column) -> Column:
     return F.call_function("getbit", word, (slot % 64).cast("int")) == 1
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Compressed tables in the shared folder that an operator needs for a while.
 
@@ -79,11 +85,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def drop(self) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in self.paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            delete(self.spark, path)
         self.paths = []
 
 
-__all__ = ["Scratch", "ascii_lower", "bitmap", "in_bitmap", "lookup", "materialize", "table", "whole_text"]
+__all__ = ["Scratch", "ascii_lower", "bitmap", "delete", "in_bitmap", "lookup", "materialize", "table", "whole_text"]
