@@ -200,3 +200,50 @@ def test_run_pipeline_starts_all_queries(spark, tmp_path):
             q.stop()
     assert read_ticks(spark, f"{config.output}/ticks").count() == len(messages(0, 120))
     assert published(spark, config, TOPIC_FORECAST).count() > 0
+
+
+def test_idle_series_are_forgotten(spark, tmp_path):
+    """A series behind the stream by more than its idle time loses its state; late rows are reported."""
+    ddl = "asset string, ts double, btc_mid double, poly_prob double"
+    parts = [
+        [("A", START + 0.0, 100.0, 0.5), ("B", START + 0.0, 10.0, 0.4)],
+        # B moves on for two hours, then twice more, so that A's timer has passed
+        [("B", START + 7200.0, 11.0, 0.4)],
+        [("B", START + 7300.0, 12.0, 0.4)],
+        # A speaks again: nothing is known of it; one row comes far too late
+        [("A", START + 7301.0, None, 0.6), ("B", START + 10.0, 1.0, 0.1)],
+    ]
+    sink = {"format": "parquet", "path": str(tmp_path / "out")}
+    dropped = 0
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / f"in/part={i}"))
+        points = spark.readStream.schema(ddl).parquet(str(tmp_path / "in/*"))
+        carried = state.carry_forward_stream(points, prob_stale=10**6, spot_stale=10**6, idle_ms=60_000, lateness="10 minutes")
+        query = pipeline.run_stream(carried, "idle", str(tmp_path / "cp"), sink, trigger=DRAIN)
+        pipeline.drain([query])
+        dropped += sum(
+            op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators
+        )
+    got = {(r["asset"], r["sec"] - START): r["btc_mid"] for r in spark.read.schema(carried.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got[("A", 0)] == 100.0 and got[("B", 7300)] == 12.0
+    assert got[("A", 7301)] is None
+    assert ("B", 10) not in got and dropped == 1
+
+
+def test_backlog_in_several_micro_batches(spark, tmp_path, params):
+    """Whatever the bound on a micro-batch, the scores are the same."""
+    points = [("BTC", START + t, 100.0 + (t * 7 % 13), 0.3 + (t % 40) / 100) for t in range(0, 1500, 5)]
+    df = spark.createDataFrame(points, "series string, sec long, btc_mid double, poly_p_up double")
+    for i in range(5):
+        df.where(f"sec >= {START + i * 300} AND sec < {START + (i + 1) * 300}").coalesce(1).write.parquet(
+            str(tmp_path / f"in/part={i}")
+        )
+    results = []
+    for bound in (1, 100):
+        raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", bound).parquet(str(tmp_path / "in/*"))
+        scored = state.score_stream(raw, params, Grains(chunk_rows=16))
+        sink = {"format": "parquet", "path": str(tmp_path / f"out{bound}")}
+        pipeline.drain([pipeline.run_stream(scored, f"score{bound}", str(tmp_path / "cp"), sink, trigger=DRAIN)])
+        rows = spark.read.schema(scored.schema).parquet(sink["path"]).collect()
+        results.append(sorted((r["ts_unix"], r["feature_mode"], round(r["log_return_pred"], 12)) for r in rows))
+    assert results[0] == results[1] and len(results[0]) == len(points)
