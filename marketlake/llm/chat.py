@@ -134,8 +134,8 @@ def head(state: int) -> str:
 END = "<|end|>\n"
 
 
-def pieces(texts: list[str], roles: list[int], start: int, end: int) -> list[tuple[str, str, str]]:
-    """(action, role, piece) of every turn."""
+def pieces(texts: list[str], roles: list[int], start: int, end: int, closes: bool) -> list[tuple[str, str, str]]:
+    """(action, role, piece) of every turn; closes: these are the last of their conversation."""
     out, open_turn = [], start > 0
     for text, (action, state) in zip(texts, solve(roles, start, end)):
         piece = ""
@@ -147,70 +147,87 @@ def pieces(texts: list[str], roles: list[int], start: int, end: int) -> list[tup
                 piece += f"<|{action[7:].split(',')[0]}|>\n{END}"
             piece += head(state) + text
         open_turn = True
-        out.append((action, ROLES[state - 1], piece))
+        out.append((action, ROLES[state - 1], piece + END if closes and len(out) + 1 == len(roles) else piece))
     return out
 
 
-def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Runs of equal keys of a sorted partition, over batch borders."""
-    held: pd.DataFrame | None = None
+def groups(batches: Iterator[pd.DataFrame], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows that agree in the first `keys` columns; rows are sorted by them."""
+    held: list[np.ndarray] = []
     for batch in batches:
-        if held is not None:
-            batch = pd.concat([held, batch], ignore_index=True)
-        if not len(batch):
+        columns = [batch[c].to_numpy() for c in batch.columns]
+        if held:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        n = len(columns[0])
+        if not n:
             continue
-        cells = batch[keys].astype("object").where(batch[keys].notna(), None)
-        changed = np.ones(len(batch), bool)
-        changed[1:] = (cells.to_numpy()[1:] != cells.to_numpy()[:-1]).any(axis=1)
-        cuts = [*np.flatnonzero(changed), len(batch)]
-        for a, b in zip(cuts[:-2], cuts[1:-1]):
-            yield tuple(cells.iloc[a]), batch.iloc[a:b]
-        held = batch.iloc[cuts[-2] :]
-    if held is not None and len(held):
-        yield tuple(held[keys].astype("object").where(held[keys].notna(), None).iloc[0]), held
+        changed = np.zeros(n, bool)
+        for c in columns[:keys]:
+            changed[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(changed)]
+        for x, y in zip(cuts, cuts[1:]):
+            yield [c[x:y] for c in columns]
+        held = [c[cuts[-1] :] for c in columns]
+    if held:
+        yield held
+
+
+def in_blocks(rows: Iterator[tuple], names: str, size: int = 4096) -> Iterator[pd.DataFrame]:
+    """Frames of so many rows."""
+    block: list[tuple] = []
+    for row in rows:
+        block.append(row)
+        if len(block) >= size:
+            yield pd.DataFrame(block, columns=names.split())
+            block = []
+    yield pd.DataFrame(block, columns=names.split())
+
+
+CONV = ("conv_key", "no_conv")
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit((1 << 62)).cast("long"))
+    """Turns with keys that are never NULL; no_conv and no_turn mark what was."""
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(1 << 62).cast("long"))
     return conversations.select(
-        "conv_id",
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0).cast("long")).alias("conv_key"),
+        F.col("conv_id").isNull().alias("no_conv"),
         F.floor(turn / CHUNK).alias("chunk"),
         turn.alias("turn_key"),
-        "turn",
+        F.col("turn").isNull().alias("no_turn"),
         "role",
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
 
 def ordered(rows: DataFrame) -> DataFrame:
-    return rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn_key", "role", "text")
+    return rows.repartition(*CONV, "chunk").sortWithinPartitions(*CONV, "chunk", "turn_key", "role", "text")
 
 
 def border_states(conversations: DataFrame) -> DataFrame:
-    """(conv_id, chunk, before, after, cost) of every chunk on its conversation's cheapest path."""
+    """(conv_key, no_conv, chunk, before, after, closes, cost) of every chunk on its conversation's cheapest path."""
+
+    def summaries(batches):
+        for conv, none, chunk, role in groups(batches, 3):
+            yield conv[0], none[0], chunk[0], summary([role_number(r) for r in role]).ravel().tolist()
+
+    def places(batches):
+        for conv, none, chunk, costs in groups(batches, 2):
+            states, cost = borders([np.array(c).reshape(STATES, STATES) for c in costs])
+            n = len(chunk)
+            yield from zip(conv, none, chunk, states[:-1], states[1:], [i + 1 == n for i in range(n)], [cost] * n)
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (conv, chunk), rows in groups(batches, ["conv_id", "chunk"]):
-            m = summary([role_number(r) for r in rows["role"]])
-            yield pd.DataFrame({"conv_id": pd.Series([conv], dtype="Int64"), "chunk": [chunk], "costs": [m.ravel().tolist()]})
+        return in_blocks(summaries(batches), "conv_key no_conv chunk costs")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (conv,), rows in groups(batches, ["conv_id"]):
-            states, cost = borders([np.array(c).reshape(STATES, STATES) for c in rows["costs"]])
-            yield pd.DataFrame(
-                {
-                    "conv_id": pd.Series([conv] * len(rows), dtype="Int64"),
-                    "chunk": rows["chunk"].to_numpy(),
-                    "before": states[:-1],
-                    "after": states[1:],
-                    "cost": cost,
-                }
-            )
-
-    rows = ordered(turns_of(conversations).select("conv_id", "chunk", "turn_key", "role", "text"))
-    costs = rows.select("conv_id", "chunk", "role").mapInPandas(summarise, "conv_id long, chunk long, costs array<double>")
-    chunks = costs.repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
-    return chunks.mapInPandas(place, "conv_id long, chunk long, before int, after int, cost double")
+        return in_blocks(places(batches), "conv_key no_conv chunk before after closes cost")
+
+    keys = "conv_key long, no_conv boolean, chunk long"
+    rows = ordered(turns_of(conversations).select(*CONV, "chunk", "turn_key", "role", "text"))
+    costs = rows.select(*CONV, "chunk", "role").mapInPandas(summarise, f"{keys}, costs array<double>")
+    chunks = costs.repartition(*CONV).sortWithinPartitions(*CONV, "chunk")
+    return chunks.mapInPandas(place, f"{keys}, before int, after int, closes boolean, cost double")
 
 
 def repair(conversations: DataFrame) -> DataFrame:
@@ -219,31 +236,27 @@ def repair(conversations: DataFrame) -> DataFrame:
     piece_no numbers the turns of a chunk; with the turn it orders the pieces of a conversation.
     """
     found = materialize(border_states(conversations))
-    rows = turns_of(conversations).alias("t").join(
-        found.alias("b"), F.expr("t.conv_id <=> b.conv_id AND t.chunk = b.chunk"), "inner"
-    )
-    rows = rows.select("t.*", "b.before", "b.after", "b.cost")
+    rows = turns_of(conversations).join(found, [*CONV, "chunk"])
+    rows = rows.select(*CONV, "chunk", "turn_key", "no_turn", "role", "text", "before", "after", "closes", "cost")
+
+    def rendered(batches):
+        for conv, none, _, turn, no_turn, role, text, before, after, closes, cost in groups(batches, 3):
+            made = pieces(list(text), [role_number(r) for r in role], int(before[0]), int(after[0]), bool(closes[0]))
+            for i, (action, final, piece) in enumerate(made):
+                yield conv[i], none[i], turn[i], no_turn[i], i, role[i], action, final, piece, cost[i]
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, run in groups(batches, ["conv_id", "chunk"]):
-            roles = [role_number(r) for r in run["role"]]
-            made = pieces(run["text"].tolist(), roles, int(run["before"].iloc[0]), int(run["after"].iloc[0]))
-            yield pd.DataFrame(
-                {
-                    "conv_id": run["conv_id"].astype("Int64").to_numpy(),
-                    "turn": run["turn"].astype("Int64").to_numpy(),
-                    "piece_no": np.arange(len(run)),
-                    "given_role": run["role"].to_numpy(),
-                    "action": [x[0] for x in made],
-                    "role": [x[1] for x in made],
-                    "piece": [x[2] for x in made],
-                    "conv_cost": run["cost"].to_numpy(),
-                }
-            )
-
-    return ordered(rows).mapInPandas(
+        return in_blocks(rendered(batches), "conv_key no_conv turn_key no_turn piece_no given_role action role piece conv_cost")
+
+    out = ordered(rows).mapInPandas(
         render,
-        "conv_id long, turn long, piece_no long, given_role string, action string, role string, piece string, conv_cost double",
+        "conv_key long, no_conv boolean, turn_key long, no_turn boolean, piece_no long, given_role string, action string, "
+        "role string, piece string, conv_cost double",
+    )
+    return out.select(
+        F.when(~F.col("no_conv"), F.col("conv_key")).alias("conv_id"),
+        F.when(~F.col("no_turn"), F.col("turn_key")).alias("turn"),
+        "piece_no", "given_role", "action", "role", "piece", "conv_cost",
     )
 
 
