@@ -211,19 +211,12 @@ def list_entries(docs: DataFrame, counts: np.ndarray, limit: int, width: int, pe
                 if len(s) * 100 >= percent * (len(s) + 1) and name not in seen:
                     seen.add(name)
                     n, full, keys, salts, places = entries(s)
-                    name_hash = abs(name) % (1 << 30)
-                    parts.append(
-                        pd.DataFrame(
-                            {
-                                "key": keys.view(np.int64),
-                                "salt": (name_hash % (salts.astype(np.int64) + 1)).astype(np.int32),
-                                "set_id": np.int64(name),
-                                "meta": (np.int64(full) << 48) | (np.int64(n) << 24) | (places.astype(np.int64) + 1),
-                            }
-                        )
-                    )
+                    share = abs(name) % (1 << 30) % (salts.astype(np.int64) + 1)
+                    meta = (np.int64(full) << 48) | (np.int64(n) << 24) | (places.astype(np.int64) + 1)
+                    parts.append((keys.view(np.int64), share, np.full(len(keys), name, np.int64), meta))
             if parts:
-                yield pd.concat(parts)
+                columns = [np.concatenate(c) for c in zip(*parts)]
+                yield pd.DataFrame(dict(zip(("key", "salt", "set_id", "meta"), columns)))
 
     return (
         docs.select(whole_text().alias("text"))
