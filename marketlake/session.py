@@ -18,6 +18,8 @@ SQL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # rows may hold whole documents: bounds what a Python worker holds at once
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # state of windows by token and price bucket outgrows a heap
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
