@@ -44,7 +44,7 @@ from marketlake.llm.graph import components
 #: Counters of the rarity table, and how many travel as one row.
 WIDTH = 1 << 19
 CHUNK = 1 << 14
-#: Lists of shingles more frequent than this are dealt over several tasks.
+#: Lists of shingles more frequent than this are dealt over several tasks. Their salts begin at 1.
 HOT = 20_000
 SUBSET = 2
 #: Bits of the bitmap of wanted documents, as longs of 64.
@@ -211,7 +211,7 @@ def list_entries(docs: DataFrame, counts: np.ndarray, limit: int, width: int, pe
                 if len(s) * 100 >= percent * (len(s) + 1) and name not in seen:
                     seen.add(name)
                     n, full, keys, salts, places = entries(s)
-                    share = abs(name) % (1 << 30) % (salts.astype(np.int64) + 1)
+                    share = np.where(salts > 0, 1 + abs(name) % (1 << 30) % (salts.astype(np.int64) + 1), 0)
                     meta = (np.int64(full) << 48) | (np.int64(n) << 24) | (places.astype(np.int64) + 1)
                     parts.append((keys.view(np.int64), share, np.full(len(keys), name, np.int64), meta))
             if parts:
@@ -236,7 +236,10 @@ UNPACK = (
 
 
 def shared_lists(entries: DataFrame) -> DataFrame:
-    """Entries of lists with more than one set, each with the fullest set of its list."""
+    """Entries of lists with more than one set, each with the fullest set of its list.
+
+    Every part of a dealt list stays: a set alone in its part may meet others of the list in another one.
+    """
     rows = entries.selectExpr(*UNPACK)
     lists = rows.groupBy("key", "salt").agg(
         F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.max(F.struct("full", "set_id", "n", "pos")).alias("lead")
