@@ -4,8 +4,9 @@ Each page is parsed to a tree of elements. For every element that can be boilerp
 its subtree (name, class, text, children) is emitted; Spark counts on how many different articles
 of a host each hash occurs. Subtrees that recur on many of them are the host's template and are
 deleted, together with elements whose very name says that they are no article text (nav, footer,
-aside, form, script, ...). What remains of the article element, or of main, or else of the body,
-is the text.
+aside, form, script, ...) or class, id or role (a whole word of it). html, body, main and article
+are never deleted for a class, nor is what stands around the chosen article. What remains of the
+article element, or of main, or else of the body, is the text.
 
 Pages that copy one article count once, so that copies do not turn their own article into a
 template. Inside an article, only containers (div, section, lists, ...) can be deleted as
@@ -61,6 +62,10 @@ NO_TEXT_WORDS = frozenset(
     signup popup modal overlay share sharing social related promo promotion sponsored sponsor widget toolbar search
     login contentinfo complementary""".split()
 )
+#: Endings after which a word of a class still names the same thing (ad-box).
+BOXES = frozenset("box slot unit".split())
+#: Elements that hold the article; no class makes them anything else.
+HOLDERS = frozenset("html body main article".split())
 CONTAINERS = frozenset("div section ul ol dl table figure center details fieldset".split())
 #: A start tag of the key closes an open element among these, as browsers do.
 CLOSES = {
@@ -79,37 +84,50 @@ CLOSE_P = frozenset(
 
 
 class Element:
-    __slots__ = ("name", "label", "dropped", "parent", "inside", "blocks", "parts")
+    __slots__ = ("name", "label", "hidden", "marked", "parent", "inside", "blocks", "parts")
 
-    def __init__(self, name: str, label: str, dropped: bool, parent: Element | None):
+    def __init__(self, name: str, label: str, hidden: bool, marked: bool, parent: Element | None):
         self.name, self.label, self.parent = name, label, parent
-        self.dropped = dropped
+        # no text by name or because it is not shown; no text by a word of its class
+        self.hidden, self.marked = hidden, marked
         # article or main that this element is part of
         self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
         self.parts: list[str | Element] = []
 
+    @property
+    def dropped(self) -> bool:
+        return self.hidden or self.marked
 
-def attributes(text: str) -> tuple[str, bool]:
-    """The element's label (class, id, role) and whether it names something that is no article text."""
+
+def no_text(word: str) -> bool:
+    """Whether a whole word of class, id or role names something other than article text."""
+    if word in NO_TEXT_WORDS:
+        return True
+    first, _, box = word.replace("_", "-").partition("-")
+    return first in NO_TEXT_WORDS and box in BOXES
+
+
+def attributes(text: str) -> tuple[str, bool, bool]:
+    """The element's label (class, id, role), whether it is not shown, and whether a word of the label names no article text."""
     if not text or text.isspace():
-        return "", False
-    label, dropped = [], False
+        return "", False, False
+    label, hidden, marked = [], False, False
     for m in ATTRIBUTE.finditer(text):
         key = m.group(1).lower()
         value = m.group(2) or m.group(3) or m.group(4) or ""
         if key in ("class", "id", "role"):
             label.append(value)
-            dropped = dropped or any(w in NO_TEXT_WORDS for w in re.split(r"[^a-z]+", value.lower()))
+            marked = marked or any(map(no_text, value.lower().split()))
         elif key == "hidden" or key == "aria-hidden" and value == "true":
-            dropped = True
+            hidden = True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            dropped = True
-    return " ".join(label), dropped
+            hidden = True
+    return " ".join(label), hidden, marked
 
 
 def parse(html: str) -> Element:
     """The tree of a page; comments and declarations are left out, raw elements stay empty."""
-    root = Element("", "", False, None)
+    root = Element("", "", False, False, None)
     at, here = 0, root
     while True:
         m = TAG.search(html, at)
@@ -145,8 +163,8 @@ def parse(html: str) -> Element:
                 up = up.parent
                 here = up
         tail = m.group(3).rstrip(">").rstrip("/")
-        label, dropped = attributes(tail)
-        new = Element(name, label, dropped or name in NO_TEXT, here)
+        label, hidden, marked = attributes(tail)
+        new = Element(name, label, hidden or name in NO_TEXT, marked and name not in HOLDERS, here)
         here.parts.append(new)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -175,19 +193,43 @@ def hashes(root: Element) -> dict[Element, int]:
     return found
 
 
+def outermost(root: Element, name: str, within_marked: bool) -> list[Element]:
+    """The outermost elements of a name that are shown."""
+    found, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.name == name and not x.dropped:
+            found.append(x)
+        else:
+            inner = (y for y in reversed(x.parts) if isinstance(y, Element))
+            stack.extend(y for y in inner if not (y.hidden if within_marked else y.dropped))
+    return found
+
+
+def n_chars(elements: list[Element]) -> int:
+    """Length of the text of elements, without what is dropped."""
+    total, stack = 0, list(elements)
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            total += len("".join(x.split()))
+        elif not x.dropped:
+            stack.extend(x.parts)
+    return total
+
+
 def mains(root: Element) -> list[Element]:
-    """The outermost article elements; else main; else the whole page."""
-    for names in (("article",), ("main",)):
-        found, stack = [], [root]
-        while stack:
-            x = stack.pop()
-            if x.name in names and not x.dropped:
-                found.append(x)
-            else:
-                stack.extend(y for y in reversed(x.parts) if isinstance(y, Element) and not y.dropped)
-        if found:
-            return found
-    return [root]
+    """The outermost article elements; else main; else the whole page.
+
+    If all of them stand within elements that a class word marks as other text, they are the
+    article if they hold more text than the rest of the page.
+    """
+    found = outermost(root, "article", False)
+    if found:
+        return found
+    rest = outermost(root, "main", False) or [root]
+    held = outermost(root, "article", True) or outermost(root, "main", True)
+    return held if held and n_chars(held) > n_chars(rest) else rest
 
 
 def removable(x: Element) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from marketlake.llm import ngram_join
+from marketlake.llm import html_text, ngram_join
 
 
 def test_ngram_join_links_across_the_parts_of_a_dealt_list(spark, monkeypatch):
@@ -21,3 +21,22 @@ def test_ngram_join_links_across_the_parts_of_a_dealt_list(spark, monkeypatch):
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
     assert all(r.component_id == r.doc_id // 100 * 100 for r in got)
+
+
+def test_class_words_do_not_lose_articles():
+    story = "<h1>Title</h1><p>the whole story</p>"
+    for page in (
+        f'<body class="single has-sidebar"><article>{story}</article></body>',
+        f'<html class="sidebar"><body class="sidebar"><div>{story}</div></body></html>',
+        f'<body><div class="layout-no-sidebar"><article>{story}</article></div></body>',
+        f'<body><div class="layout-no-sidebar">{story}</div></body>',
+        f'<body><div class="sidebar"><article>{story}</article></div></body>',
+        f'<body><p>x</p><div class="widget"><main class="search">{story}</main></div></body>',
+        f'<body><main><div class="widget"><article>{story}</article></div></main></body>',
+        f'<body><article class="post comments">{story}</article></body>',
+        f'<body><article class="post has-comments"><div class="article-header"><h1>Title</h1></div><p>the whole story</p></article></body>',
+        f'<body>{story}<div class="related"><article>teaser</article></div><div class="ad-box">buy</div></body>',
+        f'<body><article>{story}<div class="main sidebar">other</div></article><div class="related"><article>a longer teaser than the story is</article></div></body>',
+    ):
+        assert html_text.main_text(page) == "Title the whole story", page
+    assert html_text.main_text('<div class="x"><p hidden>no</p><p style="display:none">no</p><p>yes</p></div>') == "yes"
