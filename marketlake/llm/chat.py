@@ -6,11 +6,13 @@ turn can be kept, relabelled to another role, merged into the turn before it, or
 empty turn that is inserted. Dynamic programming finds the cheapest repair of the whole
 conversation; ties go to keeping, then merging, relabelling, inserting.
 
-A conversation can hold a third of all rows, so none is one task. Turns are cut into chunks of
-CHUNK turn numbers. The effect of a chunk on the automaton is a matrix of least costs between its
-four states; these matrices (one small row per chunk) are combined per conversation, which gives
-the states at the borders of every chunk on the cheapest path. Then each chunk is solved for
-itself between its border states. Turns are put in order within their chunk only.
+A conversation can hold a third of all rows, so none is one task. Equal turns become one row with
+their number; rows are sorted by ranges of conversation and order, and the numbers of a conversation
+in earlier ranges are added up, which gives every turn its place. Places are cut into chunks of
+CHUNK turns, whatever their turn numbers. The effect of a chunk on the automaton is a matrix of
+least costs between its four states; these matrices (one small row per chunk) are combined per
+conversation, which gives the states at the borders of every chunk on the cheapest path. Then each
+chunk is solved for itself between its border states.
 
 The result has one row per given turn with its action, final role and the piece of text it adds to
 the rendered conversation; pieces joined in order (conv_id, turn, piece_no) are that rendering.
@@ -27,12 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import materialize, table
 
 CHUNK = 512
+#: Ranges are drawn by so many characters of a text, so that their borders stay small.
+PREFIX = 256
 ROLES = ("system", "user", "assistant")
 #: States: before the first turn, and the role of the last turn.
 STATES = 4
@@ -187,24 +191,76 @@ CONV = ("conv_key", "no_conv")
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """Turns with keys that are never NULL; no_conv and no_turn mark what was."""
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit(1 << 62).cast("long"))
-    return conversations.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(0).cast("long")).alias("conv_key"),
-        F.col("conv_id").isNull().alias("no_conv"),
-        F.floor(turn / CHUNK).alias("chunk"),
-        turn.alias("turn_key"),
-        F.col("turn").isNull().alias("no_turn"),
-        "role",
-        F.coalesce("text", F.lit("")).alias("text"),
+    """Distinct turns and their number n, with keys that are never NULL; no_conv and no_turn mark what was."""
+    return (
+        conversations.select(
+            F.coalesce(F.col("conv_id").cast("long"), F.lit(0).cast("long")).alias("conv_key"),
+            F.col("conv_id").isNull().alias("no_conv"),
+            F.coalesce(F.col("turn").cast("long"), F.lit(0).cast("long")).alias("turn_key"),
+            F.col("turn").isNull().alias("no_turn"),
+            "role",
+            F.coalesce("text", F.lit("")).alias("text"),
+        )
+        .groupBy(*CONV, "no_turn", "turn_key", "role", "text")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def placed(turns: DataFrame) -> DataFrame:
+    """Turns with place: how many turns of their conversation come before them."""
+    order = [*CONV, "no_turn", "turn_key", "role"]
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, passed = None, 0  # the conversation at the end of the last batch, and its turns so far
+        for batch in batches:
+            if batch.empty:
+                continue
+            conv, none, n = (batch[c].to_numpy() for c in (*CONV, "n"))
+            first = np.ones(len(n), bool)
+            first[1:] = (conv[1:] != conv[:-1]) | (none[1:] != none[:-1])
+            before = n.cumsum() - n
+            starts = np.flatnonzero(first)
+            place = before - before[starts][first.cumsum() - 1]
+            if last == (conv[0], none[0]):
+                place[: starts[1] if len(starts) > 1 else len(n)] += passed
+            last, passed = (conv[-1], none[-1]), int(place[-1] + n[-1])
+            yield batch.assign(place=place)
+
+    ranges = turns.repartitionByRange(*order, F.substring("text", 1, PREFIX)).sortWithinPartitions(*order, "text")
+    ranges = ranges.withColumn("part", F.spark_partition_id())
+    numbered = materialize(
+        ranges.mapInPandas(
+            number,
+            "conv_key long, no_conv boolean, no_turn boolean, turn_key long, role string, text string, n long, part int, place long",
+        )
+    )
+    earlier = Window.partitionBy(*CONV).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # few rows: of two neighbouring ranges, at most one conversation lies in both
+    offsets = (
+        numbered.groupBy(*CONV, "part")
+        .agg(F.sum("n").alias("n"))
+        .select(*CONV, "part", F.sum("n").over(earlier).alias("offset"))
+        .where("offset > 0")
+    )
+    place = F.col("place") + F.coalesce("offset", F.lit(0).cast("long"))
+    return numbered.join(F.broadcast(offsets), [*CONV, "part"], "left").withColumn("place", place).drop("part", "offset")
+
+
+def in_chunks(rows: DataFrame) -> DataFrame:
+    """Turns by chunk; equal turns whose places lie in several chunks enter each of them."""
+    last = F.col("place") + F.col("n") - 1
+    chunks = F.sequence(F.floor(F.col("place") / CHUNK), F.floor(last / CHUNK))
+    return rows.select("*", F.explode(chunks).alias("chunk"))
+
+
 def ordered(rows: DataFrame) -> DataFrame:
-    return rows.repartition(*CONV, "chunk").sortWithinPartitions(*CONV, "chunk", "turn_key", "role", "text")
+    """One row per turn, at its place, in order within its chunk."""
+    start, end = F.greatest("place", F.col("chunk") * CHUNK), F.least(F.col("place") + F.col("n"), (F.col("chunk") + 1) * CHUNK)
+    rows = rows.repartition(*CONV, "chunk").withColumn("place", F.explode(F.sequence(start, end - 1))).drop("n")
+    return rows.sortWithinPartitions(*CONV, "chunk", "place")
 
 
-def border_states(conversations: DataFrame) -> DataFrame:
+def border_states(turns: DataFrame) -> DataFrame:
     """(conv_key, no_conv, chunk, before, after, closes, cost) of every chunk on its conversation's cheapest path."""
 
     def summaries(batches):
@@ -224,7 +280,7 @@ def border_states(conversations: DataFrame) -> DataFrame:
         return in_blocks(places(batches), "conv_key no_conv chunk before after closes cost")
 
     keys = "conv_key long, no_conv boolean, chunk long"
-    rows = ordered(turns_of(conversations).select(*CONV, "chunk", "turn_key", "role", "text"))
+    rows = ordered(in_chunks(turns.select(*CONV, "place", "n", "role")))
     costs = rows.select(*CONV, "chunk", "role").mapInPandas(summarise, f"{keys}, costs array<double>")
     chunks = costs.repartition(*CONV).sortWithinPartitions(*CONV, "chunk")
     return chunks.mapInPandas(place, f"{keys}, before int, after int, closes boolean, cost double")
@@ -233,22 +289,26 @@ def border_states(conversations: DataFrame) -> DataFrame:
 def repair(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, piece_no, given_role, action, role, piece, conv_cost of every given turn.
 
-    piece_no numbers the turns of a chunk; with the turn it orders the pieces of a conversation.
+    piece_no numbers the turns of a conversation and orders its pieces.
     """
-    found = materialize(border_states(conversations))
-    rows = turns_of(conversations).join(found, [*CONV, "chunk"])
-    rows = rows.select(*CONV, "chunk", "turn_key", "no_turn", "role", "text", "before", "after", "closes", "cost")
+    turns = placed(turns_of(conversations))
+    found = materialize(border_states(turns))
+    rows = in_chunks(turns).join(found, [*CONV, "chunk"])
+    rows = rows.select(
+        *CONV, "chunk", "place", "n", "turn_key", "no_turn", "role", "text", "before", "after", "closes", "cost"
+    )
 
     def rendered(batches):
-        for conv, none, _, turn, no_turn, role, text, before, after, closes, cost in groups(batches, 3):
+        for conv, none, _, turn, no_turn, role, text, before, after, closes, cost, place in groups(batches, 3):
             made = pieces(list(text), [role_number(r) for r in role], int(before[0]), int(after[0]), bool(closes[0]))
             for i, (action, final, piece) in enumerate(made):
-                yield conv[i], none[i], turn[i], no_turn[i], i, role[i], action, final, piece, cost[i]
+                yield conv[i], none[i], turn[i], no_turn[i], place[i], role[i], action, final, piece, cost[i]
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return in_blocks(rendered(batches), "conv_key no_conv turn_key no_turn piece_no given_role action role piece conv_cost")
 
-    out = ordered(rows).mapInPandas(
+    names = (*CONV, "chunk", "turn_key", "no_turn", "role", "text", "before", "after", "closes", "cost", "place")
+    out = ordered(rows).select(*names).mapInPandas(
         render,
         "conv_key long, no_conv boolean, turn_key long, no_turn boolean, piece_no long, given_role string, action string, "
         "role string, piece string, conv_cost double",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from marketlake.llm import html_text, ngram_join
+from marketlake.llm import chat, html_text, ngram_join
 
 
 def test_ngram_join_links_across_the_parts_of_a_dealt_list(spark, monkeypatch):
@@ -40,3 +40,33 @@ def test_class_words_do_not_lose_articles():
     ):
         assert html_text.main_text(page) == "Title the whole story", page
     assert html_text.main_text('<div class="x"><p hidden>no</p><p style="display:none">no</p><p>yes</p></div>') == "yes"
+
+
+def test_chat_chunks_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK", 8)
+    rng = random.Random(4)
+    rows = [(None, t, rng.choice(["user", "assistant", None]), f"t{t}") for t in range(100)]
+    rows += [(1, None, rng.choice(["user", "assistant"]), rng.choice(["a", "b", None])) for _ in range(100)]
+    rows += [(2, 7, "user", f"{i:03}") for i in range(100)] + [(0, 3, "user", "zero")] + [(3, 5, "user", "same")] * 100
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    chunks = chat.ordered(chat.in_chunks(chat.placed(chat.turns_of(table)))).groupBy(*chat.CONV, "chunk").count().collect()
+    assert sum(r["count"] for r in chunks) == len(rows)
+    assert max(r["count"] for r in chunks) <= 8
+
+    got = chat.repair(table).toPandas()
+    assert len(got) == len(rows)
+    key = lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or "")
+    for conv in (None, 0, 1, 2, 3):
+        turns = got[got["conv_id"].isna() if conv is None else got["conv_id"] == conv].sort_values("piece_no")
+        given = sorted((r for r in rows if r[0] == conv), key=key)
+        assert list(turns["piece_no"]) == list(range(len(given)))
+        assert [r or None for r in turns["given_role"]] == [r[2] for r in given]
+        roles = [chat.role_number(r[2]) for r in given]
+        states, cost = chat.borders([chat.summary(roles)])
+        assert set(turns["conv_cost"]) == {cost}
+        # pieces in order hold the texts in order
+        for piece, r in zip(turns["piece"], given):
+            assert (r[3] or "") in piece
+        text = "".join(turns["piece"])
+        assert text.startswith("<|") and text.endswith("<|end|>\n")
