@@ -17,8 +17,7 @@ only the bitmap is sent to all executors; its size does not depend on the benchm
 
 Edge cases: NULL or empty texts have no words, no hits and no items; an item without words has no
 window. Items that share a window are all counted. Repeated items count once. Rows that repeat a
-doc_id are treated as one document's words: they must be copies, and each of them is returned.
-Extra columns are ignored.
+doc_id or have none are each decided by their own text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,8 +68,13 @@ def shingles_of(windows: DataFrame) -> DataFrame:
     )
 
 
+def row_key() -> Column:
+    """Digest of doc_id and text: rows that agree in it are copies."""
+    return F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), whole_text()), 256))
+
+
 def places(docs: DataFrame, shingles: DataFrame, sizes: list[int], reach: int) -> DataFrame:
-    """(doc_id, at, h, left, around, n_words) of every benchmark shingle in the documents.
+    """(row_key, at, h, left, around, n_words) of every benchmark shingle in the documents.
 
     around: the words from left before the place to reach after it.
     """
@@ -79,12 +83,12 @@ def places(docs: DataFrame, shingles: DataFrame, sizes: list[int], reach: int) -
         "array(" + ", ".join(f"CASE WHEN at + {k} <= size(w) THEN {shingle_hash('w', 'at', k)} END" for k in sizes) + ")"
     ) if len(sizes) > 1 else F.expr(f"CASE WHEN at + {sizes[0]} <= size(w) THEN {shingle_hash('w', 'at', sizes[0])} END")
 
-    words = docs.select("doc_id", words_of(whole_text()).alias("w")).where("size(w) > 0")
-    each = words.select("doc_id", "w", F.posexplode("w").alias("at", "word")).drop("word")
-    each = each.select("doc_id", "w", "at", (F.explode(hashes) if len(sizes) > 1 else hashes).alias("h"))
+    words = docs.select(row_key().alias("row_key"), words_of(whole_text()).alias("w")).where("size(w) > 0")
+    each = words.select("row_key", "w", F.posexplode("w").alias("at", "word")).drop("word")
+    each = each.select("row_key", "w", "at", (F.explode(hashes) if len(sizes) > 1 else hashes).alias("h"))
     found = each.where(F.col("h").isNotNull() & in_bitmap(bits, LONGS, F.col("h")))
     return found.select(
-        "doc_id",
+        "row_key",
         "at",
         "h",
         F.least("at", F.lit(reach)).alias("left"),
@@ -94,11 +98,11 @@ def places(docs: DataFrame, shingles: DataFrame, sizes: list[int], reach: int) -
 
 
 def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, window_id, start, length) of every window in every document."""
+    """(row_key, window_id, start, length) of every window in every document."""
     shingles = materialize(shingles_of(windows))
     sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())
     if not sizes:
-        return docs.select("doc_id").where("false").selectExpr("doc_id", "0L AS window_id", "0 AS start", "0 AS length")
+        return docs.where("false").select(row_key().alias("row_key")).selectExpr("row_key", "0L AS window_id", "0 AS start", "0 AS length")
     reach = shingles.agg(F.max(F.size("words"))).first()[0]
     known = shingles.select("h").distinct()
     found = materialize(places(docs, shingles, sizes, reach).join(known, "h", "left_semi"))
@@ -119,7 +123,7 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
         found.join(prefix, "h")
         .where((start >= 0) & (start + F.size("words") <= F.col("n_words")))
         .where(F.expr("slice(around, left - off + 1, size(words)) = words"))
-        .select("doc_id", "window_id", start.alias("start"), F.size("words").alias("length"))
+        .select("row_key", "window_id", start.alias("start"), F.size("words").alias("length"))
         .distinct()
     )
 
@@ -129,28 +133,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     windows = materialize(windows_of(items, window))
     found = materialize(occurrences(docs, windows))
     # words inside any occurrence: what each adds beyond the end of those before it
-    before = "max(start + length) OVER (PARTITION BY doc_id ORDER BY start, length, window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    before = "max(start + length) OVER (PARTITION BY row_key ORDER BY start, length, window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     hits = (
-        found.selectExpr("doc_id", "start", "length", f"coalesce({before}, 0) AS reached")
-        .groupBy("doc_id")
+        found.selectExpr("row_key", "start", "length", f"coalesce({before}, 0) AS reached")
+        .groupBy("row_key")
         .agg(F.sum(F.expr("greatest(start + length - greatest(start, reached), 0)")).alias("n_hit"))
     )
     owners = windows.select("window_id", "item_id").distinct()
     of_items = (
-        found.select("doc_id", "window_id")
+        found.select("row_key", "window_id")
         .join(owners, "window_id")
-        .select("doc_id", "item_id")
+        .select("row_key", "item_id")
         .distinct()
-        .groupBy("doc_id")
+        .groupBy("row_key")
         .agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
     )
-    hit = hits.join(of_items, "doc_id").select(
-        F.col("doc_id").alias("hit_id"), "n_hit", "n_items", F.sha2(F.array_join("ids", ","), 256).alias("items_sha256")
+    hit = hits.join(of_items, "row_key").select(
+        F.col("row_key").alias("hit_key"), "n_hit", "n_items", F.sha2(F.array_join("ids", ","), 256).alias("items_sha256")
     )
     zero = F.lit(0).cast("long")
     return (
-        docs.select("doc_id", F.size(words_of(whole_text())).cast("long").alias("n_words"))
-        .join(hit, F.col("doc_id") == F.col("hit_id"), "left")
+        docs.select("doc_id", row_key().alias("row_key"), F.size(words_of(whole_text())).cast("long").alias("n_words"))
+        .join(hit, F.col("row_key") == F.col("hit_key"), "left")
         .select(
             "doc_id",
             "n_words",
@@ -165,8 +169,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any window; all columns."""
     found = occurrences(docs, materialize(windows_of(items, window)))
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = found.select(F.col("row_key").alias("_gone")).distinct()
+    mine = docs.withColumn("_row_key", row_key())
+    return mine.join(gone, mine["_row_key"] == gone["_gone"], "left_anti").drop("_row_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

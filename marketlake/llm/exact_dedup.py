@@ -10,8 +10,10 @@ Merged entries agree in SHA-256, a second 64-bit hash and the length; entries th
 of them never merge, at any level.
 
 Edge cases: NULL and empty texts are equal (one group). Rows that repeat a doc_id count in
-group_size and share their fate. A NULL doc_id is never a smallest identifier unless its whole
-group has none. Extra columns are ignored; an empty table gives an empty result.
+group_size and share their fate within a group of equal texts; with different texts each row is
+decided by its own group. A NULL doc_id is never a smallest identifier unless its whole group has
+none; then the rows of the group stay. Extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -30,12 +32,15 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x09-\x0D\x20]+", " ")
 
 
+def text_key(text: Column) -> dict[str, Column]:
+    """What equal texts, after normalisation, agree in."""
+    return {"digest": F.unhex(F.sha2(text, 256)), "check": F.xxhash64(text), "length": F.length(text)}
+
+
 def digest_runs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", normalised(whole_text()).alias("t")).select(
         "doc_id",
-        F.unhex(F.sha2("t", 256)).alias("digest"),
-        F.xxhash64("t").alias("check"),
-        F.length("t").alias("length"),
+        *[c.alias(k) for k, c in text_key(F.col("t")).items()],
         F.pmod(F.spark_partition_id(), F.lit(1 << RUN_BITS)).alias("run"),
     )
 
@@ -53,23 +58,34 @@ def merge_tree(runs: DataFrame) -> DataFrame:
     return merged.drop("run")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+def decided(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and the text's key of every row."""
     runs = materialize(digest_runs(docs))
     groups = merge_tree(runs).where("rows > 1")
     return runs.join(groups, list(KEY), "left").select(
         "doc_id",
+        *KEY,
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("rows", F.lit(1).cast("long")).alias("group_size"),
         F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+    return decided(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
-    gone = dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    names = [f"_{k}" for k in KEY]
+    gone = decided(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), *[F.col(k).alias(f"_{k}_gone") for k in KEY])
+    gone = gone.distinct()
+    mine = docs.withColumns(dict(zip(names, text_key(normalised(whole_text())).values())))
+    same = mine["doc_id"].eqNullSafe(gone["_gone"])
+    for k in names:
+        same = same & (mine[k] == gone[f"{k}_gone"])
+    return mine.join(gone, same, "left_anti").drop(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,10 @@ bits than the sets differ in shingles. What passes is verified on its whole sets
 
 Edge cases: NULL or empty texts have the empty set and link with nothing, also not with each
 other. Texts with fewer words than a shingle have one shingle, the whole sequence. Repeated rows
-of a doc_id appear as often in the result. Extra columns are ignored.
+of a doc_id appear as often in the result; rows with one doc_id or none but with other texts are
+decided each for itself. A component's first document has the least doc_id; one without a doc_id
+is first only where none has one, and then the rows of the component's least set stay. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -89,8 +92,13 @@ def needed(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
+def row_hash() -> Column:
+    """Hash of doc_id and text; names a row whether or not it has an id."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), whole_text())
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (doc_id, n, set_id, parity), and the counts of all shingles in chunks."""
+    """One row per document (doc_id, row, n, set_id, parity), and the counts of all shingles in chunks."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(WIDTH, np.int64)
@@ -101,7 +109,9 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 counts += np.bincount((np.concatenate(full) % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH)
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"],
+                    "id": batch["id"],
+                    "no_id": batch["no_id"],
+                    "row": batch["row"],
                     "n": [len(s) for s in sets],
                     "set_id": [set_name(s) for s in sets],
                     "parity": [parity(s) for s in sets],
@@ -113,7 +123,9 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             chunks = range(0, WIDTH, CHUNK)
             yield pd.DataFrame(
                 {
-                    "doc_id": None,
+                    "id": 0,
+                    "no_id": True,
+                    "row": 0,
                     "n": 0,
                     "set_id": 0,
                     "parity": None,
@@ -122,9 +134,12 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(
-        scan, "doc_id long, n int, set_id long, parity array<long>, chunk int, counts binary"
+    # a NULL among them would make all ids of a batch floating-point numbers
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id")
+    rows = docs.select(*ids, row_hash().alias("row"), whole_text().alias("text")).mapInPandas(
+        scan, "id long, no_id boolean, row long, n int, set_id long, parity array<long>, chunk int, counts binary"
     )
+    return rows.select(F.expr("CASE WHEN NOT no_id THEN id END AS doc_id"), "row", "n", "set_id", "parity", "chunk", "counts")
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
@@ -312,13 +327,13 @@ def sets_of(pairs: DataFrame, docs: DataFrame, of_docs: DataFrame, width: int) -
             yield pd.DataFrame({"set_id": [set_name(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    ids = of_docs.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    ids = materialize(ids.select("doc_id").distinct())
-    bits = bitmap(ids.select(F.xxhash64("doc_id").alias("h")), LONGS).scalar()
+    ids = of_docs.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("row").alias("row"))
+    ids = materialize(ids.select("row").distinct())
+    bits = bitmap(ids.select(F.col("row").alias("h")), LONGS).scalar()
     return (
-        docs.select("doc_id", whole_text().alias("text"))
-        .where(in_bitmap(bits, LONGS, F.xxhash64("doc_id")))
-        .join(ids, "doc_id", "left_semi")
+        docs.select(row_hash().alias("row"), whole_text().alias("text"))
+        .where(in_bitmap(bits, LONGS, F.col("row")))
+        .join(ids, "row", "left_semi")
         .mapInPandas(as_sets, "set_id long, shingles binary")
     )
 
@@ -326,7 +341,7 @@ def sets_of(pairs: DataFrame, docs: DataFrame, of_docs: DataFrame, width: int) -
 def linked_sets(docs: DataFrame, described: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, label) of every set that links with another one; label is the least set of its component."""
     counts = rarity(described)
-    of_docs = described.where("chunk < 0").select("doc_id", "n", "set_id", "parity")
+    of_docs = described.where("chunk < 0").select("row", "n", "set_id", "parity")
     of_sets = materialize(of_docs.groupBy("set_id").agg(F.first("n").alias("n"), F.first("parity").alias("parity")))
     sizes = [
         (r["n"], r["sets"])
@@ -383,9 +398,11 @@ def linked_sets(docs: DataFrame, described: DataFrame, width: int, percent: int)
     return labels
 
 
-def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    described = materialize(describe(docs, width))
+def named_sets(docs: DataFrame, described: DataFrame, width: int, percent: int) -> DataFrame:
+    """(set_id, first, copies, label, component_id, chosen) of every set that is not empty.
+
+    first: its least doc_id. chosen: the set of the component's first document.
+    """
     of_docs = described.where("chunk < 0").select("doc_id", "n", "set_id")
     labels = linked_sets(docs, described, width, percent)
     first = of_docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -393,10 +410,19 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         "label", F.coalesce("label", "set_id")
     )
     named = materialize(named)
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    least = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "set_id")).alias("least"))
+    return named.join(least.selectExpr("label", "least.first AS component_id", "least.set_id AS chosen"), "label")
+
+
+def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    described = materialize(describe(docs, width))
+    of_docs = described.where("chunk < 0").select("doc_id", "n", "set_id")
     # a set that only one document has, in a component of its own, needs no entry
     known = (
-        named.join(least, "label").where("copies > 1 OR component_id <> first OR label <> set_id").select("set_id", "component_id")
+        named_sets(docs, described, width, percent)
+        .where("copies > 1 OR NOT component_id <=> first OR label <> set_id")
+        .select("set_id", "component_id")
     )
     return of_docs.join(known, "set_id", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
@@ -405,8 +431,16 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 
 def keep_first(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """One document, the first, of every group of linked documents; all columns."""
-    gone = join(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    described = materialize(describe(docs, width))
+    of_docs = described.where("chunk < 0 AND n > 0").select("doc_id", "row", "set_id")
+    known = named_sets(docs, described, width, percent).where("copies > 1 OR set_id <> chosen")
+    gone = of_docs.join(known.select("set_id", "component_id", "chosen"), "set_id").where(
+        "set_id <> chosen OR NOT doc_id <=> component_id"
+    )
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("row").alias("_gone_row")).distinct()
+    mine = docs.withColumn("_row", row_hash())
+    same = mine["doc_id"].eqNullSafe(gone["_gone"]) & (mine["_row"] == gone["_gone_row"])
+    return mine.join(gone, same, "left_anti").drop("_row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

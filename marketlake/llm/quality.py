@@ -16,7 +16,8 @@ the order of a hash of doc_id. Everything else covers all documents.
 
 Edge cases: NULL or empty texts have properties of 0 and get a score like others; NULL source or
 lang form a group each; without usable labels of both kinds every document gets the even score 0.5
-and is accepted. Repeated rows count as often as they occur. Extra columns are ignored.
+and is accepted. Repeated rows count as often as they occur; rows with one doc_id or none but with
+other texts or sites are decided each for itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,17 +88,24 @@ def strength(groups: DataFrame, rate: float) -> float:
     return float(np.clip(rate * (1 - rate) / max(between, 1e-9) - 1, *STRENGTH))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, evidence, host_rate, path_rate, score of every row; evidence and score are log-odds and probability of good."""
+def row_key() -> Column:
+    """Digest of all that a row's score depends on."""
+    parts = [F.coalesce(c, F.lit(NONE)) for c in ("source", "lang")]
+    return F.unhex(F.sha2(F.concat_ws("\u0001", *parts, whole_text()), 256))
+
+
+def scored_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, row_key, evidence, host_rate, path_rate, score of every row."""
     text = docs.select(
         "doc_id",
+        row_key().alias("row_key"),
         F.coalesce("source", F.lit(NONE)).alias("host"),
         F.concat_ws("\u0001", F.coalesce("source", F.lit(NONE)), F.coalesce("lang", F.lit(NONE))).alias("path"),
         whole_text().alias("text"),
     )
     props = properties(F.col("text"))
     names = list(props)
-    found = materialize(text.select("doc_id", "host", "path", *[c.alias(k) for k, c in props.items()]))
+    found = materialize(text.select("doc_id", "row_key", "host", "path", *[c.alias(k) for k, c in props.items()]))
 
     known = labels.where(F.col("quality").isNotNull() & ~held_out()).select("doc_id", F.col("quality").alias("y"))
     rows = (
@@ -114,7 +122,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         evidence = F.lit(float(w[-1]))
         for k, c, s, v in zip(names, centre, scale, w):
             evidence = evidence + (F.col(k) - float(c)) / float(s) * float(v)
-    scored = found.select("doc_id", "host", "path", F.least(F.greatest(evidence, F.lit(-30.0)), F.lit(30.0)).alias("evidence"))
+    scored = found.select("doc_id", "row_key", "host", "path", F.least(F.greatest(evidence, F.lit(-30.0)), F.lit(30.0)).alias("evidence"))
     good = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("evidence")))
 
     # a host that holds a third of all rows is summed on the map side first
@@ -129,8 +137,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "path", "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate")
     )
     moved = F.col("evidence") + logit(F.col("path_rate")) - F.lit(float(np.log(rate / (1 - rate))))
-    return lookup(scored, sites, "path").select(
+    return lookup(scored, sites, "path", "row_key").select(
         "doc_id",
+        "row_key",
         "evidence",
         "host_rate",
         "path_rate",
@@ -138,14 +147,22 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, evidence, host_rate, path_rate, score of every row; evidence and score are log-odds and probability of good."""
+    return scored_rows(docs, labels).drop("row_key")
+
+
 def classify(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
     """Scores with accepted: whether the document stays."""
     return score(docs, labels).withColumn("accepted", F.col("score") >= reject_below)
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
-    gone = classify(docs, labels, reject_below).where("NOT accepted").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = scored_rows(docs, labels).where(~(F.col("score") >= reject_below))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("row_key").alias("_gone_key")).distinct()
+    mine = docs.withColumn("_row_key", row_key())
+    same = mine["doc_id"].eqNullSafe(gone["_gone"]) & (mine["_row_key"] == gone["_gone_key"])
+    return mine.join(gone, same, "left_anti").drop("_row_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

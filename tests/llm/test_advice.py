@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from marketlake.llm import chat, html_text, ngram_join
+from marketlake.llm import chat, decontam, exact_dedup, html_text, ngram_join, quality
 
 
 def test_ngram_join_links_across_the_parts_of_a_dealt_list(spark, monkeypatch):
@@ -70,3 +70,42 @@ def test_chat_chunks_are_bounded_by_rows(spark, monkeypatch):
             assert (r[3] or "") in piece
         text = "".join(turns["piece"])
         assert text.startswith("<|") and text.endswith("<|end|>\n")
+
+
+def test_rows_without_or_with_repeated_ids_are_decided_each(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"v{rng.randrange(10_000)}" for _ in range(n)]
+    long, passage, lone = words(150), words(20), words(150)
+    near = lambda x, w: " ".join([*x[:-1], w])
+    big = 2**60 + 1
+    rows = [
+        (big, " ".join(long)), (None, " ".join(long)), (None, near(long, "p")), (big + 1, near(long, "q")), (big + 1, "own text of it"),
+        (None, near(lone, "r")), (None, near(lone, "s")), (None, "a clean text"), (None, "see " + " ".join(passage)),
+        (7, "another clean text"), (7, "again " + " ".join(passage)), (None, None),
+    ]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    texts = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    left = lambda *gone: sorted((i or 0, t or "") for n, (i, t) in enumerate(rows) if n not in gone)
+
+    assert texts(exact_dedup.keep_first(docs)) == left(1)
+    assert texts(decontam.keep_clean(docs, items)) == left(8, 10)
+    found = decontam.decontaminate(docs, items).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in found if r.contaminated) == [(0, 21, 20), (7, 21, 20)]
+    assert len(found) == len(rows)
+
+    joined = ngram_join.join(docs).collect()
+    assert len(joined) == len(rows)
+    assert sorted((r.doc_id or 0) for r in joined if r.component_id == big) == [0, 0, big, big + 1]
+    kept = texts(ngram_join.keep_first(docs))
+    # the two rows with the passage are near copies of each other
+    assert kept in (left(1, 2, 3, 5, 8), left(1, 2, 3, 6, 8))
+
+    poor = [(None, "!#$% 1234 <> !!"), (50, "!#$% 1234 <> !! ##"), (50, "a good text of plain words here")]
+    train = [(100 + i, f"good plain words {i}" if i % 2 else f"!#$ {i} <> !!") for i in range(60)]
+    docs = spark.createDataFrame(
+        [(*r, "en", "s") for r in [*train, *poor, (None, "plain good words that stay")]], "doc_id long, text string, lang string, source string"
+    )
+    labels = spark.createDataFrame([(i, int(i % 2)) for i, _ in train], "doc_id long, quality int")
+    kept = {(r.doc_id, r.text) for r in quality.keep_accepted(docs, labels).collect() if r.doc_id is None or r.doc_id == 50}
+    assert kept == {(None, "plain good words that stay"), poor[2]}
