@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from marketlake.llm import (
+    bpe,
     chat,
     decontam,
     exact_dedup,
+    fim,
     html_text,
     mixing,
     ngram_join,
     pii,
     quality,
+    resample,
     secrets,
     toxicity,
 )
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_html_extraction": html_text.query,
     "op9_chat_formatting": chat.query,
     "op10_secret_scan": secrets.query,
+    "op11_bpe": bpe.query,
+    "op12_importance_resampling": resample.query,
+    "op13_fill_in_middle": fim.query,
 }
 
 ORACLE_SQL = {
@@ -33,4 +39,6 @@ ORACLE_SQL = {
     "op3_ngram_jaccard_join": ngram_join.SQL,
     "op4_poisson_mixing": mixing.SQL,
     "op6_benchmark_decontamination": decontam.SQL,
+    "op12_importance_resampling": resample.SQL,
+    "op13_fill_in_middle": fim.SQL,
 }
