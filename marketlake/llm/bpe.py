@@ -8,7 +8,7 @@ neighbours are pushed. A word of n symbols takes O(n log n). Decoding concatenat
 vocabulary, joined by one space where the file names no decoder.
 
 The vocabulary's file is a parameter; its text (at most MAX_BYTES) is read by the driver and broadcast. A
-task parses it once and keeps the ids of the last CACHE words it met. Long texts are cut after white space
+task parses it once and keeps the ids of recent runs of text without white space, at most about 2 * CACHE short ones. Long texts are cut after white space
 into pieces of about PIECE characters, which no word spans, so that the result is that of the whole text.
 
 Edge cases: NULL is encoded as '' (no ids); a NULL list decodes to ''. Strings of special tokens in a text
@@ -20,10 +20,12 @@ empty results. Extra columns stay, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+import string
+from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -36,8 +38,12 @@ from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 from marketlake.llm.common import table, whole_text
 
 MAX_BYTES = 64 << 20
-CACHE = 1 << 17
+#: Runs of text whose ids a task keeps, in each of two generations, and the longest such run.
+CACHE, LONGEST_KEPT = 1 << 17, 64
 PIECE = 1 << 16
+ByteLevel = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+#: Bytes that begin a character of several; those that begin none in UTF-8 stand for themselves.
+LEADS = {b: chr(b) for b in range(0xC0, 0x100)}
 GAP = re.compile(r"[ \t\n]")
 
 
@@ -62,9 +68,12 @@ class WordBPE:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {
-            (self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)
-        }
+        pairs = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
+        #: per left symbol, the rank of its merge with a right one; the new symbol by rank
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(self.vocab.values()) + 1)]
+        for rank, (a, b, _) in enumerate(pairs):
+            self.ranks[a][b] = rank
+        self.made = [new for _, _, new in pairs]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | added).items()}
         self.added = added
@@ -74,48 +83,87 @@ class WordBPE:
         # the untrained model only carries the words' offsets
         self.words = Tokenizer(models.WordLevel({"?": 0}, unk_token="?"))
         self.words.pre_tokenizer = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        if any(" " in w for w, _ in self.words.pre_tokenizer.pre_tokenize_str(f"a b {string.punctuation} 1 'c d' ")):
+            raise ValueError("not a vocabulary of this kind: a word may hold a space")
+        # the symbols of a byte within a word and at its end
+        shown = [self.shown(bytes([b])) for b in range(256)]
+        self.inner = [self.vocab[c] for c in shown]
+        self.last = [self.vocab[c + self.suffix] for c in shown]
         self.cache: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+
+    @staticmethod
+    def shown(byte: bytes) -> str:
+        """The character that stands for a byte in the vocabulary."""
+        if byte < b"\x80":
+            return ByteLevel.pre_tokenize_str(byte.decode())[0][0]
+        if byte < b"\xc0":  # a continuation byte, behind the lead byte of U+0080 to U+00BF
+            return ByteLevel.pre_tokenize_str((b"\xc2" + byte).decode())[0][0][1]
+        return LEADS[byte[0]]
 
     def merged(self, ids: list[int]) -> list[int]:
         """Apply the merges to a list of symbols."""
-        merges, n = self.merges, len(ids)
+        ranks, made, n = self.ranks, self.made, len(ids)
+        bits = n.bit_length()  # of a position, below the rank, in an entry of the queue
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         queue = []
-        for i in range(n - 1):
-            found = merges.get((ids[i], ids[i + 1]))
-            if found:
-                queue.append((found[0], i, found[1]))
-        heapq.heapify(queue)
+        left = ids[0]
+        for i in range(1, n):
+            right = ids[i]
+            rank = ranks[left].get(right)
+            if rank is not None:
+                queue.append(rank << bits | i - 1)
+            left = right
+        heapify(queue)
         while queue:
-            rank, i, new = heapq.heappop(queue)
+            top = heappop(queue)
+            rank = top >> bits
+            i = top - (rank << bits)
             j = after[i]
-            if ids[i] < 0 or j < 0 or merges.get((ids[i], ids[j])) != (rank, new):
-                continue  # stale: a symbol of the pair has gone or changed
-            ids[i], ids[j] = new, -1
+            # stale: a symbol of the pair has gone or changed; one that has gone is -1, which no list of ranks has
+            if j < 0 or ids[i] < 0 or ranks[ids[i]].get(ids[j]) != rank:
+                continue
+            new = ids[i] = made[rank]
+            ids[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                found = merges.get((new, ids[k]))
-                if found:
-                    heapq.heappush(queue, (found[0], i, found[1]))
+                rank = ranks[new].get(ids[k])
+                if rank is not None:
+                    heappush(queue, rank << bits | i)
             h = before[i]
             if h >= 0:
-                found = merges.get((ids[h], new))
-                if found:
-                    heapq.heappush(queue, (found[0], h, found[1]))
+                rank = ranks[ids[h]].get(new)
+                if rank is not None:
+                    heappush(queue, rank << bits | h)
         return [i for i in ids if i >= 0]
 
     def word(self, word: str) -> list[int]:
-        found = self.cache.get(word)
-        if found is None:
-            symbols = list(self.bytes.pre_tokenize_str(word)[0][0])
-            symbols[-1] += self.suffix
-            found = self.merged([self.vocab[s] for s in symbols if s in self.vocab])
-            if len(self.cache) >= CACHE:
-                del self.cache[next(iter(self.cache))]
-            self.cache[word] = found
-        return found
+        data = word.encode()
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        return self.merged(ids)
+
+    def learn(self, runs: Iterable[str]) -> None:
+        """Put runs of text without white space, of one word or of several and punctuation, into the cache."""
+        older, unknown = self.older, []
+        for run in runs:
+            found = older.get(run)
+            if found is None:
+                unknown.append(run)
+            else:
+                self.cache[run] = found
+        offsets = self.words.encode(" ".join(unknown), add_special_tokens=False).offsets
+        at, start = 0, 0
+        for run in unknown:
+            ids: list[int] = []
+            while at < len(offsets) and offsets[at][0] < start + len(run):
+                low, high = offsets[at]
+                word = run[low - start : high - start]
+                ids += self.cache.get(word) or self.word(word)
+                at += 1
+            self.cache[run] = ids
+            start += len(run) + 1
 
     def pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -127,14 +175,22 @@ class WordBPE:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        for run in self.special.split(text or "") if self.special else [text or ""]:
-            if run in self.added:
-                out.append(self.added[run])
+        for part in self.special.split(text or "") if self.special else [text or ""]:
+            if part in self.added:
+                out.append(self.added[part])
                 continue
-            for piece in self.pieces(run):
-                plain = self.normalizer.normalize_str(piece)
-                for start, end in self.words.encode(plain, add_special_tokens=False).offsets:
-                    out += self.word(plain[start:end])
+            for piece in self.pieces(part):
+                runs = self.normalizer.normalize_str(piece).split(" ")
+                cache = self.cache
+                new = set(runs).difference(cache)
+                if new:
+                    self.learn(new)
+                out.extend(chain.from_iterable(map(cache.__getitem__, runs)))
+                for run in new:
+                    if len(run) > LONGEST_KEPT:
+                        del cache[run]
+                if len(cache) >= CACHE:
+                    self.cache, self.older = {}, cache
         return out
 
     def decode(self, ids) -> str:

@@ -2,9 +2,9 @@
 
 Documents are drawn by how much more their hashed n-grams belong to a target collection than to the corpus
 itself. The words are those of the tokenizers library's pre-tokenisation: an untrained Regex Split over the
-text with A-Z lowered, which returns each word with its offsets. The words, joined by one space, are laid out
-as one string of bytes, in which a pair of offsets (start of word i, end of word i + k) is the window of an
-n-gram; its CRC-32 modulo BUCKETS is its bucket. Each task adds its windows to one histogram of fixed size;
+text with A-Z lowered, which returns each word with its offsets. An n-gram is the window from the start of word i
+to the end of word i + k, its words joined by one space; its CRC-32, continued from that of the window a word
+shorter, modulo BUCKETS is its bucket. Each task adds its windows to one histogram of fixed size;
 the histograms are summed per bucket. A bucket's gain is the logarithm of its smoothed share in the target
 over its share in the corpus; a document's weight is the sum of the gains of its windows. A Gumbel number
 from a hash of the id is added, and the highest scores are drawn, which is a draw without replacement in
@@ -72,12 +72,15 @@ class Windows:
     def of(self, text: str) -> tuple[int, np.ndarray]:
         """Number of words, and the bucket of every window."""
         # only bytes of A-Z change; those of other characters lie above them
-        words = [w.encode() for w in self.words(text.encode().translate(LOWER).decode())]
-        line = memoryview(b" ".join(words))
-        ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1)).tolist() if words else []
-        ends, crc32 = ends.tolist(), zlib.crc32
-        sums = [crc32(line[a:b]) for k in range(self.longest) for a, b in zip(starts, ends[k:])]
+        words = self.words(text.encode().translate(LOWER).decode())
+        # the bytes from the end of one word to the end of the next
+        steps = [b" " + w.encode() for w in words]
+        # checksums of the windows of one word, which those of a word more continue
+        last = list(map(zlib.crc32, [s[1:] for s in steps]))
+        sums = list(last)
+        for k in range(1, self.longest):
+            last = list(map(zlib.crc32, steps[k:], last))
+            sums += last
         return len(words), np.array(sums, np.int64) % self.buckets
 
 

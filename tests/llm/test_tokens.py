@@ -68,19 +68,20 @@ def test_bpe_pieces_and_cache_change_nothing(texts, monkeypatch):
     coder = bpe.WordBPE(open(PATH, encoding="utf-8").read())
     expected, _ = library(texts[:-1])
     assert [coder.encode(t) for t in texts[:-1]] == expected
-    assert len(coder.cache) <= 3
+    assert len(coder.cache) <= 10 and len(coder.older) <= 10
 
 
 def test_merge_queue_against_plain_merging():
     coder = bpe.WordBPE(open(PATH, encoding="utf-8").read())
+    ranks = {(a, b): rank for a, found in enumerate(coder.ranks) for b, rank in found.items()}
 
     def plain(ids):
         while True:
-            pairs = [(coder.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in coder.merges]
+            pairs = [(ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
             if not pairs:
                 return ids
-            _, i = min(pairs)
-            ids = [*ids[:i], coder.merges[ids[i], ids[i + 1]][1], *ids[i + 2 :]]
+            rank, i = min(pairs)
+            ids = [*ids[:i], coder.made[rank], *ids[i + 2 :]]
 
     rng = random.Random(1)
     for _ in range(400):
