@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.operators.chunks import CHUNK, chunk_of, chunk_window, core_only, with_halo
+from marketlake.operators.ordered import PART, PLACE, in_order, inherited, take_over
 
 
 def asof_join(
@@ -72,17 +73,42 @@ def asof_join(
     )
 
 
-def asof_anchor(
-    bars: DataFrame, by: list[str], on: str, values: list[str], lag: int = 300, chunk: int = 3600
+def asof_scan(
+    left: DataFrame,
+    right: DataFrame,
+    by: list[str],
+    on: str,
+    values: list[str],
+    tolerance: int | None = None,
+    parts: int | None = None,
+    matched: str = "_right_t",
 ) -> DataFrame:
-    """Per bar, the newest bar at least `lag` seconds older, else the key's earliest bar.
+    """What asof_join gives, by one ordered scan over range partitions of both sides.
 
-    Anchor columns carry the suffix `_anchor`.
+    Rows are dealt by their place in the order (key, time, right before left), so that parts are about equal
+    however many rows a key, a second or a single instant holds; only the right row a part ends with is
+    handed on, one row per part. Fit for keys and times of unknown density; where a chunk of time
+    surely fits a task, asof_join shuffles once less. Both sides must be reproducible: scans or materialised.
     """
-    renamed = bars.select(*by, on, *[F.col(v).alias(f"{v}_anchor") for v in values])
-    names = [f"{v}_anchor" for v in values]
-    shifted = bars.withColumn("_at", F.col(on)).withColumn(on, F.col(on) - lag)
-    found = asof_join(shifted, renamed, by, on, names, None, chunk, matched="anchor_t")
+    payload = F.struct(F.col(on).alias("t"), *values)
+    rights = right.dropna(subset=[*by, on]).select(*by, on, payload.alias("_r"), F.lit(0).alias("_side"))
+    lefts = left.withColumn("_side", F.lit(1)).withColumn("_r", F.lit(None).cast(rights.schema["_r"].dataType))
+    both = lefts.unionByName(rights, allowMissingColumns=True)
+    placed = in_order(both, *by, on, "_side", "_r", parts=parts)
+    seen = Window.partitionBy(PART, *by).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn("_m", F.last("_r", ignorenulls=True).over(seen)).where(F.col("_side") == 1)
+    tails = placed.groupBy(*by, PART).agg(F.max("_r").alias("_tail"))
+    carried = inherited(tails, by, "_tail", lambda w: F.last("_tail", ignorenulls=True).over(w))
+    out = take_over(out, carried, by).withColumn("_m", F.coalesce("_m", "_carried"))
+    if tolerance is not None:
+        out = out.withColumn("_m", F.when(F.col(on) - F.col("_m.t") <= tolerance, F.col("_m")))
+    return out.select(
+        *left.columns, F.col("_m.t").alias(matched), *[F.col(f"_m.{v}").alias(v) for v in values]
+    )
+
+
+def _with_anchor(found: DataFrame, renamed: DataFrame, bars: DataFrame, by: list[str], on: str, names: list[str]) -> DataFrame:
+    """Bars without an anchor take their key's earliest one."""
     first = renamed.groupBy(*by).agg(
         F.min(F.struct(F.col(on).alias("t"), *names)).alias("_first")
     )
@@ -100,6 +126,31 @@ def asof_anchor(
     )
 
 
+def asof_anchor(
+    bars: DataFrame, by: list[str], on: str, values: list[str], lag: int = 300, chunk: int = 3600
+) -> DataFrame:
+    """Per bar, the newest bar at least `lag` seconds older, else the key's earliest bar.
+
+    Anchor columns carry the suffix `_anchor`.
+    """
+    renamed = bars.select(*by, on, *[F.col(v).alias(f"{v}_anchor") for v in values])
+    names = [f"{v}_anchor" for v in values]
+    shifted = bars.withColumn("_at", F.col(on)).withColumn(on, F.col(on) - lag)
+    found = asof_join(shifted, renamed, by, on, names, None, chunk, matched="anchor_t")
+    return _with_anchor(found, renamed, bars, by, on, names)
+
+
+def asof_anchor_scan(
+    bars: DataFrame, by: list[str], on: str, values: list[str], lag: int = 300, parts: int | None = None
+) -> DataFrame:
+    """What asof_anchor gives, by an ordered scan: for keys whose bars outgrow a chunk. bars must be reproducible."""
+    renamed = bars.select(*by, on, *[F.col(v).alias(f"{v}_anchor") for v in values])
+    names = [f"{v}_anchor" for v in values]
+    shifted = bars.withColumn("_at", F.col(on)).withColumn(on, F.col(on) - lag)
+    found = asof_scan(shifted, renamed, by, on, names, None, parts, matched="anchor_t")
+    return _with_anchor(found, renamed, bars, by, on, names)
+
+
 def realized_label(
     bars: DataFrame, by: list[str], on: str, mid: str, step: int, horizon: int = 5, chunk: int | None = None
 ) -> DataFrame:

@@ -14,8 +14,11 @@ that all passes see the same ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from marketlake.session import materialize
 
@@ -37,14 +40,14 @@ def in_order(df: DataFrame, *order: Column | str, parts: int | None = None) -> D
     by = [*keys, F.col(row)]
     dealt = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
     at = F.monotonically_increasing_id()
-    placed = dealt.sortWithinPartitions(*by).drop(row).withColumn("_at", at)
+    placed = dealt.sortWithinPartitions(*by).drop(row).withColumn("_in_place", at)
     return materialize(
         placed.withColumns(
             {
-                PART: F.shiftright("_at", PLACE_BITS).cast("int"),
-                PLACE: F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)),
+                PART: F.shiftright("_in_place", PLACE_BITS).cast("int"),
+                PLACE: F.col("_in_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)),
             }
-        ).drop("_at")
+        ).drop("_in_place")
     )
 
 
@@ -71,12 +74,12 @@ def numbered(placed: DataFrame, sizes: DataFrame, name: str = "seq") -> DataFram
     )
 
 
-def inherited(summary: DataFrame, keys: list[str], state: str, carried: Column) -> DataFrame:
+def inherited(summary: DataFrame, keys: list[str], state: str, carried: Callable[[WindowSpec], Column]) -> DataFrame:
     """What a key's rows in a part take over from the parts before.
 
     summary: one row per (keys, part) with a column `state`. Only the first key of a part can have rows in
-    an earlier one, so the result has at most one row per part. `carried` is an aggregate of `state`,
-    evaluated over the key's earlier parts.
+    an earlier one, so the result has at most one row per part. `carried` gives the value taken over,
+    for a window of the key's earlier parts.
     """
     spanning = summary.groupBy(*keys).agg(F.min(PART).alias("_first"), F.max(PART).alias("_last")).where("_first < _last")
     earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
@@ -87,7 +90,7 @@ def inherited(summary: DataFrame, keys: list[str], state: str, carried: Column)
     # a key spans at most as many parts as there are
     return (
         summary.join(spanning, condition, "left_semi")
-        .withColumn("_carried", carried.over(earlier))
+        .withColumn("_carried", carried(earlier))
         .where(F.col("_carried").isNotNull())
         .drop(state)
     )
@@ -100,3 +103,30 @@ def take_over(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame
     for k in keys:
         condition = condition & rows[k].eqNullSafe(own[f"_of_{k}"])
     return rows.join(F.broadcast(own), condition, "left").drop("_of_part", *[f"_of_{k}" for k in keys])
+
+
+def running_exact(
+    df: DataFrame,
+    keys: list[str],
+    sums: dict[str, Column],
+    *order: Column | str,
+    scale: int = 10,
+    parts: int | None = None,
+) -> DataFrame:
+    """Add running totals per key in the given order, as decimals of `scale` places.
+
+    Each value is rounded to `scale` places; sums of decimals are exact, so the totals do not depend
+    on how rows are dealt into parts. NULL values add nothing; a total starts at 0.
+    """
+    names = list(sums)
+    values = {f"_v_{n}": F.coalesce(e.cast(f"decimal(28,{scale})"), F.lit(0).cast(f"decimal(28,{scale})")) for n, e in sums.items()}
+    placed = in_order(df.withColumns(values), *keys, *order, parts=parts)
+    w = Window.partitionBy(PART, *keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.withColumns({f"_t_{n}": F.sum(f"_v_{n}").over(w) for n in names})
+    totals = placed.groupBy(*keys, PART).agg(F.struct(*[F.sum(f"_v_{n}").alias(n) for n in names]).alias("_total"))
+    before = inherited(totals, keys, "_total", lambda w: F.struct(*[F.sum(f"_total.{n}").over(w).alias(n) for n in names]))
+    out = take_over(inside, before, keys)
+    return out.select(
+        *df.columns,
+        *[(F.col(f"_t_{n}") + F.coalesce(F.col(f"_carried.{n}"), F.lit(0))).cast(f"decimal(38,{scale})").alias(n) for n in names],
+    )

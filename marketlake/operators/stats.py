@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from marketlake.functions.pricing import bps, implied_forecast, probability_leg, spot_leg
 from marketlake.functions.times import MICROS, bucket
 from marketlake.operators.chunks import chunk_window, core_only, running_columns, with_halo
-from marketlake.operators.quantiles import with_percentiles
+from marketlake.operators.ordered import running_exact
+from marketlake.operators.quantiles import summary_with_percentiles
 from marketlake.schemas import DEFAULT_SIGMA_LOG, STATS_DDL
 
 STAT_KEYS = ("source", "ident", "asset", "series", "market_outcome", "price_bucket")
@@ -184,12 +185,14 @@ def latency_summary(rows: DataFrame, value: Column | str, by: tuple[str, ...] =
     """Count, mean, interpolated p50 / p95 / p99, max and throughput of microsecond latencies."""
     v = F.col(value) if isinstance(value, str) else value
     values = rows.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
-    summary = values.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("_v").alias("mean_us"), F.max("_v").alias("max_us")
-    )
     fractions = {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99}
-    return with_percentiles(summary, values, by, "_v", fractions).select(
-        *by, "n", "mean_us", *fractions, "max_us", F.try_divide(F.lit(1e6), "mean_us").alias("throughput")
+    return summary_with_percentiles(values, by, "_v", fractions).select(
+        *by,
+        "n",
+        F.col("mean").alias("mean_us"),
+        *fractions,
+        F.col("max").alias("max_us"),
+        F.try_divide(F.lit(1e6), "mean").alias("throughput"),
     )
 
 
@@ -211,18 +214,8 @@ def feature_summary(
             )
         ).alias("_e"),
     ).select(*by, "_e.feature", "_e.v")
-    groups = (*by, "feature")
-    summary = stacked.groupBy(*groups).agg(
-        F.count("v").alias("n"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
     fractions = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    return with_percentiles(summary, stacked, groups, "v", fractions).select(
-        *groups, "n", "mean", "std", "min", *fractions, "max"
-    )
+    return summary_with_percentiles(stacked, (*by, "feature"), "v", fractions)
 
 
 def split_summary(split: DataFrame, target: str, by: tuple[str, ...] = ("series", "split")) -> DataFrame:
@@ -335,11 +328,25 @@ def union_streams(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def _signed_volume() -> Column:
+    """Seller-initiated trades (buyer is maker) count negative."""
+    qty = F.col("payload.q").try_cast("double")
+    return F.when(F.col("payload.m"), -qty).otherwise(qty)
+
+
 def cumulative_volume_delta(
     trades: DataFrame, t: str, length: int, keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Running signed volume: seller-initiated trades (buyer is maker) count negative."""
-    qty = F.col("payload.q").try_cast("double")
-    signed = F.when(F.col("payload.m"), -qty).otherwise(qty)
-    return running_columns(trades, list(keys), t, length, {"cvd": signed}, *(order or (t,)))
+    """Running signed volume."""
+    return running_columns(trades, list(keys), t, length, {"cvd": _signed_volume()}, *(order or (t,)))
+
 
+def cumulative_volume_exact(
+    trades: DataFrame, order: tuple[str, ...], keys: tuple[str, ...] = ("symbol",), parts: int | None = None
+) -> DataFrame:
+    """Running signed volume as exact decimal sums over ranges of equally many trades.
+
+    A symbol's trades of one day, or of one instant, spread over all tasks, and the result does not
+    depend on where the ranges end. trades must be reproducible: a scan, or materialised.
+    """
+    return running_exact(trades, list(keys), {"cvd": _signed_volume()}, *order, parts=parts)

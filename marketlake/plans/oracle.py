@@ -629,7 +629,8 @@ quotes AS (SELECT asset, us, price AS mid FROM ticks WHERE type = 'bookTicker')"
 SELECT event_id, t.asset, CASE WHEN {fresh} THEN q.us END AS quote_us, CASE WHEN {fresh} THEN round(mid, 6) END AS mid {join}""")
     out["asof_join_unbounded"] = _sql(sides, f"""
 SELECT event_id, t.asset, q.us AS quote_us, round(mid, 6) AS mid {join}""")
-    out["asof_anchor"] = _sql(BARS, """,
+    out["asof_scan"], out["asof_scan_unbounded"] = out["asof_join"], out["asof_join_unbounded"]
+    out["asof_anchor"] = out["asof_anchor_scan"] = _sql(BARS, """,
 firsts AS (SELECT series, min(t) AS t, arg_min(prob, t) AS prob FROM bars GROUP BY series)
 SELECT b.series, b.t, coalesce(a.t, f.t) AS anchor_t, round(CASE WHEN a.t IS NOT NULL THEN a.prob ELSE f.prob END, 6) AS poly_p_up_anchor
 FROM bars b ASOF LEFT JOIN bars a ON b.series = a.series AND b.t - 18000 >= a.t
@@ -761,4 +762,10 @@ SELECT series, idx, round(model_prob, 6) AS model_prob, round(model_prob - marke
 SELECT event_id, symbol, round(sum(CASE WHEN user_id % 2 = 1 THEN -value ELSE value END) OVER
          (PARTITION BY symbol ORDER BY us, event_id), 4) AS cvd
 FROM env WHERE type = 'aggTrade'""")
+    out["cumulative_volume_exact"] = _sql("", """
+SELECT event_id, symbol, sum(CAST(CASE WHEN user_id % 2 = 1 THEN -value ELSE value END AS DECIMAL(28, 10))) OVER
+         (PARTITION BY symbol ORDER BY us, event_id)::VARCHAR AS cvd
+FROM env WHERE type = 'aggTrade'""")
+    out["number_rows"] = _sql("", """
+SELECT event_id, us AS t_us, row_number() OVER (ORDER BY us, event_id) - 1 AS seq FROM ticks""")
     return out

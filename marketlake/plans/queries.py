@@ -25,7 +25,7 @@ from marketlake.functions.pricing import (
     spot_leg,
 )
 from marketlake.functions.times import bucket, rolling_slug, slug_end, slug_start
-from marketlake.operators import arma, asof, features, metrics, resample, score, stats
+from marketlake.operators import arma, asof, features, metrics, ordered, resample, score, stats
 from marketlake.operators.normalize import normalize_ticks
 from marketlake.schemas import EXOG, TARGET, TOPIC_STATS
 from marketlake.session import configure, materialize, work_dir
@@ -600,6 +600,30 @@ def asof_join_unbounded(spark, sf_dir):
     return out.select("event_id", "asset", F.col("_right_t").alias("quote_us"), F.round("mid", 6).alias("mid"))
 
 
+@query
+def asof_scan(spark, sf_dir):
+    """asof_join by ranges of rows instead of chunks of time."""
+    trades, quotes = _asof_sides(spark, sf_dir)
+    out = asof.asof_scan(trades, quotes, ["asset"], "t_us", ["mid"], 3600 * 1_000_000)
+    return out.select("event_id", "asset", F.col("_right_t").alias("quote_us"), F.round("mid", 6).alias("mid"))
+
+
+@query
+def asof_scan_unbounded(spark, sf_dir):
+    trades, quotes = _asof_sides(spark, sf_dir)
+    out = asof.asof_scan(trades, quotes, ["asset"], "t_us", ["mid"])
+    return out.select("event_id", "asset", F.col("_right_t").alias("quote_us"), F.round("mid", 6).alias("mid"))
+
+
+@query
+def asof_anchor_scan(spark, sf_dir):
+    bars = materialize(_bars(spark, sf_dir))
+    out = asof.asof_anchor_scan(bars, ["series"], "t", ["poly_p_up"], 5 * 3600)
+    return out.select(
+        "series", "t", "anchor_t", F.round("poly_p_up_anchor", 6).alias("poly_p_up_anchor")
+    )
+
+
 @query
 def asof_anchor(spark, sf_dir):
     out = asof.asof_anchor(_bars(spark, sf_dir), ["series"], "t", ["poly_p_up"], 5 * 3600, 86_400)
@@ -816,17 +840,34 @@ def edge_signal(spark, sf_dir):
     )
 
 
-@query
-def cumulative_volume_delta(spark, sf_dir):
-    trades = (
+def _trades(spark, sf_dir) -> DataFrame:
+    return (
         _envelopes(spark, sf_dir)
         .where(F.col("type") == "aggTrade")
         .withColumn("t_us", F.unix_micros(F.col("recv_ts").cast("timestamp")))
     )
+
+
+@query
+def cumulative_volume_delta(spark, sf_dir):
+    trades = _trades(spark, sf_dir)
     out = stats.cumulative_volume_delta(trades, "t_us", 86_400_000_000, order=("t_us", "event_id"))
     return out.select("event_id", "symbol", F.round("cvd", 4).alias("cvd"))
 
 
+@query
+def cumulative_volume_exact(spark, sf_dir):
+    out = stats.cumulative_volume_exact(_trades(spark, sf_dir), ("t_us", "event_id"))
+    return out.select("event_id", "symbol", F.col("cvd").cast("string").alias("cvd"))
+
+
+@query
+def number_rows(spark, sf_dir):
+    """All ticks numbered in the order of time, without gaps."""
+    ticks = _ticks(spark, sf_dir).select("event_id", F.unix_micros("ts").alias("t_us"))
+    return ordered.number_rows(ticks, "t_us", "event_id")
+
+
 # --- streams over the events table, drained and read back -----------------------------
 
 

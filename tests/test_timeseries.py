@@ -153,7 +153,7 @@ def test_training_table_against_pandas(spark):
 
 
 def test_percentiles_from_brackets(spark):
-    """A coarse sketch forces brackets, one group holds most rows, one has a single value."""
+    """Short lists force several rounds; one group holds most rows, one has a single value."""
     from marketlake.operators.quantiles import exact_percentiles
 
     rng = np.random.default_rng(3)
@@ -162,14 +162,54 @@ def test_percentiles_from_brackets(spark):
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
     df = spark.createDataFrame([*rows, ("few", None)], "g string, v double")
     want = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99, "top": 1.0}
-    got = {r["g"]: r for r in exact_percentiles(df, ("g",), "v", want, accuracy=100).collect()}
+    got = {r["g"]: r for r in exact_percentiles(df, ("g",), "v", want, listed=16).collect()}
     assert set(got) == set(groups)
     for g, vs in groups.items():
         assert np.allclose([got[g][n] for n in want], np.quantile(vs, list(want.values())))
-    (whole,) = exact_percentiles(df, (), "v", want, accuracy=100).collect()
+    (whole,) = exact_percentiles(df, (), "v", want, listed=16).collect()
     assert np.allclose(list(whole), np.quantile([v for _, v in rows], list(want.values())))
 
 
+def test_percentiles_of_odd_values(spark):
+    from marketlake.operators.quantiles import exact_percentiles, summary_with_percentiles, value_cells
+
+    nan = float("nan")
+    rows = [("nan", nan)] * 3 + [("mix", v) for v in (nan, 1.0, -0.0, 0.0, float("inf"))] + [("none", None)] * 2
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in exact_percentiles(df, ("g",), "v", {"p0": 0.0, "p50": 0.5, "p75": 0.75}, listed=1).collect()}
+    assert set(got) == {"nan", "mix"} and all(np.isnan(got["nan"][n]) for n in ("p0", "p50"))
+    assert (got["mix"]["p0"], got["mix"]["p50"], got["mix"]["p75"]) == (0.0, 1.0, float("inf"))
+    out = {r["g"]: r for r in summary_with_percentiles(df, ("g",), "v", {"p50": 0.5}).collect()}
+    assert (out["none"]["n"], out["none"]["p50"], out["mix"]["n"]) == (0, None, 5)
+    (empty,) = summary_with_percentiles(df.limit(0), (), "v", {"p50": 0.5}).collect()
+    assert (empty["n"], empty["p50"]) == (0, None)
+    assert summary_with_percentiles(df.limit(0), ("g",), "v", {"p50": 0.5}).count() == 0
+    # a value that fills a group is one cell
+    assert value_cells(spark.range(5000).selectExpr("7.0D AS v"), (), "v").count() == 1
+
+
+def test_percentiles_scan_once_and_sort_no_group(spark, tmp_path):
+    """One pass over the source, and no window."""
+    from marketlake.operators.quantiles import summary_with_percentiles
+
+    scans = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            scans.add(len(batch))
+            yield batch
+
+    df = spark.range(20_000).selectExpr("id % 3 AS g", "cast(hash(id) AS double) AS v").mapInPandas(seen, "g long, v double")
+    out = summary_with_percentiles(df, ("g",), "v", {"p10": 0.1, "p90": 0.9})
+    got = {r["g"]: r for r in out.collect()}
+    assert scans.value == 20_000 and "Window" not in plan_of(out)
+    values = spark.range(20_000).selectExpr("id % 3 AS g", "cast(hash(id) AS double) AS v").toPandas()
+    for g, own in values.groupby("g")["v"]:
+        r = got[g]
+        assert np.allclose([r["n"], r["mean"], r["std"], r["min"], r["max"]], [len(own), own.mean(), own.std(), own.min(), own.max()])
+        assert np.allclose([r["p10"], r["p90"]], np.quantile(own, [0.1, 0.9]))
+
+
 def test_throttle_is_one_per_second(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 1.0), ("a", 2, 5.0)], "k string, sec bigint, v double")
     assert sorted((r["sec"], r["v"]) for r in features.throttle(df, ["k"], "sec").collect()) == [(1, 1.0), (2, 5.0)]
