@@ -11,9 +11,10 @@ from a hash of the id is added, and the highest scores are drawn, which is a dra
 proportion to exp(weight). The draw ranks all documents that may be drawn by a total order over range
 partitions, so that no task ranks more than its range.
 
-Texts are read twice, for the histogram and for the scores; only the table of gains (BUCKETS numbers) passes
-through the driver. Words keep offsets per piece of about PIECE characters, cut at white space, so that a long
-text holds no offset objects for all of it at once.
+Texts are read and cut once: the buckets of a document's windows are written to the shared folder, two bytes each,
+for the histogram and the scores, and deleted afterwards. Only the table of gains (BUCKETS numbers) passes through
+the driver. Words keep offsets per piece of about PIECE characters, cut at white space, so that a long text holds no
+offset objects for all of it at once.
 
 Edge cases: NULL and empty texts have no words, weight 0 and are never drawn. A NULL doc_id is hashed as '' and
 ranks behind other ids; equal scores go by the smaller id, then by a hash of the text. Repeated rows count, score and
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from marketlake.llm.common import table, whole_text
+from marketlake.llm.common import Scratch, table, whole_text
 from marketlake.operators.ordered import in_order, numbered, part_sizes
 from marketlake.session import materialize
 
@@ -84,25 +85,46 @@ class Windows:
         return len(words), np.array(sums, np.int64) % self.buckets
 
 
-def histogram(texts: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
-    """(bucket, n) over all windows of a column text; each task sends at most one row per bucket."""
+def windows_of(texts: DataFrame, keys: list[str], buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
+    """The key columns, n_words, text_key and the buckets of all windows of a column text, as little-endian numbers."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        windows, kind = Windows(buckets, longest), number(buckets)
+        for batch in batches:
+            found = [windows.of(text) for text in batch["text"]]
+            out = batch[keys].assign(
+                n_words=[n for n, _ in found],
+                text_key=[zlib.crc32(text.encode()) for text in batch["text"]],
+                windows=[own.astype(kind).tobytes() for _, own in found],
+            )
+            yield out
+
+    fields = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys)
+    return texts.mapInPandas(cut, f"{fields + ', ' if keys else ''}n_words long, text_key long, windows binary")
+
+
+def number(buckets: int) -> str:
+    """The type of a bucket's number."""
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
+def histogram(found: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, n) over all windows; each task sends at most one row per bucket."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows, total = Windows(buckets, longest), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                total += np.bincount(windows.of(text)[1], minlength=buckets)
+            for own in batch["windows"]:
+                total += np.bincount(np.frombuffer(own, number(buckets)), minlength=buckets)
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": seen.astype(np.int32), "n": total[seen]})
 
-    return texts.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return found.select("windows").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> np.ndarray:
-    """The gain of every bucket, in thousandths, from the texts of both."""
-    both = histogram(corpus, buckets, longest).withColumn("side", F.lit(0)).unionByName(
-        histogram(target, buckets, longest).withColumn("side", F.lit(1))
-    )
+def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """The gain of every bucket, in thousandths, from the histograms of both."""
+    both = corpus.withColumn("side", F.lit(0)).unionByName(target.withColumn("side", F.lit(1)))
     counts = [[0] * buckets, [0] * buckets]
     for row in both.collect():  # at most 2 * buckets rows
         counts[row["side"]][row["bucket"]] = row["n"]
@@ -119,22 +141,21 @@ def gumbel(doc_id: str | None, seed: str = SEED) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def scores(docs: DataFrame, gain: np.ndarray, longest: int = LONGEST, seed: str = SEED) -> DataFrame:
+def scores(found: DataFrame, gain: np.ndarray, seed: str = SEED) -> DataFrame:
     """doc_id, n_words, n_features, weight, score, text_key of every document."""
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows = Windows(len(gain), longest)
         for batch in batches:
-            rows = []
-            for shown, text in zip(batch["shown"], batch["text"]):
-                n, own = windows.of(text)
-                weight = int(gain[own].sum())
-                rows.append((shown, n, len(own), weight, weight + gumbel(shown, seed), zlib.crc32(text.encode())))
-            yield pd.DataFrame(rows, columns=["shown", "n_words", "n_features", "weight", "score", "text_key"])
+            own = [np.frombuffer(w, number(len(gain))) for w in batch["windows"]]
+            weight = [int(gain[w].sum()) for w in own]
+            yield batch[["shown", "n_words", "text_key"]].assign(
+                n_features=[len(w) for w in own],
+                weight=weight,
+                score=[w + gumbel(shown, seed) for w, shown in zip(weight, batch["shown"])],
+            )
 
-    texts = docs.select(F.col("doc_id").cast("string").alias("shown"), whole_text().alias("text"))
-    fields = "shown string, n_words long, n_features long, weight long, score long, text_key long"
-    return texts.mapInPandas(rate, fields).withColumn("doc_id", F.col("shown").cast("long")).drop("shown")
+    fields = "shown string, n_words long, text_key long, n_features long, weight long, score long"
+    return found.mapInPandas(rate, fields).withColumn("doc_id", F.col("shown").cast("long")).drop("shown")
 
 
 def resample(
@@ -147,17 +168,20 @@ def resample(
     seed: str = SEED,
 ) -> DataFrame:
     """doc_id, n_features, weight, score and rank of every document; rank is NULL where it is not drawn."""
-    corpus = docs.select(whole_text().alias("text"))
-    gain = gains(corpus, target.select(whole_text().alias("text")), buckets, longest)
-    # small rows, read three times from here on
-    scored = materialize(scores(docs, gain, longest, seed))
+    scratch, text = Scratch(docs.sparkSession), whole_text().alias("text")
+    texts = docs.select(F.col("doc_id").cast("string").alias("shown"), text)
+    found = scratch.keep(windows_of(texts, ["shown"], buckets, longest))
+    wanted = histogram(windows_of(target.select(text), [], buckets, longest), buckets)
+    gain = gains(histogram(found, buckets), wanted, buckets)
+    scored = materialize(scores(found, gain, seed))  # small rows, read three times from here on
+    scratch.drop()
     may = scored.where(F.col("n_words") >= least_words)
     placed = in_order(may, F.desc("score"), F.asc_nulls_last("doc_id"), "text_key")
     sizes = part_sizes(placed)
     total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
-    wanted = F.floor(total * F.lit(percent) / 100)
+    drawn = F.floor(total * F.lit(percent) / 100)
     ranked = numbered(placed, F.broadcast(sizes), "seq").withColumn(  # one row per part
-        "rank", F.when(F.col("seq") < wanted, F.col("seq") + 1)
+        "rank", F.when(F.col("seq") < drawn, F.col("seq") + 1)
     )
     others = scored.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long"))
     columns = ["doc_id", "n_features", "weight", "score", "rank"]
