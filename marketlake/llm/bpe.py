@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a public vocabulary.
 
-A text is normalised and cut into words by the tokenizers library, as the vocabulary's file states.
-Each word becomes a doubly linked list of byte symbols, the last one marked as a word end. A priority
+A text is normalised and cut into words by the tokenizers library, as the vocabulary's file states; ASCII
+letters and white space, which need no normalisation but lower case, are cut off by a byte table before. Each word becomes a doubly linked list of byte symbols, the last one marked as a word end. A priority
 queue holds the merges of neighbours by (rank, position); the smallest is taken, skipped if one of its
 symbols has gone or changed since, and applied otherwise; the merges of the new symbol with its
 neighbours are pushed. A word of n symbols takes O(n log n). Decoding concatenates the strings of the
@@ -39,7 +39,9 @@ from marketlake.llm.common import table, whole_text
 
 MAX_BYTES = 64 << 20
 #: Runs of text whose ids a task keeps, in each of two generations, and the longest such run.
-CACHE, LONGEST_KEPT = 1 << 17, 64
+CACHE, LONGEST_KEPT = 1 << 18, 32
+#: Bytes with A-Z lowered and ASCII white space made spaces; others belong to characters beyond ASCII or stay.
+PLAIN = bytes(32 if b in b"\t\n\v\f\r" else b for b in bytes(range(256)).lower())
 PIECE = 1 << 16
 ByteLevel = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 #: Bytes that begin a character of several; those that begin none in UTF-8 stand for themselves.
@@ -75,7 +77,6 @@ class WordBPE:
             self.ranks[a][b] = rank
         self.made = [new for _, _, new in pairs]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in (self.vocab | added).items()}
         self.added = added
         longest = sorted(added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
@@ -83,8 +84,13 @@ class WordBPE:
         # the untrained model only carries the words' offsets
         self.words = Tokenizer(models.WordLevel({"?": 0}, unk_token="?"))
         self.words.pre_tokenizer = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
-        if any(" " in w for w, _ in self.words.pre_tokenizer.pre_tokenize_str(f"a b {string.punctuation} 1 'c d' ")):
-            raise ValueError("not a vocabulary of this kind: a word may hold a space")
+        cut = self.words.pre_tokenizer.pre_tokenize_str
+        if (
+            any(" " in w for w, _ in cut(f"a b {string.punctuation} 1 'c d' "))
+            or len(cut(string.ascii_letters)) != 1
+            or self.normalizer.normalize_str("A \t\nb") != "a b"
+        ):
+            raise ValueError("not a vocabulary of this kind: words of letters, lower case, white space dropped")
         # the symbols of a byte within a word and at its end
         shown = [self.shown(bytes([b])) for b in range(256)]
         self.inner = [self.vocab[c] for c in shown]
@@ -145,25 +151,30 @@ class WordBPE:
         return self.merged(ids)
 
     def learn(self, runs: Iterable[str]) -> None:
-        """Put runs of text without white space, of one word or of several and punctuation, into the cache."""
-        older, unknown = self.older, []
+        """Put runs of text without ASCII white space into the cache."""
+        cache, older, unknown = self.cache, self.older, []
         for run in runs:
             found = older.get(run)
-            if found is None:
-                unknown.append(run)
+            if found is not None:
+                cache[run] = found
+            elif run.isascii() and run.isalpha():
+                cache[run] = self.word(run)  # letters only: one word
             else:
-                self.cache[run] = found
-        offsets = self.words.encode(" ".join(unknown), add_special_tokens=False).offsets
-        at, start = 0, 0
-        for run in unknown:
+                unknown.append(run)
+        # the others are normalised one by one, and cut into words together
+        plain = [r if r.isascii() else self.normalizer.normalize_str(r) for r in unknown]
+        offsets = self.words.encode(" ".join(plain), add_special_tokens=False).offsets
+        at, start, n = 0, 0, len(offsets)
+        for run, shown in zip(unknown, plain):
             ids: list[int] = []
-            while at < len(offsets) and offsets[at][0] < start + len(run):
+            end = start + len(shown)
+            while at < n and offsets[at][0] < end:
                 low, high = offsets[at]
-                word = run[low - start : high - start]
-                ids += self.cache.get(word) or self.word(word)
+                word = shown[low - start : high - start]
+                ids += cache.get(word) or self.word(word)
                 at += 1
-            self.cache[run] = ids
-            start += len(run) + 1
+            cache[run] = ids
+            start = end + 1
 
     def pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -180,7 +191,7 @@ class WordBPE:
                 out.append(self.added[part])
                 continue
             for piece in self.pieces(part):
-                runs = self.normalizer.normalize_str(piece).split(" ")
+                runs = piece.encode().translate(PLAIN).decode().split(" ")
                 cache = self.cache
                 new = set(runs).difference(cache)
                 if new:
@@ -193,9 +204,17 @@ class WordBPE:
                     self.cache, self.older = {}, cache
         return out
 
-    def decode(self, ids) -> str:
-        strings = self.strings
-        return " ".join(strings[i] for i in ids if i in strings)
+
+def strings_of(text: str) -> dict[int, str]:
+    """The strings of a vocabulary's ids."""
+    spec = json.loads(text)
+    if spec.get("decoder"):
+        raise ValueError("not a vocabulary of this kind: it names a decoder")
+    return {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
+def joined(strings: dict[int, str], ids) -> str:
+    return " ".join([s for s in map(strings.get, ids.tolist()) if s is not None]) if ids is not None else ""
 
 
 def read_vocabulary(spark: SparkSession, path: str):
@@ -206,12 +225,12 @@ def read_vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(text.decode())
 
 
-def _per_task(vocabulary, apply: Callable, returns: str):
+def _per_task(vocabulary, build: Callable, apply: Callable, returns: str):
     @F.pandas_udf(returns)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = WordBPE(vocabulary.value)
+        built = build(vocabulary.value)
         for batch in batches:
-            yield pd.Series([apply(bpe, x) for x in batch], dtype=object)
+            yield pd.Series([apply(built, x) for x in batch], dtype=object)
 
     return run
 
@@ -219,14 +238,14 @@ def _per_task(vocabulary, apply: Callable, returns: str):
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """All columns of docs, and the ids of a text column as array<int>."""
     vocabulary = read_vocabulary(docs.sparkSession, path)
-    run = _per_task(vocabulary, lambda bpe, x: np.array(bpe.encode(x), np.int32), "array<int>")
+    run = _per_task(vocabulary, WordBPE, lambda bpe, x: np.array(bpe.encode(x), np.int32), "array<int>")
     return docs.withColumn(into, run(whole_text(text)))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """All columns of tokens, and the text of a column of ids."""
     vocabulary = read_vocabulary(tokens.sparkSession, path)
-    run = _per_task(vocabulary, lambda bpe, x: bpe.decode(() if x is None else x.tolist()), "string")
+    run = _per_task(vocabulary, strings_of, joined, "string")
     return tokens.withColumn(into, run(F.col(ids)))
 
 
