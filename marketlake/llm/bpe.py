@@ -23,7 +23,7 @@ import hashlib
 import json
 import re
 import string
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 from pathlib import Path
@@ -39,7 +39,7 @@ from marketlake.llm.common import table, whole_text
 
 MAX_BYTES = 64 << 20
 #: Runs of text whose ids a task keeps, in each of two generations, and the longest such run.
-CACHE, LONGEST_KEPT = 1 << 18, 32
+CACHE, LONGEST_KEPT = 1 << 17, 32
 #: Bytes with A-Z lowered and ASCII white space made spaces; others belong to characters beyond ASCII or stay.
 PLAIN = bytes(32 if b in b"\t\n\v\f\r" else b for b in bytes(range(256)).lower())
 PIECE = 1 << 16
@@ -225,27 +225,31 @@ def read_vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(text.decode())
 
 
-def _per_task(vocabulary, build: Callable, apply: Callable, returns: str):
-    @F.pandas_udf(returns)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        built = build(vocabulary.value)
-        for batch in batches:
-            yield pd.Series([apply(built, x) for x in batch], dtype=object)
-
-    return run
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """All columns of docs, and the ids of a text column as array<int>."""
     vocabulary = read_vocabulary(docs.sparkSession, path)
-    run = _per_task(vocabulary, WordBPE, lambda bpe, x: np.array(bpe.encode(x), np.int32), "array<int>")
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe = WordBPE(vocabulary.value)
+        for batch in batches:
+            yield pd.Series([np.array(bpe.encode(x), np.int32) for x in batch], dtype=object)
+
     return docs.withColumn(into, run(whole_text(text)))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """All columns of tokens, and the text of a column of ids."""
     vocabulary = read_vocabulary(tokens.sparkSession, path)
-    run = _per_task(vocabulary, strings_of, joined, "string")
+    strings: dict[int, str] = {}
+
+    # no iterator, so that Spark runs it in one Python process with others over the same ids
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        if not strings:
+            strings.update(strings_of(vocabulary.value))
+        return pd.Series([joined(strings, x) for x in batch], dtype=object)
+
     return tokens.withColumn(into, run(F.col(ids)))
 
 
@@ -260,9 +264,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokens = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return decode(tokens, path).select(
+    digested = decode(tokens.withColumn("ids_sha256", ids_digest("ids")), path)
+    return digested.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest("ids").alias("ids_sha256"),
+        "ids_sha256",
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
