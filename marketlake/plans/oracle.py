@@ -701,6 +701,11 @@ SELECT * FROM ({sliding_body}) WHERE epoch_us(window_end) <= (SELECT w FROM wm)"
     out["stream_update_mode"] = out["windowed_stats"]
     out["stream_ordered_output"] = _sql(closed.format(delay=7200000000), f"""
 SELECT 1::BIGINT AS n_files, count(*) AS n_rows, true AS in_order
+FROM ({windowed_body}) WHERE epoch_us(window_end) <= (SELECT w FROM wm)""")
+    keys = [k.split(" AS ")[-1].strip() for k in STATS_KEYS.split(",")]
+    out["stream_numbered_output"] = _sql(closed.format(delay=7200000000), f"""
+SELECT row_number() OVER (ORDER BY window_start, {", ".join(f"{k} NULLS FIRST" for k in keys)}) - 1 AS seq,
+       window_start, {", ".join(keys)}
 FROM ({windowed_body}) WHERE epoch_us(window_end) <= (SELECT w FROM wm)""")
     out["stream_ticks"] = out["compact_ticks"]
     out["score_stream"] = out["score_batch"]

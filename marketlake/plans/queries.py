@@ -980,6 +980,24 @@ def stream_ordered_output(spark, sf_dir):
     )
 
 
+@query
+def stream_numbered_output(spark, sf_dir):
+    """Statistics published in a total order by several tasks: the number of each row."""
+    base = work_dir(spark, "numbered")
+    out = stats.windowed_stats(_stream_ticks(spark, sf_dir), "1 hour", "2 hours")
+    sent = out.select(F.col("series").alias("key"), F.to_json(F.struct("*")).alias("value"), "window_start", *stats.STAT_KEYS)
+    pipeline.drain(
+        [
+            pipeline.sink_numbered(
+                sent, "numbered", TOPIC_STATS, f"{base}/checkpoint", base, ["window_start", *stats.STAT_KEYS], pipeline.DRAIN, 4
+            )
+        ]
+    )
+    rows = spark.read.schema("key string, value string, seq long").json(f"{base}/{TOPIC_STATS}")
+    fields = ", ".join(f"{k} {out.schema[k].dataType.simpleString()}" for k in ("window_start", *stats.STAT_KEYS))
+    return rows.select("seq", F.from_json("value", fields).alias("v")).select("seq", "v.*").withColumns(r6("price_bucket"))
+
+
 def _parts(spark, sf_dir, cuts) -> DataFrame:
     """The events as a stream of several files in a given order, one per micro-batch."""
     base = work_dir(spark, "parts")

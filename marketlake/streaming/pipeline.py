@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from marketlake.operators.normalize import normalize_ticks
+from marketlake.operators.ordered import in_order, numbered, part_sizes
 from marketlake.operators.stats import forecast_stats, windowed_stats
 from marketlake.schemas import (
     DEFAULT_SIGMA_LOG,
@@ -20,7 +21,7 @@ from marketlake.schemas import (
     TOPIC_SCORED,
     TOPIC_STATS,
 )
-from marketlake.session import make_dir
+from marketlake.session import make_dir, materialize
 from marketlake.sources.envelope import parse_envelope
 from marketlake.sources.forecasts import forecast_messages
 from marketlake.streaming.state import LATENESS, carry_forward_stream
@@ -116,6 +117,43 @@ def sink_messages(
     return run_stream(rows, name, checkpoint, trigger=trigger, each_batch=publish)
 
 
+def sink_numbered(
+    messages: DataFrame,
+    name: str,
+    topic: str,
+    checkpoint: str,
+    location: str,
+    order_by: list[str],
+    trigger: dict | None = None,
+    parts: int | None = None,
+) -> StreamingQuery:
+    """Publish key / value rows as JSON lines in a total order, without writing them in one task.
+
+    A micro-batch is dealt into ranges of the order; each row gets a number `seq`, which counts on without gaps
+    from the batches before, so that readers of several files can follow one order. How far a batch got is a
+    row of a manifest, one small file per batch, of which only the last one is read. A batch that is run again
+    finds the same start and overwrites its own folder and row. Rows that tie in `order_by` keep one number each.
+    """
+    base, manifest = f"{location}/{topic}", f"{location}/{topic}-batches"
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = 0
+        if batch_id:  # the ids of a query's batches follow each other
+            before = spark.read.schema("first long, rows long").json(f"{manifest}/batch={batch_id - 1}")
+            first = before.agg(F.max(F.col("first") + F.col("rows"))).first()[0]
+        # state of the stream is read once; the order reads the rows again
+        placed = in_order(materialize(batch), *order_by, "key", "value", parts=parts)
+        sizes = materialize(part_sizes(placed))
+        rows = numbered(placed, F.broadcast(sizes), "_n")  # one row per part
+        out = rows.select("key", "value", (F.col("_n") + first).alias("seq"))
+        out.write.mode("overwrite").json(f"{base}/batch={batch_id}")
+        done = sizes.agg(F.lit(first).cast("long").alias("first"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"))
+        done.write.mode("overwrite").json(f"{manifest}/batch={batch_id}")
+
+    return run_stream(messages, name, checkpoint, trigger=trigger, each_batch=publish)
+
+
 def sink_console(rows: DataFrame, checkpoint: str, every: str = "15 seconds") -> StreamingQuery:
     sink = {"format": "console", "truncate": "false", "numRows": "20"}
     return run_stream(
