@@ -460,6 +460,10 @@ FROM ticks WHERE source = 'binance' AND hour(make_timestamp(us)) < 12 GROUP BY A
     out["compact_ticks"] = _sql("", """
 SELECT source, strftime(make_timestamp(us), '%Y-%m-%d') AS date, count(*) AS n,
        count(DISTINCT hour(make_timestamp(us))) AS hours, round(max(price), 6) AS price_max
+FROM ticks GROUP BY ALL""")
+    out["compact_changed"] = _sql("", """
+SELECT source, strftime(make_timestamp(us), '%Y-%m-%d') AS date, hour(make_timestamp(us))::INTEGER AS hour, count(*) AS n,
+       source = 'binance' AND hour(make_timestamp(us)) >= 20 AS late, false AS again
 FROM ticks GROUP BY ALL""")
     out["sigma_lookup"] = _sql("", """
 SELECT series AS label, count(*) AS n,

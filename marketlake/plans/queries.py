@@ -284,6 +284,22 @@ def compact_ticks(spark, sf_dir):
     )
 
 
+@query
+def compact_changed(spark, sf_dir):
+    """An archive that grows after its first compaction: folders rewritten by the second run, all rows, and a third run."""
+    root, target = work_dir(spark, "ticks"), work_dir(spark, "compacted")
+    ticks = materialize(_ticks(spark, sf_dir).drop("event_id"))
+    late = F.expr("source = 'binance' AND hour >= 20")
+    archive.write_ticks(ticks.where(~late), root)
+    archive.compact_changed(spark, root, target)
+    archive.write_ticks(ticks.where(late), root)
+    second = archive.compact_changed(spark, root, target).select("source", "date", "hour", F.lit(True).alias("late"))
+    third = archive.compact_changed(spark, root, target).select("source", "date", "hour", F.lit(True).alias("again"))
+    folders = archive.read_ticks(spark, target).groupBy("source", "date", "hour").agg(F.count("*").alias("n"))
+    same = ["source", "date", "hour"]
+    return folders.join(second, same, "left").join(third, same, "left").fillna(False, ["late", "again"])
+
+
 @query
 def sigma_lookup(spark, sf_dir):
     """σ per asset; one asset's metadata is text, another's is implausible."""

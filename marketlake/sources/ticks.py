@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.schemas import INPUT_TOPICS, TICK_DDL, TICK_PARTITIONS
-from marketlake.session import configure
+from marketlake.session import configure, make_dir, materialize
 
 MESSAGE_DDL = "topic STRING, key STRING, value STRING"
 COMPACT_SIZE = "256MB"
@@ -84,3 +84,27 @@ def compact_ticks(
     if dates is not None:
         ticks = ticks.where(F.col("date").isin(*dates))
     write_ticks(ticks, target, mode="overwrite")
+
+
+def compact_changed(spark: SparkSession, root: str, target: str, file_size: str = COMPACT_SIZE) -> DataFrame:
+    """Bring a compacted copy of an archive up to date; only folders that hold more than the copy are rewritten.
+
+    The archive only grows, so a folder (source, date, hour) has changed if its number of rows has, which the
+    files' footers tell without reading a column; rows that arrive while this runs are found by the next
+    run. Rows are sorted by (ident, ts) within a file, so that a filter on ident skips row groups. Returns the
+    folders rewritten, with their rows before and after.
+    """
+    own = configure(spark.newSession())
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", file_size)
+    own.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    folder = list(TICK_PARTITIONS)
+    held = read_ticks(own, make_dir(own, target)).groupBy(folder).agg(F.count(F.lit(1)).alias("n_before"))
+    there = read_ticks(own, root).groupBy(folder).agg(F.count(F.lit(1)).alias("n_after"))
+    changed = materialize(
+        there.join(held, folder, "left").fillna(0, "n_before").where("n_after <> n_before")
+    )
+    if not changed.isEmpty():
+        ticks = read_ticks(own, root).join(changed.select(folder), folder, "left_semi").select(read_ticks(own, root).columns)
+        spread = ticks.hint("rebalance", *folder).sortWithinPartitions(*folder, "ident", "ts")
+        spread.write.mode("overwrite").partitionBy(*folder).option("partitionOverwriteMode", "dynamic").parquet(target)
+    return changed

@@ -181,6 +181,39 @@ def test_compaction_replaces_only_its_dates(spark, tmp_path):
     assert files(target) == 8 < files(tmp_path / "small")
 
 
+def test_compaction_rewrites_changed_folders_only(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from marketlake.sources.ticks import compact_changed, read_ticks, write_ticks
+
+    def ticks(day, low, high):
+        return spark.range(low, high).selectExpr(
+            "'aggTrade' AS type", "concat('k', id % 7) AS ident", "'BTC' AS asset", "'BTCUSDT' AS series",
+            f"timestamp('{day} 00:00:00') + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "100.0D AS price", "100.0D AS price_bucket",
+            "CAST(NULL AS STRING) AS market_slug", "CAST(NULL AS STRING) AS market_outcome",
+            "'binance' AS source", f"'{day}' AS date", "0 AS hour",
+        )
+
+    root, target = str(tmp_path / "small"), tmp_path / "compact"
+    for low in (0, 40, 80):
+        for day in ("2024-01-01", "2024-01-02"):
+            write_ticks(ticks(day, low, low + 40), root)
+    files = lambda: {f: f.stat().st_mtime_ns for f in target.rglob("*.parquet")}
+    assert compact_changed(spark, root, str(target)).count() == 2
+    first = files()
+    assert len(first) == 2
+    assert compact_changed(spark, root, str(target)).count() == 0 and files() == first
+    write_ticks(ticks("2024-01-02", 120, 150), root)
+    (row,) = compact_changed(spark, root, str(target)).collect()
+    assert (row["date"], row["n_before"], row["n_after"]) == ("2024-01-02", 120, 150)
+    kept = [f for f in files() if f in first]
+    assert len(kept) == 1 and "date=2024-01-01" in str(kept[0])
+    assert sorted(read_ticks(spark, str(target)).collect()) == sorted(read_ticks(spark, root).collect())
+    for f in files():
+        table = pq.ParquetFile(f).read(columns=["ident", "ts"]).to_pylist()
+        assert table == sorted(table, key=lambda r: (r["ident"], r["ts"]))
+
+
 def test_top_markets_looks_at_all(spark):
     from marketlake.sources.catalogue import top_markets
 
