@@ -57,8 +57,13 @@ def contaminated(text, items, window=10):
     return len(words), len(hit), sorted(ids)
 
 
-def poisson_count(doc_id, mean, seed="mix"):
-    u = int(hashlib.md5(f"{seed}|{doc_id}|0".encode()).hexdigest()[:13], 16) / 2.0**52
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def poisson_count(doc_id, text, mean, ordinal=0, seed="mix"):
+    key = md5(f"{'' if doc_id is None else doc_id}|{md5(text or '')}")
+    u = int(md5(f"{seed}|{key}|{ordinal}|0")[:13], 16) / 2.0**52
     p = c = math.exp(-mean)
     k = 0
     while c <= u and k < 300:

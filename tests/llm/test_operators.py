@@ -149,8 +149,10 @@ def test_mixing(spark, docs):
     assert got.columns == [*docs.columns, "copy_no", "shuffle_key"]
     counts = pd.Series([(r.doc_id, r.copy_no) for r in got.collect()]).value_counts()
     wanted: dict = {}
+    seen: dict = {}
     for r in rows:
-        for c in range(brute.poisson_count(r.doc_id, mean[r.source or ""])):
+        place = seen[r.doc_id, r.text or ""] = seen.get((r.doc_id, r.text or ""), -1) + 1
+        for c in range(brute.poisson_count(r.doc_id, r.text, mean[r.source or ""], place)):
             wanted[(r.doc_id, c)] = wanted.get((r.doc_id, c), 0) + 1
     assert counts.to_dict() == wanted
     targets = spark.createDataFrame([("s1", 3.0), ("s2", 1.0)], "source string, weight double")
@@ -160,6 +162,30 @@ def test_mixing(spark, docs):
     assert 0.9 < sum(by.values()) / (200 * len(rows)) < 1.1
 
 
+def test_mixing_draws_each_row_for_itself(spark):
+    """A third without id, a third equal in all, clashing names: nothing is lost and no task holds the group."""
+    docs = spark.range(9000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id",
+        "CASE WHEN id % 3 = 1 THEN 'same' ELSE 'text ' || id END AS text",
+        "'s' AS source", "id AS name", "id AS count", "'x' AS parts", "1 AS steps", "id AS row", "id AS key", "5 AS copy_no",
+    )
+    docs = mixing.materialize(docs)
+    got = mixing.materialize(mixing.mix(docs, total=2.0))
+    assert got.columns == [*docs.columns, "copy_no_", "shuffle_key"]
+    assert got.where("copy_no = 5 AND name = count").count() == got.count()
+    assert got.select("shuffle_key").distinct().count() == got.count()
+    per_row = got.groupBy("name").count()
+    for third in range(3):
+        n = per_row.where(f"name % 3 = {third}").select("count").toPandas()["count"]
+        # Poisson of mean 2: e**-2 of the rows get no copy
+        assert abs(len(n) / 3000 - 0.865) < 0.03 and abs(n.sum() / 3000 - 2) < 0.1
+    assert sorted(got.collect(), key=repr) == sorted(mixing.mix(docs, total=2.0).collect(), key=repr)
+    dealt = mixing.mix(docs, total=2.0).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(dealt) < 2 * sorted(dealt)[len(dealt) // 2]
+    none = spark.createDataFrame([("s", 0.0), ("s", 0.0)], "source string, weight double")
+    assert mixing.mix(docs, none).count() == 0
+
+
 def test_quality(spark, docs, labels):
     rows = collected(quality.classify(docs, labels))
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)

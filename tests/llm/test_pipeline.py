@@ -26,7 +26,7 @@ def test_pipeline(spark, sf):
     n = pd.Series([rows[i].source or "" for i in left]).value_counts()
     weight = np.sqrt(n)
     mean = len(left) * weight / weight.sum() / n
-    wanted = sorted((i, c) for i in left for c in range(brute.poisson_count(i, mean[rows[i].source or ""])))
+    wanted = sorted((i, c) for i in left for c in range(brute.poisson_count(i, rows[i].text, mean[rows[i].source or ""])))
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == [*docs.columns, "copy_no"]
     found = got.collect()
