@@ -31,7 +31,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents, so that sources approach their target weights; adds copy_no."""
-    return mixing.mix(docs).drop("shuffle_key")
+    mixed = mixing.mix(docs)
+    return mixed.drop(mixed.columns[-1])  # the shuffle key, whatever its name
 
 
 STAGES = [
