@@ -115,12 +115,14 @@ def _kept_times(times: DataFrame, interval: int, length: int) -> DataFrame:
     return times.join(entries, ["_k", "_c"]).groupBy("_k", "_c").applyInPandas(walk, "_k string, _t long")
 
 
-def minute_bars(points: DataFrame, grains: Grains = Grains(), keys: tuple[str, ...] = ("series",)) -> DataFrame:
+def minute_bars(
+    points: DataFrame, grains: Grains = Grains(), keys: tuple[str, ...] = ("series",), opened: bool = True
+) -> DataFrame:
     """Bars at minute boundaries, closed by the first point of the new minute.
 
-    A boundary gets a bar only if some point lies in the minute it opens and both values are
-    fresh at the boundary (at most `spot_stale` / `prob_stale` old). Each point is offered to
-    the boundaries it can serve, so this is one aggregate with no join.
+    A boundary gets a bar only if both values are fresh there (at most `spot_stale` / `prob_stale`
+    old) and, if `opened`, some point lies in the minute it opens. Each point is offered to the
+    boundaries it can serve, so this is one aggregate with no join.
     """
     step = grains.minute
     own = align_down("sec", step)
@@ -163,7 +165,7 @@ def minute_bars(points: DataFrame, grains: Grains = Grains(), keys: tuple[str, .
             F.max_by(prob, fresh_prob).alias("poly_p_up"),
             F.max(opens.cast("int")).alias("_opened"),
         )
-        .where((F.col("_opened") == 1) & F.col("btc_mid").isNotNull() & F.col("poly_p_up").isNotNull())
+        .where(((F.col("_opened") == 1) | F.lit(not opened)) & F.col("btc_mid").isNotNull() & F.col("poly_p_up").isNotNull())
         .drop("_opened")
     )
 

@@ -388,6 +388,18 @@ def _sql(ctes: str, body: str) -> str:
     return f"WITH {EVENTS}{ctes}\n{body}"
 
 
+def _timed(keys: str) -> str:
+    """Bars of every boundary up to the watermark at which the newest point is fresh."""
+    return f""",
+wm AS (SELECT (max(sec) - 3600) // 3600 * 3600 AS passed FROM pts),
+daily AS (SELECT *, sec // 86400 AS day, (sec + 3599) // 3600 * 3600 AS minute FROM pts),
+grid AS (SELECT {keys}, unnest(generate_series(min(minute), (SELECT passed FROM wm), 3600)) AS t FROM daily GROUP BY {keys}),
+closed AS (
+  SELECT {", ".join(f"grid.{k}" for k in keys.split(", "))}, t, mid, prob
+  FROM grid ASOF JOIN daily ON {" AND ".join(f"grid.{k} = daily.{k}" for k in keys.split(", "))} AND grid.t >= daily.sec
+  WHERE t - sec <= 21600)"""
+
+
 def _iso(seconds: str) -> str:
     return f"strftime(make_timestamp(CAST({seconds} AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')"
 
@@ -700,6 +712,17 @@ SELECT * FROM ({sliding_body}) WHERE epoch_us(window_end) <= (SELECT w FROM wm)"
     own_body = filled_body.replace("0.0005::DOUBLE", "0.0005").replace("0.0005", own_sigma)
     out["stream_forecast_sigmas"] = _sql(FILLED + closed.format(delay=3600000000), f"""
 {own_body} WHERE (sec + 600) * 1000000 <= (SELECT w FROM wm)""")
+    out["stream_minute_bars"] = _sql(BARS + _timed("series"), """
+SELECT series, t, round(mid, 6) AS btc_mid, round(prob, 6) AS poly_p_up FROM closed""")
+    out["stream_state_eviction"] = _sql(BARS + _timed("series, day"), """,
+bar_count AS (SELECT series, day, count(*) AS n_bars FROM closed GROUP BY ALL),
+held AS (
+  SELECT series, day, count(DISTINCT minute) FILTER (WHERE minute > passed) AS open_minutes,
+         coalesce(passed + 3600 - max(sec) FILTER (WHERE minute <= passed) <= 64800, false) AS carried
+  FROM daily, wm GROUP BY series, day, passed)
+SELECT series, day, coalesce(n_bars, 0) AS n_bars, open_minutes, carried
+FROM held LEFT JOIN bar_count USING (series, day)
+WHERE n_bars IS NOT NULL OR open_minutes > 0 OR carried""")
     out["stream_stats_topic"] = out["stream_windowed_stats"]
     out["stream_late_rows"] = out["stream_windowed_stats"]
     out["stream_update_mode"] = out["windowed_stats"]

@@ -32,7 +32,7 @@ from marketlake.session import configure, materialize, work_dir
 from marketlake.sources import catalogue, envelope, forecasts, frames, models, ticks as archive
 from marketlake.sources import shared_tables as bind
 from marketlake.sources.shared_tables import SLOW
-from marketlake.streaming import pipeline, state
+from marketlake.streaming import pipeline, state, timers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -958,6 +958,35 @@ def score_stream(spark, sf_dir):
     return _score_columns(_drained(spark, scored, "score"))
 
 
+def _point_stream(spark, sf_dir, base: str) -> DataFrame:
+    """The points of the scorer as a stream over a table."""
+    points = _score_points(spark, sf_dir)
+    points.write.parquet(f"{base}/points")
+    return spark.readStream.schema(points.schema).parquet(f"{base}/points")
+
+
+@query
+def stream_minute_bars(spark, sf_dir):
+    """Bars that the watermark (1 hour) has closed, also of minutes after which no point came."""
+    stream = _point_stream(spark, sf_dir, work_dir(spark, "bars"))
+    return _drained(spark, timers.timed_bars(stream, SLOW), "bars").withColumns(r6("btc_mid", "poly_p_up"))
+
+
+@query
+def stream_state_eviction(spark, sf_dir):
+    """Bars per series and day, and what each key still holds at the end: days gone by hold nothing."""
+    base = work_dir(spark, "eviction")
+    stream = _point_stream(spark, sf_dir, base).withColumn("day", F.floor(F.col("sec") / 86_400))
+    bars = timers.timed_bars(stream, SLOW, ("series", "day"))
+    sink = {"format": "parquet", "path": f"{base}/out"}
+    pipeline.drain([pipeline.run_stream(bars, "eviction", f"{base}/checkpoint", sink, trigger=pipeline.DRAIN)])
+    held = timers.open_state(spark, f"{base}/checkpoint/eviction").select(
+        "key.series", "key.day", "open_minutes", F.col("passed").isNotNull().alias("carried")
+    )
+    closed = spark.read.schema(bars.schema).parquet(f"{base}/out").groupBy("series", "day").agg(F.count("*").alias("n_bars"))
+    return closed.join(held, ["series", "day"], "full").fillna(0, ["n_bars", "open_minutes"]).fillna(False, ["carried"])
+
+
 @query
 def stream_stats_topic(spark, sf_dir):
     """Statistics through their JSON topic, read back and typed."""

@@ -32,7 +32,7 @@ DAY_MS = 86_400_000
 LATENESS = "1 hour"
 
 
-def _on_event_time(points: DataFrame, seconds: str, lateness: str) -> DataFrame:
+def on_event_time(points: DataFrame, seconds: str, lateness: str) -> DataFrame:
     """State is evicted by event time: a processing-time timeout would keep a draining query alive."""
     return points.withColumn("event_time", F.col(seconds).cast("timestamp")).withWatermark(
         "event_time", lateness
@@ -111,7 +111,7 @@ def carry_forward_stream(
 
     rows = points.select("asset", "ts", "btc_mid", "poly_prob")
     filled = (
-        _on_event_time(with_sigma(rows, sigmas, "asset", sigma_log), "ts", lateness)
+        on_event_time(with_sigma(rows, sigmas, "asset", sigma_log), "ts", lateness)
         .groupBy("asset")
         .applyInPandasWithState(
             fill,
@@ -296,7 +296,7 @@ def score_stream(
         )
 
     vectors = (
-        _on_event_time(points, "sec", lateness)
+        on_event_time(points, "sec", lateness)
         .join(usable, "series")
         .groupBy("series")
         .applyInPandasWithState(

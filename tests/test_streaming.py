@@ -11,7 +11,7 @@ from marketlake.operators.resample import Grains
 from marketlake.schemas import TOPIC_FORECAST, TOPIC_STATS
 from marketlake.sources import envelope, forecasts
 from marketlake.sources.ticks import read_ticks, tick_source
-from marketlake.streaming import pipeline, state
+from marketlake.streaming import pipeline, state, timers
 from marketlake.streaming.pipeline import DRAIN, PipelineConfig
 
 START = 1_704_067_200
@@ -247,3 +247,41 @@ def test_backlog_in_several_micro_batches(spark, tmp_path, params):
         rows = spark.read.schema(scored.schema).parquet(sink["path"]).collect()
         results.append(sorted((r["ts_unix"], r["feature_mode"], round(r["log_return_pred"], 12)) for r in rows))
     assert results[0] == results[1] and len(results[0]) == len(points)
+
+
+def test_timed_bars_over_batches_and_a_restart(spark, tmp_path):
+    """Legs apart, gaps, NULLs, ties and late rows: the bars of the batch operator, and no state for silent keys."""
+    g = Grains(spot_stale=150, prob_stale=400)
+    rows = [
+        (f"s{k}", START + t, 100.0 + t if t % 3 else None, 0.4 if t % 70 == k else None)
+        for k in range(3)
+        for t in [*range(k, 900, 7), *range(2500, 2600 + 400 * k, 11)]
+    ]
+    cuts = (START + 500, START + 905, START + 2700, START + 10_000)
+    schema = "series string, sec long, btc_mid double, poly_p_up double"
+    late = [("s0", START + 3, 1.0, 0.9)]  # behind the watermark by then
+    start = START
+    for i, end in enumerate(cuts):
+        part = [r for r in rows if start <= r[1] < end]
+        spark.createDataFrame(part + (late if i == 2 else []), schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        sink = {"format": "parquet", "path": f"{tmp_path}/out"}
+        bars = timers.timed_bars(stream, g, lateness="30 seconds")
+        pipeline.drain([pipeline.run_stream(bars, "bars", f"{tmp_path}/checkpoint", sink, trigger=DRAIN)])
+        start = end
+    last = max(r[1] for r in rows) - 30
+    wanted = features.minute_bars(spark.createDataFrame(rows, schema), g, opened=False).where(f"t <= {last}")
+    got = spark.read.parquet(f"{tmp_path}/out").select(wanted.columns)
+    assert sorted(got.collect()) == sorted(wanted.collect()) and got.count() > 40
+    held = {r["key"]["series"] for r in timers.open_state(spark, f"{tmp_path}/checkpoint/bars").collect()}
+    newest = {k: max(r[1] for r in rows if r[0] == k) for k in ("s0", "s1", "s2")}
+    assert held == {k for k, sec in newest.items() if last // 60 * 60 + 60 - sec <= 400}
+
+
+def test_minutes_close_in_order():
+    g = Grains(spot_stale=100, prob_stale=200)
+    minutes = [(60, (1.0, 55, 0.5, 50)), (120, (2.0, 110, None, None)), (6000, (3.0, 5999, 0.7, 6000))]
+    bars, legs, at = timers.close_minutes(timers.NOTHING, 0, minutes, 6100, g)
+    assert bars == [(60, 1.0, 0.5), (120, 2.0, 0.5), (180, 2.0, 0.5), (6000, 3.0, 0.7), (6060, 3.0, 0.7)]
+    assert legs == (3.0, 5999, 0.7, 6000) and at == 6060
+    assert timers.close_minutes(legs, at, [], 60_000, g) == ([], timers.NOTHING, 6180)
