@@ -110,8 +110,11 @@ def stream(spark: SparkSession, args: argparse.Namespace) -> None:
         sigma_log=default,
         sigmas=sigmas,
         prob_stale=args.prob_stale,
+        spot_stale=args.spot_stale,
         lateness=args.lateness,
         console=args.console,
+        salts=args.salts,
+        files_per_trigger=args.files_per_trigger,
     )
     bound = "maxOffsetsPerTrigger" if args.source == "kafka" else "maxFilesPerTrigger"
     source = ticks.tick_source(spark, args.source, args.location, options={bound: str(args.max_per_trigger)})
@@ -137,7 +140,10 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--forecast-watermark", default="10 seconds")
     s.add_argument("--slug-suffix", default="-updown-5m-")
     s.add_argument("--prob-stale", type=int, default=1800)
+    s.add_argument("--spot-stale", type=int)
     s.add_argument("--sigma-log", type=float)
+    s.add_argument("--salts", type=int, default=4, help="tasks over which an hour of the archive is spread")
+    s.add_argument("--files-per-trigger", type=int, default=1000, help="archived files in one micro-batch of the later queries")
     s.add_argument("--lateness", default=state.LATENESS)
     s.add_argument("--max-per-trigger", type=int, default=1_000_000, help="offsets or files in one micro-batch")
     s.add_argument("--model")

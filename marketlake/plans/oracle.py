@@ -723,6 +723,18 @@ held AS (
 SELECT series, day, coalesce(n_bars, 0) AS n_bars, open_minutes, carried
 FROM held LEFT JOIN bar_count USING (series, day)
 WHERE n_bars IS NOT NULL OR open_minutes > 0 OR carried""")
+    out["stream_throttle"] = out["throttle"] + (
+        " WHERE sec * 1000000 <= (SELECT max(us) // 1000000 * 1000000 - 3600000000 FROM ticks WHERE series IS NOT NULL)"
+    )
+    out["live_pipeline"] = _sql(FILLED + closed.format(delay=0), f""",
+late(sink, delay) AS (VALUES ('stats', 7200000000), ('forecast_points', 3600000000), ('forecast', 3600000000))
+SELECT 'ticks' AS sink, source AS key, count(*) AS n FROM ticks GROUP BY ALL
+UNION ALL
+SELECT sink, series, count(*) FROM ({windowed_body}), wm JOIN late ON sink = 'stats'
+WHERE epoch_us(window_end) <= w - delay GROUP BY ALL
+UNION ALL
+SELECT sink, asset, count(*) FROM filled, wm JOIN late ON sink <> 'stats'
+WHERE (sec + 600) * 1000000 <= w - delay GROUP BY ALL""")
     out["stream_stats_topic"] = out["stream_windowed_stats"]
     out["stream_late_rows"] = out["stream_windowed_stats"]
     out["stream_update_mode"] = out["windowed_stats"]

@@ -27,7 +27,7 @@ from marketlake.functions.pricing import (
 from marketlake.functions.times import bucket, rolling_slug, slug_end, slug_start
 from marketlake.operators import arma, asof, features, metrics, ordered, resample, score, stats
 from marketlake.operators.normalize import normalize_ticks
-from marketlake.schemas import EXOG, TARGET, TOPIC_STATS
+from marketlake.schemas import EXOG, TARGET, TOPIC_FORECAST, TOPIC_STATS
 from marketlake.session import configure, materialize, work_dir
 from marketlake.sources import catalogue, envelope, forecasts, frames, models, ticks as archive
 from marketlake.sources import shared_tables as bind
@@ -972,6 +972,40 @@ def stream_minute_bars(spark, sf_dir):
     return _drained(spark, timers.timed_bars(stream, SLOW), "bars").withColumns(r6("btc_mid", "poly_p_up"))
 
 
+@query
+def stream_throttle(spark, sf_dir):
+    """One tick of a series per hour at most, as far as the watermark (1 hour) has come."""
+    rows = _stream_ticks(spark, sf_dir).select("series", bucket("ts", 1).alias("sec"), "price")
+    kept = timers.throttle_stream(rows.where(F.col("series").isNotNull()), ["series"], "sec", 3600)
+    return _drained(spark, kept, "throttle").withColumns(r6("price"))
+
+
+@query
+def live_pipeline(spark, sf_dir):
+    """All queries of the live pipeline side by side over the messages; rows per sink and key."""
+    base = work_dir(spark, "live")
+    config = pipeline.PipelineConfig(
+        output=base, checkpoint=f"{base}/checkpoint", window="1 hour", watermark="2 hours", forecast_grain="10 minutes",
+        forecast_watermark="1 hour", sigma_log=SIGMA, prob_stale=PROB_STALE, spot_stale=SPOT_STALE, salts=1,
+        # the archive of one batch has a file per source and hour; all of them are one batch of the later queries
+        files_per_trigger=1_000_000, trigger={"processingTime": "1 second"},
+    )
+    running = pipeline.run_pipeline(bind.bind_messages(bind.stream_events(spark, sf_dir)), config)
+    try:
+        for q in running:  # in the order of the hops
+            q.processAllAvailable()
+    finally:
+        for q in running:
+            q.stop()
+    ticks = archive.read_ticks(spark, f"{base}/ticks").select(F.lit("ticks").alias("sink"), F.col("source").alias("key"))
+    points = spark.read.schema(pipeline.POINTS_DDL).parquet(f"{base}/forecast_points")
+    found = ticks.unionByName(points.select(F.lit("forecast_points").alias("sink"), F.col("asset").alias("key")))
+    for sink, topic in (("stats", TOPIC_STATS), ("forecast", TOPIC_FORECAST)):
+        messages = spark.read.schema("key STRING, value STRING").json(f"{base}/{topic}")
+        found = found.unionByName(messages.select(F.lit(sink).alias("sink"), "key"))
+    return found.groupBy("sink", "key").agg(F.count("*").alias("n"))
+
+
 @query
 def stream_state_eviction(spark, sf_dir):
     """Bars per series and day, and what each key still holds at the end: days gone by hold nothing."""

@@ -1,4 +1,4 @@
-"""Bars closed by event-time timers, with one state entry per open minute.
+"""Work that waits for the watermark: bars and throttled rows released by event-time timers.
 
 `minute_bars` waits for the first point of the next minute before it closes a bar. Here the watermark
 closes it: a minute that has points holds one entry of a map state and one timer, an append touches that
@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from marketlake.operators.resample import Grains
-from marketlake.streaming.state import LATENESS, on_event_time
+from marketlake.streaming.state import LATENESS, on_event_time, spaced
 
 LEGS_DDL = "mid double, mid_sec bigint, prob double, prob_sec bigint"
 #: names of the two states, by which `open_state` finds them
@@ -143,3 +144,69 @@ def open_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     minutes = read(OPEN).select("key", F.lit(1).alias("n"), F.lit(None).cast("long").alias("passed"))
     carried = read(CARRIED).select("key", F.lit(0).alias("n"), F.col("value.passed").alias("passed"))
     return minutes.unionAll(carried).groupBy("key").agg(F.sum("n").alias("open_minutes"), F.max("passed").alias("passed"))
+
+
+class _Throttle(StatefulProcessor):
+    def __init__(self, keys: list[str], t: str, columns: list[str], ddl: str, interval: int):
+        self.t, self.columns, self.ddl, self.interval = t, columns, ddl, interval
+        self.row = Row(*keys, t, *columns)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "t bigint", self.ddl)
+        self.last = handle.getValueState("last", "t bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best: dict[int, tuple] = {}
+        for row in rows:
+            t, values = int(row[self.t]), tuple(row[c] for c in self.columns)
+            best[t] = min(best.get(t, values), values, key=in_column_order)
+        for t, values in best.items():
+            if self.waiting.containsKey((t,)):
+                values = min(tuple(self.waiting.getValue((t,))), values, key=in_column_order)
+            else:
+                self.handle.registerTimer(t * 1000 - 1)
+            self.waiting.updateValue((t,), values)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() // 1000
+        due = sorted(int(k[0]) for k in self.waiting.keys() if k[0] <= passed)
+        last = int(self.last.get()[0]) if self.last.exists() else -(2**60)
+        kept = [due[i] for i in spaced(np.array(due, dtype="int64"), last, self.interval)]
+        out = [self.row(*key, t, *self.waiting.getValue((t,))) for t in kept]
+        for t in due:
+            self.waiting.removeKey((t,))
+        if kept:
+            last = kept[-1]
+        if last + self.interval > passed:  # it may still hold a row back
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.interval) * 1000 - 1)
+        else:
+            self.last.clear()
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def in_column_order(values: tuple) -> tuple:
+    """Order of structs: NULL first, NaN last."""
+    return tuple((v is not None, v != v, 0 if v is None else v) for v in values)
+
+
+def throttle_stream(
+    rows: DataFrame, keys: list[str], t: str, interval: int = 1, lateness: str = LATENESS
+) -> DataFrame:
+    """Streaming form of `throttle`: the same rows, each released once the watermark has passed its second.
+
+    A second that waits holds one entry, whatever its rows; the last row kept is held for `interval`
+    seconds. Repeated and late rows therefore change nothing, in whatever order rows arrive.
+    """
+    columns = [c for c in rows.columns if c not in keys and c != t]
+    of = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields}
+    ddl = ", ".join(of[c] for c in columns)
+    timed = on_event_time(rows.withColumn(t, F.col(t).cast("bigint")), t, lateness)
+    schema = ", ".join([*[of[k] for k in keys], f"`{t}` bigint", ddl])
+    work = _Throttle(keys, t, columns, ddl, interval)
+    return timed.groupBy(*keys).transformWithState(work, schema, "append", "eventTime")
