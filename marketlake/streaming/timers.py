@@ -1,10 +1,10 @@
 """Work that waits for the watermark: bars and throttled rows released by event-time timers.
 
 `minute_bars` waits for the first point of the next minute before it closes a bar. Here the watermark
-closes it: a minute that has points holds one entry of a map state and one timer, an append touches that
-entry alone, and a key that goes silent still gets its bars, as long as its values are fresh. Once no
-value can serve a later boundary the key holds no state at all, so state follows the keys that are live
-and not those ever seen.
+closes it: a minute that has points holds one entry of a map state, an append touches that entry alone, and
+a key that goes silent still gets its bars, as long as its values are fresh. Once no value can serve a later
+boundary the key holds no state at all, so state follows the keys that are live and not those ever seen.
+A key has one timer, at the first time at which it has something to release.
 """
 
 from __future__ import annotations
@@ -63,6 +63,26 @@ def close_minutes(
         at = t
 
 
+def wake_at(handle, t: int) -> None:
+    """Have the key's one timer fire once the watermark lies behind second t, or earlier if it is set so."""
+    due = t * 1000 - 1  # a timer fires once the watermark lies beyond it
+    timers = list(handle.listTimers())
+    for later in timers:
+        if later > due:
+            handle.deleteTimer(later)
+    if not any(set_for <= due for set_for in timers):
+        handle.registerTimer(due)
+
+
+def drop(entries, due: list[int], n: int) -> None:
+    """Remove the entries that are due, of the n there are."""
+    if len(due) == n:
+        entries.clear()
+        return
+    for t in due:
+        entries.removeKey((t,))
+
+
 class _Bars(StatefulProcessor):
     def __init__(self, keys: list[str], grains: Grains):
         self.keys, self.grains = keys, grains
@@ -72,10 +92,6 @@ class _Bars(StatefulProcessor):
         self.open = handle.getMapState(OPEN, "t bigint", LEGS_DDL)
         self.carried = handle.getValueState(CARRIED, f"{LEGS_DDL}, passed bigint")
 
-    def wake_at(self, t: int) -> None:
-        # a timer fires once the watermark lies beyond it
-        self.handle.registerTimer(t * 1000 - 1)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         step = self.grains.minute
         new = pd.concat(list(rows))[["sec", "btc_mid", "poly_p_up"]].sort_values("sec", kind="stable")
@@ -84,13 +100,14 @@ class _Bars(StatefulProcessor):
         for leg in ("btc_mid", "poly_p_up"):
             last = new[new[leg].notna()].groupby(minute)[["sec", leg]].last()
             legs.append({int(t): (float(v), int(s)) for t, s, v in last.itertuples()})
-        for t in sorted({*legs[0], *legs[1]}):
+        minutes = sorted({*legs[0], *legs[1]})
+        waiting = self.open.exists()
+        for t in minutes:
             seen = (*legs[0].get(t, NOTHING[:2]), *legs[1].get(t, NOTHING[:2]))
-            if self.open.containsKey((t,)):
-                seen = newer(tuple(self.open.getValue((t,))), seen)
-            else:
-                self.wake_at(t)
-            self.open.updateValue((t,), seen)
+            known = self.open.getValue((t,)) if waiting else None
+            self.open.updateValue((t,), seen if known is None else newer(tuple(known), seen))
+        if minutes:
+            wake_at(self.handle, minutes[0])
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -100,8 +117,7 @@ class _Bars(StatefulProcessor):
         due = [m for m in minutes if m[0] <= until]
         *legs, at = self.carried.get() if self.carried.exists() else (*NOTHING, due[0][0] - step if due else until)
         bars, legs, at = close_minutes(tuple(legs), at, due, until, self.grains)
-        for t, _ in due:
-            self.open.removeKey((t,))
+        drop(self.open, [t for t, _ in due], len(minutes))
         waiting = [t for t, _ in minutes[len(due) : len(due) + 1]]
         if any(fresh(legs, at + step, self.grains)):
             self.carried.update((*legs, at))
@@ -109,7 +125,7 @@ class _Bars(StatefulProcessor):
         else:
             self.carried.clear()
         if waiting:
-            self.wake_at(min(waiting))
+            self.handle.registerTimer(min(waiting) * 1000 - 1)
         if bars:
             named = {k: [v] * len(bars) for k, v in zip(self.keys, key)}
             t, mid, prob = zip(*bars)
@@ -161,29 +177,33 @@ class _Throttle(StatefulProcessor):
         for row in rows:
             t, values = int(row[self.t]), tuple(row[c] for c in self.columns)
             best[t] = min(best.get(t, values), values, key=in_column_order)
+        waiting = self.waiting.exists()
         for t, values in best.items():
-            if self.waiting.containsKey((t,)):
-                values = min(tuple(self.waiting.getValue((t,))), values, key=in_column_order)
-            else:
-                self.handle.registerTimer(t * 1000 - 1)
+            known = self.waiting.getValue((t,)) if waiting else None
+            if known is not None:
+                values = min(tuple(known), values, key=in_column_order)
             self.waiting.updateValue((t,), values)
+        wake_at(self.handle, min(best))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() // 1000
-        due = sorted(int(k[0]) for k in self.waiting.keys() if k[0] <= passed)
+        seconds = sorted(int(k[0]) for k in self.waiting.keys())
+        due = [t for t in seconds if t <= passed]
         last = int(self.last.get()[0]) if self.last.exists() else -(2**60)
         kept = [due[i] for i in spaced(np.array(due, dtype="int64"), last, self.interval)]
         out = [self.row(*key, t, *self.waiting.getValue((t,))) for t in kept]
-        for t in due:
-            self.waiting.removeKey((t,))
+        drop(self.waiting, due, len(seconds))
         if kept:
             last = kept[-1]
+        later = seconds[len(due) : len(due) + 1]
         if last + self.interval > passed:  # it may still hold a row back
             self.last.update((last,))
-            self.handle.registerTimer((last + self.interval) * 1000 - 1)
+            later.append(last + self.interval)
         else:
             self.last.clear()
+        if later:
+            self.handle.registerTimer(min(later) * 1000 - 1)
         return iter(out)
 
     def close(self) -> None:
