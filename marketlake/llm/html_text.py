@@ -1,24 +1,31 @@
 """Main text of web pages by removal of site templates.
 
-Each page is parsed to a tree of elements. For every element that can be boilerplate, the hash of
-its subtree (name, class, text, children) is emitted; Spark counts on how many different articles
-of a host each hash occurs. Subtrees that recur on many of them are the host's template and are
-deleted, together with elements whose very name says that they are no article text (nav, footer,
-aside, form, script, ...) or class, id or role (a whole word of it). html, body, main and article
-are never deleted for a class, nor is what stands around the chosen article. What remains of the
-article element, or of main, or else of the body, is the text.
+Each page is parsed to a tree of elements. For every element of its article that can be
+boilerplate, the hash of the subtree (name, class, text, children) is emitted; Spark counts on how
+many different articles of a site section (host and first part of the path) each hash occurs.
+Subtrees that occur on LEAST_ARTICLES or more are the section's template and are deleted, however
+large the section or its host is: pages of other sections change nothing.
+
+Deleted besides are elements whose very name says that they are no article text (nav, footer, aside,
+form, script, ..., header included), and those named so by class, id or role: `no_text` reads each
+name as words, so that post-comments, comment-thread, cookie-banner and site-footer go while
+has-comments and content-sidebar stay. html, body, main and article are never deleted for a class, nor
+is what stands around the chosen article, nor a div like article-header that holds the article's h1;
+an article is not emptied by class words other than those of comments. What remains of the article
+element, or of main, or else of the body, is the text.
 
 Pages that copy one article count once, so that copies do not turn their own article into a
 template. Inside an article, only containers (div, section, lists, ...) can be deleted as
-templates; its paragraphs and headings always stay, however often they recur. A host's templates
-are at most (elements per page) / (least share) many.
+templates; its paragraphs and headings always stay, however often they recur. A section of fewer than
+LEAST_ARTICLES different articles shows no templates; only names and classes speak there.
 
-Pages are parsed twice, once to count and once to extract; nothing of a page but hashes is
-shuffled in between. A host that holds a third of all pages is counted with partial aggregation.
+Pages are parsed twice, once to count and once to extract. Counts are aggregated before they are
+shuffled; a page gets back only those of its own subtrees that are templates, by the digest of its
+markup, so no list of a whole site is sent with a page.
 
 Edge cases: NULL or empty html gives an empty text. Markup cut off at the end of a page is dropped.
-A NULL url is a host of its own. Pages without an article use main or the body. Repeated rows are
-returned as often as they occur. Extra columns are ignored.
+Pages without a url are a section of their own. Pages without an article use main or the body.
+Repeated rows are returned as often as they occur. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from marketlake.llm.common import LOOKUP_ROWS, SALTS, materialize, table
+from marketlake.llm.common import Scratch, materialize, table
 
-#: A template recurs on so many different articles of a host, and on this share of them.
+#: A template recurs on so many different articles of a section.
 LEAST_ARTICLES = 5
-LEAST_SHARE = 0.05
+#: Host and first part of the path.
+SITE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*(?:/[^/?#]*(?=/))?)"
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -62,8 +70,18 @@ NO_TEXT_WORDS = frozenset(
     signup popup modal overlay share sharing social related promo promotion sponsored sponsor widget toolbar search
     login contentinfo complementary""".split()
 )
-#: Endings after which a word of a class still names the same thing (ad-box).
-BOXES = frozenset("box slot unit".split())
+#: Words of these always name reader comments.
+COMMENT_WORDS = frozenset("comment comments disqus".split())
+#: Endings after which a name still names the same thing (ad-box, comments-list, related-posts).
+BOXES = frozenset(
+    """box slot unit area list section block container wrap wrapper inner outer item items thread bar panel panels row
+    group message messages text form links link buttons button icons media posts articles stories holder region zone
+    top bottom left right desktop mobile""".split()
+)
+#: Words of a name that tells a state or a layout and not what the element is (has-comments, no-sidebar).
+STATES = frozenset("has no not with without is enabled disabled open closed count layout content".split())
+NAME_PART = re.compile(r"[a-z]+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements that hold the article; no class makes them anything else.
 HOLDERS = frozenset("html body main article".split())
 CONTAINERS = frozenset("div section ul ol dl table figure center details fieldset".split())
@@ -81,14 +99,16 @@ CLOSE_P = frozenset(
     """address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre
     section table ul""".split()
 )
+#: Elements that end the block before them even where they are deleted.
+BREAKS = CLOSE_P | CONTAINERS | frozenset("aside menu dialog".split())
 
 
 class Element:
     __slots__ = ("name", "label", "hidden", "marked", "parent", "inside", "blocks", "parts")
 
-    def __init__(self, name: str, label: str, hidden: bool, marked: bool, parent: Element | None):
+    def __init__(self, name: str, label: str, hidden: bool, marked: str, parent: Element | None):
         self.name, self.label, self.parent = name, label, parent
-        # no text by name or because it is not shown; no text by a word of its class
+        # no text by name or because it is not shown; the word of its class that says so, or ""
         self.hidden, self.marked = hidden, marked
         # article or main that this element is part of
         self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
@@ -96,28 +116,39 @@ class Element:
 
     @property
     def dropped(self) -> bool:
-        return self.hidden or self.marked
-
+        return self.hidden or self.marked != ""
 
-def no_text(word: str) -> bool:
-    """Whether a whole word of class, id or role names something other than article text."""
-    if word in NO_TEXT_WORDS:
-        return True
-    first, _, box = word.replace("_", "-").partition("-")
-    return first in NO_TEXT_WORDS and box in BOXES
 
+def no_text(name: str) -> str:
+    """The word by which a name (of a class, id or role) says that an element is no article text, or "".
 
-def attributes(text: str) -> tuple[str, bool, bool]:
-    """The element's label (class, id, role), whether it is not shown, and whether a word of the label names no article text."""
+    A name is its last word, but for endings like -list; words for comments tell at any place.
+    """
+    parts = NAME_PART.findall(HUMP.sub("-", name).lower())
+    if len(parts) > 1:
+        if not STATES.isdisjoint(parts):
+            return ""
+        for part in parts:
+            if part in COMMENT_WORDS:
+                return part
+        while len(parts) > 1 and parts[-1] in BOXES:
+            parts.pop()
+    return parts[-1] if parts and parts[-1] in NO_TEXT_WORDS else ""
+
+
+def attributes(text: str) -> tuple[str, bool, str]:
+    """The element's label (class, id, role), whether it is not shown, and the word of the label that names no article text."""
     if not text or text.isspace():
-        return "", False, False
-    label, hidden, marked = [], False, False
+        return "", False, ""
+    label, hidden, marked = [], False, ""
     for m in ATTRIBUTE.finditer(text):
         key = m.group(1).lower()
         value = m.group(2) or m.group(3) or m.group(4) or ""
         if key in ("class", "id", "role"):
             label.append(value)
-            marked = marked or any(map(no_text, value.lower().split()))
+            found = {no_text(name) for name in value.split()} - {""}
+            # of several, one for comments counts before others
+            marked = min(COMMENT_WORDS & found, default="") or marked or min(found, default="")
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             hidden = True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -127,7 +158,7 @@ def attributes(text: str) -> tuple[str, bool, bool]:
 
 def parse(html: str) -> Element:
     """The tree of a page; comments and declarations are left out, raw elements stay empty."""
-    root = Element("", "", False, False, None)
+    root = Element("", "", False, "", None)
     at, here = 0, root
     while True:
         m = TAG.search(html, at)
@@ -164,8 +195,14 @@ def parse(html: str) -> Element:
                 here = up
         tail = m.group(3).rstrip(">").rstrip("/")
         label, hidden, marked = attributes(tail)
-        new = Element(name, label, hidden or name in NO_TEXT, marked and name not in HOLDERS, here)
+        new = Element(name, label, hidden or name in NO_TEXT, "" if name in HOLDERS else marked, here)
         here.parts.append(new)
+        if name == "h1" and new.inside:  # the title of the article: what holds it is not the head of the site
+            up = here
+            while up.inside:
+                if up.marked == "header":
+                    up.marked = ""
+                up = up.parent
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
@@ -202,7 +239,7 @@ def outermost(root: Element, name: str, within_marked: bool) -> list[Element]:
             found.append(x)
         else:
             inner = (y for y in reversed(x.parts) if isinstance(y, Element))
-            stack.extend(y for y in inner if not (y.hidden if within_marked else y.dropped))
+            stack.extend(y for y in inner if not (y.hidden or y.marked in COMMENT_WORDS if within_marked else y.dropped))
     return found
 
 
@@ -225,11 +262,23 @@ def mains(root: Element) -> list[Element]:
     article if they hold more text than the rest of the page.
     """
     found = outermost(root, "article", False)
-    if found:
-        return found
-    rest = outermost(root, "main", False) or [root]
-    held = outermost(root, "article", True) or outermost(root, "main", True)
-    return held if held and n_chars(held) > n_chars(rest) else rest
+    if not found:
+        rest = outermost(root, "main", False) or [root]
+        held = outermost(root, "article", True) or outermost(root, "main", True)
+        found = held if held and n_chars(held) > n_chars(rest) else rest
+    if n_chars(found) == 0:
+        for x in inner(found):
+            x.marked = x.marked if x.marked in COMMENT_WORDS else ""
+    return found
+
+
+def inner(elements: list[Element]) -> Iterator[Element]:
+    """The elements and all those within them."""
+    stack = list(elements)
+    while stack:
+        x = stack.pop()
+        yield x
+        stack.extend(y for y in x.parts if isinstance(y, Element))
 
 
 def removable(x: Element) -> bool:
@@ -240,11 +289,15 @@ def removable(x: Element) -> bool:
 
 
 def subtrees(html: str) -> tuple[int, list[int]]:
-    """Hash of the page's article, and the distinct hashes of its removable subtrees."""
+    """Hash of the page's article, and the distinct hashes of its subtrees that a template may delete."""
     root = parse(html)
+    chosen = mains(root)
+    may_go = [x for x in inner(chosen) if removable(x) and not x.dropped]
+    if not may_go:
+        return 0, []
     found = hashes(root)
-    article = xxh64_intdigest(",".join(str(found[x]) for x in mains(root)).encode()) - (1 << 63)
-    return article, sorted({h for x, h in found.items() if removable(x)})
+    article = xxh64_intdigest(",".join(str(found[x]) for x in chosen).encode()) - (1 << 63)
+    return article, sorted({found[x] for x in may_go})
 
 
 def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
@@ -261,7 +314,8 @@ def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
         elif isinstance(x, str):
             blocks[-1].append(x)
         elif x.dropped or templates and removable(x) and found[x] in templates:
-            continue
+            if x.name in BREAKS:  # it stood between two blocks
+                blocks.append([])
         elif x.name in INLINE:
             stack.extend(reversed(x.parts))
         else:
@@ -272,31 +326,34 @@ def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
     return " ".join(t for t in texts if t)
 
 
-def with_host(pages: DataFrame) -> DataFrame:
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    return pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+def with_section(pages: DataFrame) -> DataFrame:
+    html = F.coalesce("html", F.lit(""))
+    section = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), SITE, 1))
+    return pages.select("page_id", "url", section.alias("section"), html.alias("html"), F.md5(html).alias("digest"))
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, subtree) of subtrees that recur on many different articles of a host."""
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """section, digest, article, subtrees of every different page that has subtrees a template may delete."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(host, *subtrees(html)) for host, html in zip(batch["host"], batch["html"])]
-            yield pd.DataFrame(out, columns=["host", "article", "subtrees"])
+            out = [(s, d, *subtrees(html)) for s, d, html in zip(batch["section"], batch["digest"], batch["html"])]
+            yield pd.DataFrame([x for x in out if x[3]], columns=["section", "digest", "article", "subtrees"])
 
-    seen = materialize(
-        with_host(pages).select("host", "html").mapInPandas(rows, "host string, article long, subtrees array<long>").distinct()
-    )
-    articles = seen.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
-    counts = (
-        seen.select("host", "article", F.explode("subtrees").alias("subtree"))
+    found = with_section(pages).select("section", "digest", "html")
+    return found.mapInPandas(rows, "section string, digest string, article long, subtrees array<long>").distinct()
+
+
+def site_templates(seen: DataFrame) -> DataFrame:
+    """(section, subtree) of subtrees that recur on different articles of a section."""
+    return (
+        seen.select("section", "article", F.explode("subtrees").alias("subtree"))
         .distinct()
-        .groupBy("host", "subtree")
+        .groupBy("section", "subtree")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(f"n >= {LEAST_ARTICLES}")
+        .select("section", "subtree")
     )
-    return counts.join(articles, "host").where(f"n >= {LEAST_SHARE} * articles").select("host", "subtree")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -310,15 +367,13 @@ def extract(pages: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
 
-    templates = materialize(site_templates(pages))
-    by_host = templates.groupBy("host").agg(F.array_sort(F.collect_list("subtree")).alias("templates"))
-    hosted = with_host(pages)
-    if templates.count() <= LOOKUP_ROWS:
-        known = hosted.join(F.broadcast(by_host), "host", "left")
-    else:
-        salted = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        known = hosted.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-        known = known.join(salted, ["host", "_salt"], "left")
+    seen = materialize(page_subtrees(pages))
+    own = seen.select("section", "digest", F.explode("subtrees").alias("subtree"))
+    hits = own.join(site_templates(seen), ["section", "subtree"]).groupBy("section", "digest").agg(
+        F.array_sort(F.collect_set("subtree")).alias("templates")
+    )
+    # written, so that the join below is planned by the measured size of the table
+    known = with_section(pages).join(Scratch(pages.sparkSession).keep(hits), ["section", "digest"], "left")
     return known.select("page_id", "url", "html", "templates").mapInPandas(rows, "page_id long, url string, text string")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from html.parser import HTMLParser
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -105,3 +106,43 @@ def joined(spans):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+class ArticleText(HTMLParser):
+    """Text of the article of a well-formed page; elements named in `gone` (tag or class) are left out."""
+
+    inline = {"a", "b", "i", "em", "strong", "span", "br", "img", "code", "script", "style"}
+    void = {"br", "img", "hr", "meta", "link", "input"}
+
+    def __init__(self, gone):
+        super().__init__(convert_charrefs=True)
+        self.gone, self.article, self.skipped, self.blocks = gone, 0, [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.inline:
+            self.blocks.append("")
+        if tag in self.void:
+            return
+        if self.skipped:
+            self.skipped.append(tag)
+        elif tag in self.gone or dict(attrs).get("class") in self.gone:
+            self.skipped = [tag]
+        self.article += tag == "article"
+
+    def handle_endtag(self, tag):
+        if self.skipped and self.skipped[-1] == tag:
+            self.skipped.pop()
+        self.article -= tag == "article"
+        if tag not in self.inline:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.article and not self.skipped:
+            self.blocks[-1] += data
+
+
+def article_text(html, gone=("nav", "header", "footer", "aside", "script", "style", "form")):
+    parser = ArticleText(gone)
+    parser.feed(html or "")
+    parser.close()
+    return " ".join(t for t in (" ".join(b.split()) for b in parser.blocks) if t)
