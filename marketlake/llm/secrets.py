@@ -15,7 +15,8 @@ found up to which decoys / candidates stays within FDR; beyond it nothing is rep
 exceeds CUTOFF, which random tokens exceed once in a thousand. Counts by class and value
 form a small table, whatever the corpus. Tokens that overlap a base match are not reported twice.
 
-All steps are DataFrame functions within one row, then one aggregate; text is scanned once.
+All steps are DataFrame functions within one row, then one aggregate. A text is searched once per
+pattern, and where a pattern occurs, cut and read once more for its matches.
 
 Edge cases: NULL or empty texts have no spans. Repeated rows are returned as often as they occur
 and count as often. Extra columns are ignored. An empty table gives an empty result.
@@ -54,33 +55,50 @@ ALPHABETS = (
 )
 ANY = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Matches whose ends are added up together; sums of so many go into the next level.
+BLOCK = 64
+
+
+def running(values: Column, start: Column) -> Column:
+    """For each value of an int array, start plus the sum of the values before it."""
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    none = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, none, step, lambda acc: acc["out"])
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, end, value) of all matches; value is the given group.
 
-    Between-match pieces and matches alternate, so starts are running sums of their lengths.
+    Pieces between matches and matches alternate, so starts are running sums of their lengths. An array
+    is copied with every entry appended, so sums run over blocks, and over the blocks' totals.
     """
-    pieces = F.zip_with(
-        F.split(text, pattern, -1),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda piece, hit: F.struct(F.length(piece).alias("gap"), F.length(hit).alias("size")),
-    )
-    both = F.zip_with(
-        pieces,
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
-        lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), v.alias("value")),
-    )
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def blocked(sized: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(sized), F.lit(1)), F.lit(BLOCK))
+        blocks = F.transform(first, lambda i: F.slice(sized, i, BLOCK))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+        def placed(block: Column, at: Column) -> Column:
+            ends = running(F.transform(block, lambda x: x["gap"] + x["size"]), at)
 
-    hits = F.filter(both, lambda x: x["size"].isNotNull())
-    found = F.aggregate(hits, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+            def span(x: Column, begin: Column) -> Column:
+                start = begin + x["gap"]
+                value = x["hit"] if group == 0 else F.regexp_extract(x["hit"], pattern, group)
+                return F.struct(start.alias("start"), (start + x["size"]).alias("end"), value.alias("value"))
+
+            return F.zip_with(block, ends, span)
+
+        return F.flatten(F.zip_with(blocks, running(totals, F.lit(0)), placed))
+
+    sized = F.zip_with(
+        F.slice(F.split(text, pattern, -1), 1, F.size(hits)),
+        hits,
+        lambda piece, hit: F.struct(F.length(piece).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")),
+    )
+    # through a one-element array, so that what is cut from the text is computed once
+    found = F.flatten(F.transform(F.array(sized), blocked))
+    return F.when(text.rlike(pattern), found).otherwise(F.array()).cast(SPAN)
 
 
 def alphabet_of(token: Column) -> Column:
