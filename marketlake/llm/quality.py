@@ -4,9 +4,11 @@ Evidence of a document: a logistic regression on cheap properties of its whole t
 training labels. Then three levels of grouped aggregation over all documents: the global rate of
 good documents, a posterior per host (source) shrunk toward it, and a posterior per path (source
 and lang, the finest site level that the table has) shrunk toward its host. A prior's strength is
-the method-of-moments estimate from the spread of the group means, so that sparse sites stay near
-the prior and large ones follow their own documents. A document's score is its own evidence moved
-by how far its path's posterior odds are from the global odds.
+the method-of-moments estimate from the spread of the group means around what they shrink to (hosts
+around the global rate, paths around their host), so that sparse sites stay near the prior and large
+ones follow their own documents. A document's score is its own evidence moved by how far the
+posterior odds of its path, without the document itself, are from the global odds. In the rate of its
+host and the global rate it counts like others.
 
 A document is rejected only if its score is below reject_below, which is set low: the cost of a
 lost clean document is higher than that of a kept poor one.
@@ -76,16 +78,24 @@ def logit(p: Column) -> Column:
     return F.log(p / (F.lit(1.0) - p))
 
 
-def strength(groups: DataFrame, rate: float) -> float:
-    """Prior strength from (n, p): m (1 - m) / variance between group means, less 1."""
+def strength(groups: DataFrame) -> float:
+    """Strength of the prior of groups (n, p) within larger ones (all_n, all_p): m (1 - m) / variance between groups, less 1.
+
+    Spread and sampling noise are those of deviations from a mean that the group is itself part of, so
+    a group that is all of the larger one tells nothing.
+    """
+    noise, rest = F.col("all_p") * (1 - F.col("all_p")), 1 - F.col("n") / F.col("all_n")
     r = groups.agg(
-        F.sum(F.col("n") * F.pow(F.col("p") - rate, 2)).alias("between"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")
+        F.sum(F.col("n") * F.pow(F.col("p") - F.col("all_p"), 2)).alias("spread"),
+        F.sum(noise * rest).alias("noise"),
+        F.sum(F.col("n") * rest).alias("weight"),
+        (F.sum(F.col("n") * noise) / F.sum("n")).alias("within"),
     ).first()
-    if not r["n"] or r["groups"] < 2:
+    if not r["weight"]:
         return STRENGTH[1]
     # what sampling alone spreads is not spread between groups
-    between = r["between"] / r["n"] - rate * (1 - rate) * r["groups"] / r["n"]
-    return float(np.clip(rate * (1 - rate) / max(between, 1e-9) - 1, *STRENGTH))
+    between = (r["spread"] - r["noise"]) / r["weight"]
+    return float(np.clip(r["within"] / max(between, 1e-9) - 1, *STRENGTH))
 
 
 def row_key() -> Column:
@@ -129,15 +139,17 @@ def scored_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     paths = materialize(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("good")))
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = float(np.clip(total["good"] / total["n"], 1e-6, 1 - 1e-6)) if total["n"] else 0.5
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("p", F.col("good") / F.col("n"))
-    k_host = strength(hosts, rate)
-    k_path = strength(paths.withColumn("p", F.col("good") / F.col("n")), rate)
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    mean = (F.col("good") / F.col("n")).alias("p")
+    k_host = strength(hosts.select("n", mean, F.lit(total["n"]).alias("all_n"), F.lit(rate).alias("all_p")))
+    whole = hosts.select("host", F.col("n").alias("all_n"), mean.alias("all_p"))
+    k_path = strength(paths.join(whole, "host").select("n", mean, "all_n", "all_p"))
     hosts = hosts.select("host", ((F.col("good") + k_host * rate) / (F.col("n") + k_host)).alias("host_rate"))
-    sites = paths.join(hosts, "host").select(
-        "path", "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate")
-    )
+    sites = paths.join(hosts, "host").select("path", "host_rate", F.col("n").alias("path_n"), F.col("good").alias("path_good"))
+    others = F.greatest(F.col("path_good") - good, F.lit(0.0)) + k_path * F.col("host_rate")
+    path_rate = F.least(others / (F.col("path_n") - 1 + k_path), F.lit(1 - 1e-9))
     moved = F.col("evidence") + logit(F.col("path_rate")) - F.lit(float(np.log(rate / (1 - rate))))
-    return lookup(scored, sites, "path", "row_key").select(
+    return lookup(scored, sites, "path", "row_key").withColumn("path_rate", path_rate).select(
         "doc_id",
         "row_key",
         "evidence",
