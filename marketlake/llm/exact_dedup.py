@@ -2,9 +2,10 @@
 
 Each input partition is a run of (digest, smallest doc_id, rows). Runs meet in binomial rounds: in
 round r the runs whose numbers agree above bit r * FAN_BITS merge, 2**FAN_BITS at a time. A merge
-keeps one entry per digest with the smallest identifier, after partial aggregation on the map
-side, so that a digest that holds a third of all rows travels once per task. No node of the tree
-is one task: its entries are spread by digest.
+keeps one entry per digest with the smallest identifier: both sides of every exchange sort their
+entries by digest and merge neighbours in one pass over the order, the sending side first, so that
+a digest that holds a third of all rows travels once per task. No node of the tree is one task: its
+entries are spread by digest.
 
 Merged entries agree in SHA-256, a second 64-bit hash and the length; entries that differ in any
 of them never merge, at any level.
@@ -47,15 +48,16 @@ def digest_runs(docs: DataFrame) -> DataFrame:
 
 def merge_tree(runs: DataFrame) -> DataFrame:
     """One entry per digest, by rounds of merges."""
-    merged = runs.select(*KEY, "run", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("rows"))
+    # a struct has no slot that a hash table could overwrite, so entries are sorted and merged in order
+    entry = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    merged = runs.select(*KEY, "run", entry.alias("least"), F.lit(1).cast("long").alias("rows"))
     for _ in range(RUN_BITS // FAN_BITS):
         merged = (
             merged.withColumn("run", F.shiftright("run", FAN_BITS))
             .groupBy("run", *KEY)
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("rows").alias("rows"))
-            .sortWithinPartitions("run", *KEY)
+            .agg(F.min("least").alias("least"), F.sum("rows").alias("rows"))
         )
-    return merged.drop("run")
+    return merged.select(*KEY, F.col("least.id").alias("keep_id"), "rows")
 
 
 def decided(docs: DataFrame) -> DataFrame:

@@ -109,3 +109,13 @@ def test_rows_without_or_with_repeated_ids_are_decided_each(spark):
     labels = spark.createDataFrame([(i, int(i % 2)) for i, _ in train], "doc_id long, quality int")
     kept = {(r.doc_id, r.text) for r in quality.keep_accepted(docs, labels).collect() if r.doc_id is None or r.doc_id == 50}
     assert kept == {(None, "plain good words that stay"), poor[2]}
+
+
+def test_dedup_merges_in_sorted_order(spark, capsys):
+    docs = spark.createDataFrame([(None, "a b"), (7, "a  b"), (3, "a\tb"), (None, "c"), (5, None), (5, "")], "doc_id long, text string")
+    merged = exact_dedup.merge_tree(exact_dedup.digest_runs(docs))
+    merged.explain()
+    plan = capsys.readouterr().out
+    rounds = exact_dedup.RUN_BITS // exact_dedup.FAN_BITS
+    assert "HashAggregate" not in plan and plan.count("SortAggregate") == 2 * rounds and plan.count("Exchange") == rounds
+    assert sorted(((r.keep_id, r["rows"]) for r in merged.collect()), key=str) == [(3, 3), (5, 2), (None, 1)]
