@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
@@ -1049,13 +1049,35 @@ def stream_ordered_output(spark, sf_dir):
             )
         ]
     )
-    files = spark.read.option("recursiveFileLookup", "true").text(f"{base}/{TOPIC_STATS}", wholetext=True)
-    lines = F.filter(F.split("value", "\n"), lambda x: x != "")
-    starts = F.transform(lines, lambda x: F.get_json_object(F.get_json_object(x, "$.value"), "$.window_start"))
-    return files.select(starts.alias("t")).where(F.size("t") > 0).agg(
-        F.count("*").alias("n_files"),
-        F.sum(F.size("t")).alias("n_rows"),
-        F.bool_and(F.col("t") == F.array_sort("t")).alias("in_order"),
+    lines = spark.read.option("recursiveFileLookup", "true").text(f"{base}/{TOPIC_STATS}", lineSep="\n").where("value <> ''")
+    start = F.get_json_object(F.get_json_object("value", "$.value"), "$.window_start")
+    rows = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        start.alias("t"), F.monotonically_increasing_id().alias("line"),
+    )
+    return _files_in_order(rows)
+
+
+def _files_in_order(rows: DataFrame) -> DataFrame:
+    """Files, rows, and whether each file's (block, line) are in the order of t, NULL last; no task reads more than a block."""
+
+    def follows(before: Column, t: Column) -> Column:
+        return t.isNull() | F.coalesce(before <= t, F.lit(False))
+
+    earlier = F.lag("t").over(Window.partitionBy("file", "block").orderBy("line"))
+    first = F.row_number().over(Window.partitionBy("file", "block").orderBy("line")) == 1
+    blocks = rows.select("*", (first | follows(earlier, F.col("t"))).alias("ok")).groupBy("file", "block").agg(
+        F.count("*").alias("n"), F.bool_and("ok").alias("ok"),
+        F.min_by(F.struct("t"), "line").alias("first"), F.max_by(F.struct("t"), "line").alias("last"),
+    )
+    # one row per block of a file
+    before = F.lag("last").over(Window.partitionBy("file").orderBy("block"))
+    joined = before.isNull() | follows(F.col("before.t"), F.col("first.t"))
+    files = blocks.select("*", before.alias("before")).select("*", joined.alias("joined"))
+    return files.agg(
+        F.countDistinct("file").alias("n_files"),
+        F.sum("n").alias("n_rows"),
+        F.bool_and(F.col("ok") & F.col("joined")).alias("in_order"),
     )
 
 

@@ -85,7 +85,8 @@ def sink_messages(
     """Publish key / value rows to a topic: Kafka brokers or a folder of JSON lines.
 
     With `order_by`, each batch is written in that order per key; `single_partition` writes
-    one ordered partition for readers that follow only one (low-rate topics only).
+    one ordered partition for readers that follow only one. Many tasks sort its ranges; the one
+    task that writes copies them one after another and holds no rows.
     """
     if kind not in ("kafka", "files"):
         raise ValueError(f"unknown sink kind {kind!r}: use 'kafka' or 'files'")
@@ -99,10 +100,10 @@ def sink_messages(
         return run_stream(rows, name, checkpoint, sink, trigger=trigger)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.coalesce(1) if single_partition else batch.repartition("key")
-        batch = batch.sortWithinPartitions("key", order_by) if not single_partition else (
-            batch.sortWithinPartitions(order_by)
-        )
+        if single_partition:
+            batch = _in_one_partition(batch, order_by)
+        else:
+            batch = batch.repartition("key").sortWithinPartitions("key", order_by)
         if kind == "kafka":
             out = batch.select("topic", "key", "value")
             if single_partition:
@@ -117,6 +118,16 @@ def sink_messages(
     return run_stream(rows, name, checkpoint, trigger=trigger, each_batch=publish)
 
 
+def _in_one_partition(batch: DataFrame, order_by: str) -> DataFrame:
+    """The rows in one partition and in order; sorted ranges are stored first and then read one after another."""
+    # state of the stream is read once; the order reads the rows again
+    placed = in_order(materialize(batch), order_by)
+    rows = numbered(placed, F.broadcast(part_sizes(placed)), "_n").coalesce(1)
+    # a row's id in the one partition is its place there
+    in_place = F.assert_true(F.monotonically_increasing_id() == F.col("_n"), F.lit("ranges out of order"))
+    return rows.where(in_place.isNull()).drop("_n")
+
+
 def sink_numbered(
     messages: DataFrame,
     name: str,
