@@ -12,6 +12,8 @@ from marketlake.session import configure, make_dir, materialize
 
 MESSAGE_DDL = "topic STRING, key STRING, value STRING"
 COMPACT_SIZE = "256MB"
+#: Files that a task of a compaction may write at once; rows of more folders than that are sorted.
+OPEN_FILES = 64
 
 
 def tick_source(
@@ -69,17 +71,28 @@ def write_ticks(ticks: DataFrame, root: str, mode: str = "append") -> None:
     ).parquet(root)
 
 
+def _compacting(spark: SparkSession, file_size: str) -> SparkSession:
+    """A session of its own, so that the file size it asks for touches no other query.
+
+    A folder larger than `file_size` is split. Small ones are not gathered into one task: each is a file of
+    its own anyhow, and the task would hold the rows of all of them to sort them by folder.
+    """
+    own = configure(spark.newSession())
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", file_size)
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    return own
+
+
 def compact_ticks(
     spark: SparkSession, root: str, target: str, dates: Iterable[str] | None = None, file_size: str = COMPACT_SIZE
 ) -> None:
     """Rewrite an archive of many small files into `target`, optionally for some dates only.
 
-    Runs in a session of its own, so that the file size it asks for touches no other query.
-    Dates compacted before stay; a date compacted again is replaced.
+    Dates compacted before stay; a date compacted again is replaced. A task writes the files of its folders
+    side by side as the rows come, so that it holds none to sort them.
     """
-    own = configure(spark.newSession())
-    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", file_size)
-    own.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    own = _compacting(spark, file_size)
+    own.conf.set("spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES))
     ticks = read_ticks(own, root)
     if dates is not None:
         ticks = ticks.where(F.col("date").isin(*dates))

@@ -234,3 +234,22 @@ def test_messages_are_parsed_once(spark):
     for df in (ticks, windowed_stats(ticks, "1 hour")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1, plan
+
+
+def test_compaction_gathers_no_folders_into_one_task(spark, tmp_path):
+    """Folders stay dealt over the tasks, and compact_ticks sorts no rows to write them."""
+    from marketlake.sources.ticks import compact_changed, compact_ticks, read_ticks, write_ticks
+
+    rows = spark.range(4000).selectExpr(
+        "'aggTrade' AS type", "concat('k', id % 7) AS ident", "'BTC' AS asset", "'BTCUSDT' AS series",
+        "timestamp('2024-01-01') + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "100.0D AS price", "100.0D AS price_bucket",
+        "CAST(NULL AS STRING) AS market_slug", "CAST(NULL AS STRING) AS market_outcome",
+        "'binance' AS source", "concat('2024-01-', lpad(id % 20 + 1, 2, '0')) AS date", "CAST(id % 24 AS INT) AS hour",
+    )
+    write_ticks(rows, f"{tmp_path}/small")
+    for name, run in (("ticks", compact_ticks), ("changed", compact_changed)):
+        run(spark, f"{tmp_path}/small", f"{tmp_path}/{name}")
+        files = list((tmp_path / name).rglob("part-*.parquet"))
+        # a file's name has the number of its task
+        assert len(files) == 120 and len({f.name.split("-")[1] for f in files}) > 1
+        assert read_ticks(spark, f"{tmp_path}/{name}").count() == 4000
