@@ -7,11 +7,11 @@ six digits, since two engines add in different orders.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructType
 
 from marketlake.functions.pricing import (
@@ -27,8 +27,8 @@ from marketlake.functions.pricing import (
 from marketlake.functions.times import bucket, rolling_slug, slug_end, slug_start
 from marketlake.operators import arma, asof, features, metrics, ordered, resample, score, stats
 from marketlake.operators.normalize import normalize_ticks
-from marketlake.schemas import EXOG, TARGET, TOPIC_FORECAST, TOPIC_STATS
-from marketlake.session import configure, materialize, work_dir
+from marketlake.schemas import EXOG, STATS_DDL, TARGET, TOPIC_FORECAST, TOPIC_STATS
+from marketlake.session import configure, make_dir, materialize, work_dir
 from marketlake.sources import catalogue, envelope, forecasts, frames, models, ticks as archive
 from marketlake.sources import shared_tables as bind
 from marketlake.sources.shared_tables import SLOW
@@ -1099,16 +1099,14 @@ def stream_numbered_output(spark, sf_dir):
     return rows.select("seq", F.from_json("value", fields).alias("v")).select("seq", "v.*").withColumns(r6("price_bucket"))
 
 
-def _parts(spark, sf_dir, cuts) -> DataFrame:
-    """The events as a stream of several files in a given order, one per micro-batch."""
-    base = work_dir(spark, "parts")
-    events = spark.read.schema(bind.EVENTS_DDL).parquet(f"{sf_dir}/events.parquet")
-    for i, cut in enumerate(cuts(events)):
-        cut.coalesce(1).write.parquet(f"{base}/part={i}")
-        # the file source takes files by their time of writing
-        time.sleep(1.1)
-    stream = spark.readStream.schema(bind.EVENTS_DDL).option("maxFilesPerTrigger", 1)
-    return normalize_ticks(envelope.parse_envelope(bind.bind_messages(stream.parquet(f"{base}/*"))))
+def _parts(spark, sf_dir, cuts, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """The events as a stream that grows by one cut after the other; `start` takes up each cut as one micro-batch."""
+    base = make_dir(spark, work_dir(spark, "parts"))
+    messages = bind.bind_messages(spark.readStream.schema(bind.EVENTS_DDL).parquet(base))
+    ticks = normalize_ticks(envelope.parse_envelope(messages))
+    for cut in cuts(_events(spark, sf_dir)):
+        cut.write.mode("append").parquet(base)
+        pipeline.drain([start(ticks)])
 
 
 @query
@@ -1121,8 +1119,15 @@ def stream_late_rows(spark, sf_dir):
         # lateness is judged by the watermark of the batch before
         return events.where(~newest), events.where(newest), events.where(F.col("ts") < last - F.expr("INTERVAL 24 HOURS"))
 
-    out = stats.windowed_stats(_parts(spark, sf_dir, cuts), "1 hour", "2 hours")
-    return _drained(spark, out, "late").withColumns(r6(*STAT_FLOATS))
+    base = work_dir(spark, "late")
+    sink = {"format": "parquet", "path": f"{base}/out"}
+
+    def start(ticks: DataFrame) -> StreamingQuery:
+        out = stats.windowed_stats(ticks, "1 hour", "2 hours")
+        return pipeline.run_stream(out, "late", f"{base}/checkpoint", sink, trigger=pipeline.DRAIN)
+
+    _parts(spark, sf_dir, cuts, start)
+    return spark.read.schema(STATS_DDL).parquet(f"{base}/out").withColumns(r6(*STAT_FLOATS))
 
 
 @query
@@ -1142,10 +1147,12 @@ def stream_update_mode(spark, sf_dir):
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    out = stats.windowed_stats(_parts(spark, sf_dir, cuts), "1 hour", "2 hours")
-    pipeline.drain(
-        [pipeline.run_stream(out, "update", f"{base}/checkpoint", mode="update", trigger=pipeline.DRAIN, each_batch=land)]
-    )
+    def start(ticks: DataFrame) -> StreamingQuery:
+        out = stats.windowed_stats(ticks, "1 hour", "2 hours")
+        return pipeline.run_stream(out, "update", f"{base}/checkpoint", mode="update", trigger=pipeline.DRAIN, each_batch=land)
+
+    _parts(spark, sf_dir, cuts, start)
+    out = spark.createDataFrame([], STATS_DDL)
     rows = spark.read.schema(StructType([*out.schema.fields]).add("batch", IntegerType())).parquet(f"{base}/out")
     keys = [c for c in out.columns if not c.startswith("price_m") and c not in ("price_avg", "price_var", "n")]
     rest = [c for c in out.columns if c not in keys]

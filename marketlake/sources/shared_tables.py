@@ -56,8 +56,9 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table as a file stream."""
-    return spark.readStream.schema(EVENTS_DDL).parquet(f"{sf_dir}/events.parquet*")
+    """The same table as a file stream, dealt over the cores as well."""
+    events = spark.readStream.schema(EVENTS_DDL).parquet(f"{sf_dir}/events.parquet*")
+    return events.repartition(spark.sparkContext.defaultParallelism)
 
 
 def _is_spot() -> Column:

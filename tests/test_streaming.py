@@ -310,3 +310,62 @@ def test_throttled_stream_equals_batch(spark, tmp_path):
     assert sorted(got.collect(), key=repr) == sorted(wanted.collect(), key=repr) and got.count() > 200
     held = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/checkpoint/kept")
     assert held.count() == 0  # the last row of s1 still waits, but holds nothing back yet
+
+
+def test_single_partition_is_sorted_before_its_one_task(spark, tmp_path):
+    """One file in order, written by a task that sorts nothing."""
+    rows = [("k", f"{i * 7919 % 1000:04d}", "x" * 20) for i in range(1000)] + [("k", None, "n")]
+    spark.createDataFrame(rows, "key string, ts string, value string").repartition(5).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("key string, ts string, value string").parquet(f"{tmp_path}/in")
+    sent = stream.withColumn("value", F.coalesce("ts", "value"))
+    pipeline.drain(
+        [pipeline.sink_messages(sent, "one", "t", f"{tmp_path}/checkpoint", "files", str(tmp_path), DRAIN, "ts", True)]
+    )
+    (file,) = (tmp_path / "t").rglob("*.json")
+    assert [json.loads(x)["value"] for x in file.read_text().splitlines()] == ["n", *(f"{i:04d}" for i in range(1000))]
+    batch = spark.read.schema("key string, ts string, value string").parquet(f"{tmp_path}/in")
+    plan = pipeline._in_one_partition(batch, "ts")._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" in plan and "Sort [ts" not in plan
+
+
+def test_files_in_order_over_blocks(spark):
+    from marketlake.plans.queries import _files_in_order
+
+    def found(*rows):
+        schema = "file string, block long, t string, line long"
+        return tuple(_files_in_order(spark.createDataFrame(list(rows), schema)).first())
+
+    assert found(("a", 0, "1", 5), ("a", 0, "2", 6), ("a", 9, "2", 0), ("b", 0, "1", 8)) == (2, 4, True)
+    assert found(("a", 0, "1", 5), ("a", 0, "3", 6), ("a", 9, "2", 0)) == (1, 3, False)
+    assert found(("a", 0, "2", 5), ("a", 0, "1", 6)) == (1, 2, False)
+    assert found(("a", 0, "2", 5), ("a", 0, None, 6), ("a", 9, None, 1)) == (1, 3, True)
+    assert found(("a", 0, None, 5), ("a", 9, "1", 1)) == (1, 2, False)
+    assert found() == (0, None, None)
+
+
+def test_cuts_land_as_several_files(spark, sf, monkeypatch):
+    """Each cut of a stream is one micro-batch, whatever its files."""
+    from marketlake.plans import queries
+
+    seen = []
+
+    def land(batch, batch_id):
+        seen.append((batch.count(), batch.rdd.getNumPartitions()))
+
+    cuts = lambda events: [events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")]
+    base = queries.work_dir(spark, "cuts")
+    queries._parts(
+        spark, sf, cuts, lambda ticks: pipeline.run_stream(ticks, "cuts", base, trigger=DRAIN, each_batch=land)
+    )
+    assert len(seen) == 2 and all(parts > 1 for _, parts in seen)
+
+
+def test_throttle_state_has_an_entry_per_stretch(spark, tmp_path):
+    rows = [("s", 7200 + t, 1.0) for t in range(0, 3600, 4)]
+    spark.createDataFrame(rows, "series string, sec long, price double").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("series string, sec long, price double").parquet(f"{tmp_path}/in")
+    kept = timers.throttle_stream(stream, ["series"], "sec", 30, lateness="2 hours")
+    sink = {"format": "parquet", "path": f"{tmp_path}/out"}
+    pipeline.drain([pipeline.run_stream(kept, "kept", f"{tmp_path}/checkpoint", sink, trigger=DRAIN)])
+    held = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/checkpoint/kept")
+    assert held.count() == 1
