@@ -162,6 +162,10 @@ def open_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return minutes.unionAll(carried).groupBy("key").agg(F.sum("n").alias("open_minutes"), F.max("passed").alias("passed"))
 
 
+#: Seconds whose waiting rows share an entry of the throttle's state.
+STRETCH = 3600
+
+
 class _Throttle(StatefulProcessor):
     def __init__(self, keys: list[str], t: str, columns: list[str], ddl: str, interval: int):
         self.t, self.columns, self.ddl, self.interval = t, columns, ddl, interval
@@ -172,31 +176,57 @@ class _Throttle(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "t bigint", self.ddl)
         self.last = handle.getValueState("last", "t bigint")
 
+    def held(self, start: int) -> dict[int, tuple]:
+        """The rows that wait in the stretch from `start` on, by second."""
+        seconds, *values = self.waiting.getValue((start,))
+        return {int(t): row for t, *row in zip(seconds, *values)}
+
+    def hold(self, start: int, rows: dict[int, tuple]) -> None:
+        """Put a stretch's rows into the state: the seconds, and an array per column."""
+        self.waiting.updateValue((start,), (list(rows), *map(list, zip(*rows.values()))))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         best: dict[int, tuple] = {}
         for row in rows:
             t, values = int(row[self.t]), tuple(row[c] for c in self.columns)
-            best[t] = min(best.get(t, values), values, key=in_column_order)
-        waiting = self.waiting.exists()
+            best[t] = min(best[t], values, key=in_column_order) if t in best else values
+        stretches: dict[int, dict[int, tuple]] = {}
         for t, values in best.items():
-            known = self.waiting.getValue((t,)) if waiting else None
-            if known is not None:
-                values = min(tuple(known), values, key=in_column_order)
-            self.waiting.updateValue((t,), values)
+            stretches.setdefault(t // STRETCH * STRETCH, {})[t] = values
+        waiting = self.waiting.exists()
+        for start, rows_of in stretches.items():
+            if waiting and self.waiting.containsKey((start,)):
+                known = self.held(start)
+                for t, values in rows_of.items():
+                    known[t] = min(tuple(known[t]), values, key=in_column_order) if t in known else values
+                rows_of = known
+            self.hold(start, rows_of)
         wake_at(self.handle, min(best))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() // 1000
-        seconds = sorted(int(k[0]) for k in self.waiting.keys())
-        due = [t for t in seconds if t <= passed]
+        starts = sorted(int(k[0]) for k in self.waiting.keys())
         last = int(self.last.get()[0]) if self.last.exists() else -(2**60)
-        kept = [due[i] for i in spaced(np.array(due, dtype="int64"), last, self.interval)]
-        out = [self.row(*key, t, *self.waiting.getValue((t,))) for t in kept]
-        drop(self.waiting, due, len(seconds))
-        if kept:
-            last = kept[-1]
-        later = seconds[len(due) : len(due) + 1]
+        done: list[int] = []
+        later: list[int] = []
+        for start in starts:
+            if start > passed:
+                later.append(min(self.held(start)))
+                break
+            rows = self.held(start)
+            seconds = sorted(rows)
+            due = [t for t in seconds if t <= passed]
+            for i in spaced(np.array(due, dtype="int64"), last, self.interval):
+                last = due[i]
+                yield self.row(*key, last, *rows[last])
+            if len(due) < len(seconds):
+                later.append(seconds[len(due)])
+                if due:
+                    self.hold(start, {t: rows[t] for t in seconds[len(due) :]})
+                break
+            done.append(start)
+        drop(self.waiting, done, len(starts))
         if last + self.interval > passed:  # it may still hold a row back
             self.last.update((last,))
             later.append(last + self.interval)
@@ -204,7 +234,6 @@ class _Throttle(StatefulProcessor):
             self.last.clear()
         if later:
             self.handle.registerTimer(min(later) * 1000 - 1)
-        return iter(out)
 
     def close(self) -> None:
         pass
@@ -220,13 +249,14 @@ def throttle_stream(
 ) -> DataFrame:
     """Streaming form of `throttle`: the same rows, each released once the watermark has passed its second.
 
-    A second that waits holds one entry, whatever its rows; the last row kept is held for `interval`
-    seconds. Repeated and late rows therefore change nothing, in whatever order rows arrive.
+    A second that waits holds one row, whatever came in it; those of one STRETCH share an entry of the state, since
+    every access to an entry is a round trip. The last row kept is held for `interval` seconds. Repeated and late rows therefore change nothing, in whatever order rows arrive.
     """
     columns = [c for c in rows.columns if c not in keys and c != t]
     of = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields}
     ddl = ", ".join(of[c] for c in columns)
+    held = ", ".join(["t array<bigint>", *(f"`{c}` array<{rows.schema[c].dataType.simpleString()}>" for c in columns)])
     timed = on_event_time(rows.withColumn(t, F.col(t).cast("bigint")), t, lateness)
     schema = ", ".join([*[of[k] for k in keys], f"`{t}` bigint", ddl])
-    work = _Throttle(keys, t, columns, ddl, interval)
+    work = _Throttle(keys, t, columns, held, interval)
     return timed.groupBy(*keys).transformWithState(work, schema, "append", "eventTime")
