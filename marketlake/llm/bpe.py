@@ -71,10 +71,11 @@ class WordBPE:
         self.vocab = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         pairs = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
-        #: per left symbol, the rank of its merge with a right one; the new symbol by rank
-        self.ranks: list[dict[int, int]] = [{} for _ in range(max(self.vocab.values()) + 1)]
+        #: per left symbol, the look-up of the rank of its merge with a right one; the new symbol by rank
+        ranks: list[dict[int, int]] = [{} for _ in range(max(self.vocab.values()) + 1)]
         for rank, (a, b, _) in enumerate(pairs):
-            self.ranks[a][b] = rank
+            ranks[a][b] = rank
+        self.rank_with = [r.get for r in ranks]
         self.made = [new for _, _, new in pairs]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
@@ -97,6 +98,8 @@ class WordBPE:
         self.last = [self.vocab[c + self.suffix] for c in shown]
         self.cache: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
+        #: words beyond ASCII letters, which need not be runs
+        self.cut: dict[str, list[int]] = {}
 
     @staticmethod
     def shown(byte: bytes) -> str:
@@ -109,47 +112,57 @@ class WordBPE:
 
     def merged(self, ids: list[int]) -> list[int]:
         """Apply the merges to a list of symbols."""
-        ranks, made, n = self.ranks, self.made, len(ids)
+        rank_with, made, n = self.rank_with, self.made, len(ids)
         bits = n.bit_length()  # of a position, below the rank, in an entry of the queue
+        low = (1 << bits) - 1
+        # of a symbol, the rank of its merge with the next one; -1: none, or the symbol has gone
+        ranks = [rank_with[left](right, -1) for left, right in zip(ids, ids[1:])]
+        queue = [rank << bits | i for i, rank in enumerate(ranks) if rank >= 0]
+        if not queue:
+            return ids
+        ranks.append(-1)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        left = ids[0]
-        for i in range(1, n):
-            right = ids[i]
-            rank = ranks[left].get(right)
-            if rank is not None:
-                queue.append(rank << bits | i - 1)
-            left = right
         heapify(queue)
         while queue:
             top = heappop(queue)
+            i = top & low
             rank = top >> bits
-            i = top - (rank << bits)
-            j = after[i]
-            # stale: a symbol of the pair has gone or changed; one that has gone is -1, which no list of ranks has
-            if j < 0 or ids[i] < 0 or ranks[ids[i]].get(ids[j]) != rank:
+            if ranks[i] != rank:  # stale: a symbol of the pair has gone or changed
                 continue
+            j = after[i]
             new = ids[i] = made[rank]
-            ids[j] = -1
+            ids[j] = ranks[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                rank = ranks[new].get(ids[k])
-                if rank is not None:
+                rank = ranks[i] = rank_with[new](ids[k], -1)
+                if rank >= 0:
                     heappush(queue, rank << bits | i)
+            else:
+                ranks[i] = -1
             h = before[i]
             if h >= 0:
-                rank = ranks[ids[h]].get(new)
-                if rank is not None:
+                rank = ranks[h] = rank_with[ids[h]](new, -1)
+                if rank >= 0:
                     heappush(queue, rank << bits | h)
         return [i for i in ids if i >= 0]
 
     def word(self, word: str) -> list[int]:
         data = word.encode()
-        ids = [self.inner[b] for b in data]
+        ids = [*map(self.inner.__getitem__, data)]
         ids[-1] = self.last[data[-1]]
         return self.merged(ids)
 
+    def cut_word(self, word: str) -> list[int]:
+        """The ids of a word cut out of a longer run; short ones are kept."""
+        found = self.cache.get(word) or self.older.get(word) or self.cut.get(word)
+        if found is None:
+            found = self.word(word)
+            if len(word) <= LONGEST_KEPT:
+                # ASCII letters alone are one word as a run too
+                (self.cache if word.isascii() and word.isalpha() else self.cut)[word] = found
+        return found
+
     def learn(self, runs: Iterable[str]) -> None:
         """Put runs of text without ASCII white space into the cache."""
         cache, older, unknown = self.cache, self.older, []
@@ -171,10 +184,12 @@ class WordBPE:
             while at < n and offsets[at][0] < end:
                 low, high = offsets[at]
                 word = shown[low - start : high - start]
-                ids += cache.get(word) or self.word(word)
+                ids += self.cut_word(word)
                 at += 1
             cache[run] = ids
             start = end + 1
+        if len(self.cut) >= CACHE >> 2:
+            self.cut = {}
 
     def pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -214,7 +229,13 @@ def strings_of(text: str) -> dict[int, str]:
 
 
 def joined(strings: dict[int, str], ids) -> str:
-    return " ".join([s for s in map(strings.get, ids.tolist()) if s is not None]) if ids is not None else ""
+    if ids is None:
+        return ""
+    ids = ids.tolist()
+    try:
+        return " ".join(map(strings.__getitem__, ids))
+    except KeyError:
+        return " ".join([strings[i] for i in ids if i in strings])
 
 
 def read_vocabulary(spark: SparkSession, path: str):

@@ -203,3 +203,20 @@ def test_fim_round_trip(spark, docs, texts, unit):
         assert m["output"] == (f"<S>{c}<P>{a}<M>{b}" if m["form"] == "spm" else f"<P>{a}<S>{c}<M>{b}")
     assert set(forms) == {"plain", "psm", "spm"}
     assert fim.fill_in_middle(docs.limit(0)).count() == 0
+
+
+def test_words_cut_out_of_runs_are_merged_once(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from marketlake.llm.bpe import WordBPE
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    bpe, merged = WordBPE(open(path).read()), []
+    plain = bpe.word
+    monkeypatch.setattr(bpe, "word", lambda w: merged.append(w) or plain(w))
+    text = "mercado, (mercado) mercado. ciónjamen, [ciónjamen] ciónjamen... don't, don't! x'll"
+    wanted = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert bpe.encode(text) == wanted
+    assert merged.count("mercado") == 1 and merged.count("ciónjamen") == 1
+    assert bpe.encode(text[::-1] + " " + text) == Tokenizer.from_file(path).encode(text[::-1] + " " + text, add_special_tokens=False).ids
