@@ -71,11 +71,11 @@ class WordBPE:
         self.vocab = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         pairs = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
-        #: per left symbol, the look-up of the rank of its merge with a right one; the new symbol by rank
-        ranks: list[dict[int, int]] = [{} for _ in range(max(self.vocab.values()) + 1)]
+        #: per left symbol, the rank of its merge with a right one, and the look-up of it; the new symbol by rank
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(self.vocab.values()) + 1)]
         for rank, (a, b, _) in enumerate(pairs):
-            ranks[a][b] = rank
-        self.rank_with = [r.get for r in ranks]
+            self.ranks[a][b] = rank
+        self.rank_with = [r.get for r in self.ranks]
         self.made = [new for _, _, new in pairs]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
