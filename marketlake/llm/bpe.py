@@ -1,15 +1,18 @@
 """BPE encoding and decoding with a public vocabulary.
 
-A text is normalised and cut into words by the tokenizers library, as the vocabulary's file states; ASCII
-letters and white space, which need no normalisation but lower case, are cut off by a byte table before. Each word becomes a doubly linked list of byte symbols, the last one marked as a word end. A priority
+A text is normalised and cut into words as the vocabulary's file states. A byte table lowers ASCII letters and
+cuts runs off at ASCII white space. Runs of characters below KNOWN, but for marks, are lowered and cut by Python,
+with the classes that the tokenizers library gives to these characters; the library itself normalises and cuts
+the other runs. Each word becomes a doubly linked list of byte symbols, the last one marked as a word end. A priority
 queue holds the merges of neighbours by (rank, position); the smallest is taken, skipped if one of its
 symbols has gone or changed since, and applied otherwise; the merges of the new symbol with its
 neighbours are pushed. A word of n symbols takes O(n log n). Decoding concatenates the strings of the
-vocabulary, joined by one space where the file names no decoder.
+vocabulary, joined by one space where the file names no decoder. Ids are kept as bytes and exchanged as Arrow lists.
 
 The vocabulary's file is a parameter; its text (at most MAX_BYTES) is read by the driver and broadcast. A
-task parses it once and keeps the ids of recent runs of text without white space, at most about 2 * CACHE short ones. Long texts are cut after white space
-into pieces of about PIECE characters, which no word spans, so that the result is that of the whole text.
+Python process parses it once and keeps, over its tasks, the ids of recent runs of text without white space, at
+most about 2 * CACHE short ones. Long texts are cut after white space into pieces of about PIECE characters, which
+no word spans, so that the result is that of the whole text.
 
 Edge cases: NULL is encoded as '' (no ids); a NULL list decodes to ''. Strings of special tokens in a text
 become their ids, as in the library. Ids outside the vocabulary are skipped in decoding. Every row is
@@ -23,13 +26,15 @@ import hashlib
 import json
 import re
 import string
-from collections.abc import Iterable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -38,17 +43,36 @@ from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 from marketlake.llm.common import table, whole_text
 
 MAX_BYTES = 64 << 20
-#: Runs of text whose ids a task keeps, in each of two generations, and the longest such run.
+#: Runs of text whose ids a process keeps, in each of two generations, and the longest such run.
 CACHE, LONGEST_KEPT = 1 << 17, 32
 #: Bytes with A-Z lowered and ASCII white space made spaces; others belong to characters beyond ASCII or stay.
 PLAIN = bytes(32 if b in b"\t\n\v\f\r" else b for b in bytes(range(256)).lower())
+#: The same without lower case, for texts with a capital that a mark may follow: a mark composes with some small letters only.
+SPACED = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
+MARKED = re.compile("[A-Z][^\x00-\u02ff]")
 PIECE = 1 << 16
+ID = np.dtype("<i4")
+#: How words are cut, as far as Python does it, for runs of characters below KNOWN: Latin, Greek, Cyrillic letters.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KNOWN = 0x530
+#: Rows that Python takes from Arrow, or Arrow decodes, at once.
+ROWS = 512
 ByteLevel = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 #: Bytes that begin a character of several; those that begin none in UTF-8 stand for themselves.
 LEADS = {b: chr(b) for b in range(0xC0, 0x100)}
 GAP = re.compile(r"[ \t\n]")
 
 
+class Runs(dict):
+    """The ids of runs of text, four bytes each; those of other runs are asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, run: str) -> bytes:
+        return self.learn(run)
+
+
 class WordBPE:
     """A vocabulary of the library's file format: BPE over bytes, with a word-end suffix."""
 
@@ -96,10 +120,27 @@ class WordBPE:
         shown = [self.shown(bytes([b])) for b in range(256)]
         self.inner = [self.vocab[c] for c in shown]
         self.last = [self.vocab[c + self.suffix] for c in shown]
-        self.cache: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-        #: words beyond ASCII letters, which need not be runs
-        self.cut: dict[str, list[int]] = {}
+        self.packed = [np.array(i, ID).tobytes() for i in range(max([*self.vocab.values(), *added.values()]) + 1)]
+        #: whether a run is cut by known_words() after lower(), as the library would
+        self.known = self.known_words = None
+        if split["pattern"]["Regex"] == PATTERN:
+            self.know(cut)
+        self.cache, self.older = Runs(self.learn), {}
+        #: words that the library cut out of runs
+        self.cut: dict[str, bytes] = {}
+
+    def know(self, cut) -> None:
+        """Ask the library for the classes of the characters below KNOWN; left out are those that it does not lower as Python does."""
+        kinds: dict[str, int] = {}
+        for c in map(chr, range(33, KNOWN)):
+            lower = self.normalizer.normalize_str(c)
+            # a combining mark may change its neighbour; lower() may depend on the one before
+            if not c.isspace() and not unicodedata.combining(c) and len(lower) == 1 and f"a{c}".lower() == f"a{lower}":
+                kinds[c] = len(cut(f"a{c}{c}a"))  # 1: a letter, 4: a number, 3: another
+        kinds = {c: n for c, n in kinds.items() if n in (1, 3, 4) and c.lower() in kinds}
+        letters, numbers = (re.escape("".join(c for c in kinds if kinds[c] == n)) for n in (1, 4))
+        self.known = re.compile(f"[{re.escape(''.join(kinds))}]*").fullmatch
+        self.known_words = re.compile(PATTERN.replace(r"\p{L}", letters).replace(r"\p{N}", numbers)).findall
 
     @staticmethod
     def shown(byte: bytes) -> str:
@@ -147,49 +188,38 @@ class WordBPE:
                     heappush(queue, rank << bits | h)
         return [i for i in ids if i >= 0]
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         data = word.encode()
         ids = [*map(self.inner.__getitem__, data)]
         ids[-1] = self.last[data[-1]]
-        return self.merged(ids)
+        return b"".join(map(self.packed.__getitem__, self.merged(ids)))
 
-    def cut_word(self, word: str) -> list[int]:
-        """The ids of a word cut out of a longer run; short ones are kept."""
-        found = self.cache.get(word) or self.older.get(word) or self.cut.get(word)
+    def cut_word(self, word: str) -> bytes:
+        """The ids of a word that the library cut out of a run; short ones are kept."""
+        found = self.cut.get(word)
         if found is None:
             found = self.word(word)
             if len(word) <= LONGEST_KEPT:
-                # ASCII letters alone are one word as a run too
-                (self.cache if word.isascii() and word.isalpha() else self.cut)[word] = found
+                self.cut[word] = found
         return found
 
-    def learn(self, runs: Iterable[str]) -> None:
-        """Put runs of text without ASCII white space into the cache."""
-        cache, older, unknown = self.cache, self.older, []
-        for run in runs:
-            found = older.get(run)
-            if found is not None:
-                cache[run] = found
-            elif run.isascii() and run.isalpha():
-                cache[run] = self.word(run)  # letters only: one word
+    def learn(self, run: str) -> bytes:
+        """The ids of a run of text without ASCII white space; those of a short one go into the cache."""
+        found = self.older.get(run)
+        if found is None:
+            if run.isascii() and run.isalpha():
+                found = self.word(run.lower())  # letters only: one word
+            elif self.known and self.known(run):
+                words = self.known_words(run.lower())
+                # a word of these is its only one
+                found = self.word(run) if words == [run] else b"".join(map(self.cache.__getitem__, words))
             else:
-                unknown.append(run)
-        # the others are normalised one by one, and cut into words together
-        plain = [r if r.isascii() else self.normalizer.normalize_str(r) for r in unknown]
-        offsets = self.words.encode(" ".join(plain), add_special_tokens=False).offsets
-        at, start, n = 0, 0, len(offsets)
-        for run, shown in zip(unknown, plain):
-            ids: list[int] = []
-            end = start + len(shown)
-            while at < n and offsets[at][0] < end:
-                low, high = offsets[at]
-                word = shown[low - start : high - start]
-                ids += self.cut_word(word)
-                at += 1
-            cache[run] = ids
-            start = end + 1
-        if len(self.cut) >= CACHE >> 2:
-            self.cut = {}
+                plain = self.normalizer.normalize_str(run)
+                offsets = self.words.encode(plain, add_special_tokens=False).offsets
+                found = b"".join([self.cut_word(plain[low:high]) for low, high in offsets])
+        if len(run) <= LONGEST_KEPT:
+            self.cache[run] = found
+        return found
 
     def pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -199,43 +229,68 @@ class WordBPE:
             yield text[at:end]
             at = end
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def packed_ids(self, text: str | None) -> bytes:
+        """The ids of a text, four bytes each."""
+        out: list[bytes] = []
         for part in self.special.split(text or "") if self.special else [text or ""]:
             if part in self.added:
-                out.append(self.added[part])
+                out.append(self.packed[self.added[part]])
                 continue
             for piece in self.pieces(part):
-                runs = piece.encode().translate(PLAIN).decode().split(" ")
-                cache = self.cache
-                new = set(runs).difference(cache)
-                if new:
-                    self.learn(new)
-                out.extend(chain.from_iterable(map(cache.__getitem__, runs)))
-                for run in new:
-                    if len(run) > LONGEST_KEPT:
-                        del cache[run]
-                if len(cache) >= CACHE:
-                    self.cache, self.older = {}, cache
-        return out
-
-
-def strings_of(text: str) -> dict[int, str]:
-    """The strings of a vocabulary's ids."""
+                table = SPACED if not piece.isascii() and MARKED.search(piece) else PLAIN
+                runs = piece.encode().translate(table).decode().split(" ")
+                out.append(b"".join(map(self.cache.__getitem__, runs)))
+                if len(self.cache) >= CACHE:
+                    self.cache, self.older = Runs(self.learn), self.cache
+                if len(self.cut) >= CACHE >> 2:
+                    self.cut = {}
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed_ids(text), ID).tolist()
+
+
+@lru_cache(maxsize=1)
+def coder(text: str) -> WordBPE:
+    """The coder of a vocabulary's text; a process keeps the last one, with its cache, for its next tasks."""
+    return WordBPE(text)
+
+
+@lru_cache(maxsize=1)
+def strings_of(text: str) -> pa.Array:
+    """The strings of a vocabulary by their ids."""
     spec = json.loads(text)
     if spec.get("decoder"):
         raise ValueError("not a vocabulary of this kind: it names a decoder")
-    return {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    found = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.array([found.get(i) for i in range(max(found) + 1)], pa.string())
+
+
+def offsets_of(lengths) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+
+
+def id_lists(bpe: WordBPE, texts: pa.Array) -> pa.Array:
+    """The ids of each text."""
+    data, lengths = bytearray(), []
+    for at in range(0, len(texts), ROWS):
+        for text in texts.slice(at, ROWS).to_pylist():
+            ids = bpe.packed_ids(text)
+            data += ids
+            lengths.append(len(ids) // ID.itemsize)
+    return pa.ListArray.from_arrays(offsets_of(lengths), pa.array(np.frombuffer(data, ID)))
 
 
-def joined(strings: dict[int, str], ids) -> str:
-    if ids is None:
-        return ""
-    ids = ids.tolist()
-    try:
-        return " ".join(map(strings.__getitem__, ids))
-    except KeyError:
-        return " ".join([strings[i] for i in ids if i in strings])
+def joined(strings: pa.Array, ids: pa.Array) -> pa.Array:
+    """The strings of each list of ids, joined by a space."""
+    flat = ids.flatten()
+    offsets = offsets_of(pc.fill_null(pc.list_value_length(ids), 0))
+    inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(strings)))
+    found = strings.take(pc.if_else(inside, flat, None))
+    if found.null_count:
+        offsets = offsets_of(found.is_valid().to_numpy(zero_copy_only=False))[offsets]
+        found = found.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, found), " ")
 
 
 def read_vocabulary(spark: SparkSession, path: str):
@@ -250,11 +305,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
     """All columns of docs, and the ids of a text column as array<int>."""
     vocabulary = read_vocabulary(docs.sparkSession, path)
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = WordBPE(vocabulary.value)
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = coder(vocabulary.value)
         for batch in batches:
-            yield pd.Series([np.array(bpe.encode(x), np.int32) for x in batch], dtype=object)
+            yield id_lists(bpe, batch)
 
     return docs.withColumn(into, run(whole_text(text)))
 
@@ -262,22 +317,23 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
 def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """All columns of tokens, and the text of a column of ids."""
     vocabulary = read_vocabulary(tokens.sparkSession, path)
-    strings: dict[int, str] = {}
 
     # no iterator, so that Spark runs it in one Python process with others over the same ids
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        if not strings:
-            strings.update(strings_of(vocabulary.value))
-        return pd.Series([joined(strings, x) for x in batch], dtype=object)
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        strings = strings_of(vocabulary.value)
+        parts = [joined(strings, batch.slice(at, ROWS)) for at in range(0, len(batch), ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return tokens.withColumn(into, run(F.col(ids)))
 
 
-@F.pandas_udf(StringType())
-def ids_digest(ids: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def ids_digest(ids: pa.Array) -> pa.Array:
     """SHA-256 of the ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda x: hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
+    data = memoryview(ids.flatten().to_numpy().astype(ID, copy=False)).cast("B")
+    ends = (offsets_of(pc.fill_null(pc.list_value_length(ids), 0)) * ID.itemsize).tolist()
+    return pa.array([hashlib.sha256(data[a:z]).hexdigest() for a, z in zip(ends, ends[1:])], pa.string())
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -220,3 +220,40 @@ def test_words_cut_out_of_runs_are_merged_once(monkeypatch):
     assert bpe.encode(text) == wanted
     assert merged.count("mercado") == 1 and merged.count("ciónjamen") == 1
     assert bpe.encode(text[::-1] + " " + text) == Tokenizer.from_file(path).encode(text[::-1] + " " + text, add_special_tokens=False).ids
+
+
+def test_runs_of_known_letters_do_not_ask_the_library(monkeypatch):
+    text = open(PATH, encoding="utf-8").read()
+    assert bpe.coder(text) is bpe.coder(text)  # kept for the next task
+    coder, asked = bpe.WordBPE(text), []
+    words = coder.words
+
+    class Asked:
+        def encode(self, run, **options):
+            asked.append(run)
+            return words.encode(run, **options)
+
+    monkeypatch.setattr(coder, "words", Asked())
+    texts = ["Élève, l'école's 12½ ÜBER (straße) İ ΣΑΣ привет, МИР! don't", "Πρώτα «déjà» ça"]
+    assert [coder.encode(t) for t in texts] == library(texts)[0]
+    assert asked == ["i\u0307", "σασ"]
+    seen = len(asked)
+    assert [coder.encode(t) for t in texts] == library(texts)[0] and len(asked) == seen
+
+
+def test_bpe_of_random_characters_equals_library():
+    coder, rng = bpe.WordBPE(open(PATH, encoding="utf-8").read()), random.Random(2)
+    low, marks = [chr(i) for i in range(1, bpe.KNOWN + 0x20)], [chr(i) for i in range(0x300, 0x330)]
+    every = [f"{a}{c}{b}" for c in map(chr, range(1, 0x3100)) for a, b in (("", ""), ("a", "É's"))]
+    drawn = ["".join(rng.choice(rng.choice((low, marks, low[:128]))) for _ in range(rng.randint(1, 9))) for _ in range(5_000)]
+    texts = every + drawn + ["H\u0331 h\u0331", "Y\u030a", "W\u030a\nT\u0308x", "J\u030cA"]  # these compose as small letters only
+    for text, ids in zip(texts, library(texts)[0], strict=True):
+        assert coder.encode(text) == ids, repr(text)
+
+
+def test_bpe_decodes_odd_lists(spark):
+    strings = {i: s for s, i in Tokenizer.from_file(PATH).get_vocab().items()}
+    lists = [None, [], [5], [5, 10**8, 6, -1], [None, 7], [49407, 49406]] * 200
+    tokens = spark.createDataFrame([(n, x) for n, x in enumerate(lists)], "n int, ids array<int>").coalesce(1)
+    got = {r["n"]: r["decoded"] for r in bpe.decode(tokens, PATH).collect()}
+    assert got == {n: " ".join(strings[i] for i in x or [] if i in strings) for n, x in enumerate(lists)}
